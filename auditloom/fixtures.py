@@ -100,3 +100,39 @@ def geo_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(167772160 + n_nationkey * 256 AS BIGINT) AS start_num",
         "CAST(167772160 + n_nationkey * 256 + 3 AS BIGINT) AS end_num",
         "CAST(-60 + n_nationkey * 20 AS DOUBLE) AS lat", "CAST(n_nationkey * 30 AS DOUBLE) AS lon")
+
+
+# Statement shapes that the audit adapter does not produce; ``k`` is a number below 100.
+STATEMENT_SHAPES = (
+    "concat('USE `shop_', k, '`')",
+    "concat('CREATE DATABASE IF NOT EXISTS lake_', k)",
+    "'SHOW TABLES FROM mysql'",
+    "concat('CALL ops_db.refresh(', k, ')')",
+    "'DESCRIBE hr_db.salaries'",
+    "concat('SELECT `u`.`id`, count(*) FROM `crm`.`users` u LEFT JOIN crm.orders o ON o.uid = u.id WHERE u.age > ', k, "
+    "' AND o.state = \"open\" OR u.vip = 1 GROUP BY u.id, u.age ORDER BY u.id LIMIT 10')",
+    "'SELECT * FROM (SELECT id FROM mysql.user WHERE host IN (SELECT host FROM t2)) x'",
+    "concat('LOAD DATA INFILE ''f'' INTO TABLE stage.t', k)",
+    "concat('SELECT a FROM t INTO OUTFILE ''/tmp/x', k, '''')",
+    "'SELECT SLEEP (5), 0xDEADBEEF'",
+    "concat('GRANT ALL ON *.* TO ''u', k, '''@''h''')",
+    "concat('  truncate table logs_', k, ' ')",
+    "concat('INSERT IGNORE INTO audit.t', k, ' SELECT * FROM stage.s UNION SELECT 1 # x')",
+    "concat('/* c */ UPDATE `fin`.`acc` SET x = ''abc''   WHERE id = ', k, ' AND y = 2 -- tail')",
+    "'ALTER USER root IDENTIFIED BY \"pw1\"'",
+    "concat('note without a verb ', k)",
+)
+
+
+def statements_sql() -> str:
+    """The shapes as one CASE over ``id`` (same text for Spark and the check)."""
+    n = len(STATEMENT_SHAPES)
+    arms = " ".join(f"WHEN id % {n} = {i} THEN {s}" for i, s in enumerate(STATEMENT_SHAPES))
+    return f"CASE {arms} END"
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One statement per order, cycling through the shapes."""
+    return (read_table(spark, sf_dir, "orders")
+            .selectExpr("o_orderkey AS id", "CAST(o_custkey % 100 AS INT) AS k")
+            .selectExpr("id", "k", f"{statements_sql()} AS query"))

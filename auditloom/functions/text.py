@@ -73,13 +73,12 @@ def normalize_query(q: Column) -> Column:
 
 
 def normalize_for_detection(q: Column) -> Column:
-    """Lower case, one space, literals replaced by type names, comments removed."""
-    q = strip(F.regexp_replace(F.lower(q), r"(?U)\s+", " "))
-    q = F.regexp_replace(q, r"'[^']*'", "STRING")
-    q = F.regexp_replace(q, r'"[^"]*"', "STRING")
+    """Lower case, single spaces, literals replaced by type names, comments removed."""
+    q = F.regexp_replace(F.lower(q), r"(?U)\s+", " ")
+    q = F.regexp_replace(q, r"'[^']*'", "'STRING'")
     q = F.regexp_replace(q, r"(?U)\b\d+\b", "NUMBER")
-    q = F.regexp_replace(q, r"(?s)/\*.*?\*/", "")
-    return F.regexp_replace(q, r"--.*", "")
+    q = F.regexp_replace(q, r"/\*.*?\*/", "")
+    return strip(F.regexp_replace(q, r"(?m)--.*$", ""))
 
 
 def entropy(q: Column) -> Column:

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from auditloom.plans.catalog import Catalog
 
-MODULES = ("q_rules",)
+MODULES = ("q_features", "q_rules")
 
 
 @lru_cache(maxsize=1)
