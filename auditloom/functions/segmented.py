@@ -22,7 +22,7 @@ def micros(ts: Column | str) -> Column:
 
 def time_slot(ts: Column | str, width_us: int) -> Column:
     us = micros(ts)
-    return ((us - F.pmod(us, F.lit(width_us))) / F.lit(width_us)).cast("long")
+    return F.call_function("div", us - F.pmod(us, F.lit(width_us)), F.lit(width_us).cast("long"))
 
 
 def lag_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slot: Column,

@@ -181,7 +181,7 @@ def _detection(cat: Catalog) -> None:
 
     def fallback(sp, sf):
         logs = stored(sp, sf).logs
-        f = FE.static_features(logs.drop("has_comment", "is_admin_command", "is_risky_command", "query_length", "normalized_query"))
+        f = FE.static_features(logs)
         none = F.lit(None).cast("boolean")
         return f.withColumns({"is_potential_dump": none, "is_suspicious_func": none, "is_privilege_change": none}).select(
             "event_id", D.stored_anomaly_flag().alias("is_anomaly"))
