@@ -7,7 +7,7 @@ from importlib import import_module
 
 from auditloom.plans.catalog import Catalog
 
-MODULES = ("q_features", "q_rules", "q_tables")
+MODULES = ("q_features", "q_rules", "q_tables", "q_monitor")
 
 
 @lru_cache(maxsize=1)
