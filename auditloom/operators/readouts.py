@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.onerow import side_by_side
 from auditloom.operators import rules as R
 
 # Groups that count as critical, and chart labels.
@@ -56,11 +57,11 @@ def filter_aggregates(df: DataFrame, user=None, anomaly_type=None, date_from=Non
 
 
 def totals(logs: DataFrame, events: DataFrame, aggregates: DataFrame) -> DataFrame:
-    """One row of totals from three counts (one-row frames, so the joins are trivial)."""
+    """One row of totals from three counts."""
     n = logs.agg(F.count(F.lit(1)).alias("total_scanned"))
     e = events.agg(F.count(F.lit(1)).alias("_e"), F.count_if(F.col("behavior_group").isin(*CRITICAL)).alias("_ec"))
     a = aggregates.agg(F.count(F.lit(1)).alias("_a"), F.count_if(F.col("anomaly_type").isin(*CRITICAL)).alias("_ac"))
-    return n.crossJoin(e).crossJoin(a).select("total_scanned", (F.col("_e") + F.col("_a")).alias("total_anomalies"),
+    return side_by_side(n, e, a).select("total_scanned", (F.col("_e") + F.col("_a")).alias("total_anomalies"),
                                               (F.col("_ec") + F.col("_ac")).alias("critical_alerts"))
 
 
@@ -110,7 +111,7 @@ def kpis(events: DataFrame, aggregates: DataFrame) -> DataFrame:
              "UNUSUAL_BEHAVIOR": "behavioral_profile"}
     e = events.agg(*[F.count_if(F.col("behavior_group") == g).alias(n) for g, n in names.items()], F.count(F.lit(1)).alias("_all"))
     a = aggregates.agg(F.count(F.lit(1)).alias("_agg"))
-    return e.crossJoin(a).withColumns({"multi_table": F.col("_multi") + F.col("_agg"), "total": F.col("_all") + F.col("_agg")}).drop(
+    return side_by_side(e, a).withColumns({"multi_table": F.col("_multi") + F.col("_agg"), "total": F.col("_all") + F.col("_agg")}).drop(
         "_multi", "_all", "_agg")
 
 

@@ -62,7 +62,7 @@ def ingest_statements(events: DataFrame, threads: DataFrame, attrs: DataFrame, b
                       own: SelfTraffic = SelfTraffic()) -> DataFrame:
     """Statement events with their thread and session attributes, without the monitor's own traffic.
 
-    ``boot`` has one row, so its cross join adds a constant. Unknown users and schemas are kept.
+    ``boot`` has one row and enters as a scalar. Unknown users and schemas are kept.
     """
     foreign = F.col("sql_text").isNotNull()
     for m in own.markers:
@@ -71,7 +71,7 @@ def ingest_statements(events: DataFrame, threads: DataFrame, attrs: DataFrame, b
     who = F.col("processlist_user").isNull() | ~F.col("processlist_user").isin(*own.users)
     joined = (events.where(foreign).join(threads, "thread_id", "left").where(who)
               .join(pivot_session_attrs(attrs), "processlist_id", "left")
-              .crossJoin(F.broadcast(boot.select("server_boot_time").limit(1))))
+              .withColumn("server_boot_time", boot.select("server_boot_time").scalar()))
     return joined.withColumns({
         "event_ts": event_time(F.col("server_boot_time"), F.col("timer_start")),
         "fingerprint": fingerprint(F.col("server_boot_time"), F.col("thread_id"), F.col("event_id"), F.col("timer_start"))})
