@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.config import RuleConfig
@@ -94,18 +95,16 @@ def anomaly_rate(df: DataFrame) -> DataFrame:
 
 
 def rank_frequency(df: DataFrame, column: str = "user") -> DataFrame:
-    """Rank of each value by its count; the ranks of equal counts follow the value.
+    """Rank range of each value by its count; values of equal count share the range.
 
-    The rank of a value is one plus the values of larger counts plus its place among equal counts, so
-    no window spans all values.
+    Ranks are found per distinct count, of which there are at most about the square root of the rows,
+    so no window spans the values themselves.
     """
-    from pyspark.sql import Window as W
     c = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    per_count = c.groupBy("n").agg(F.count(F.lit(1)).alias("k"))
-    # Distinct counts grow with the square root of the rows at most.
-    above = per_count.withColumn("before", F.coalesce(F.sum("k").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(W.partitionBy("n").orderBy(column))
-    return c.withColumn("_p", place).join(above.select("n", "before"), "n").select(column, "n", (F.col("before") + F.col("_p")).alias("rank"))
+    w = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranks = c.groupBy("n").agg(F.count(F.lit(1)).alias("_k")).withColumn("rank_to", F.sum("_k").over(w)).withColumn(
+        "rank_from", F.col("rank_to") - F.col("_k") + 1)
+    return c.join(ranks.drop("_k"), "n").select(column, "n", "rank_from", "rank_to")
 
 
 def hourly_activity(df: DataFrame) -> DataFrame:

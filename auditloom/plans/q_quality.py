@@ -74,7 +74,7 @@ def register(cat: Catalog) -> None:
         "SELECT *, CASE WHEN error_rate <= 1 THEN 'EXCELLENT' WHEN error_rate <= 5 THEN 'GOOD' WHEN error_rate <= 15 THEN 'MODERATE' ELSE 'HIGH' END AS band FROM (SELECT count(*) AS total, sum(has_error)::BIGINT AS errors, sum(has_error) * 100.0::DOUBLE / count(*) AS error_rate FROM lb)", rnd={"error_rate": 6})
     add("g05_anomaly_rate", lambda sp, sf: G.anomaly_rate(labelled(sp, sf)),
         "SELECT *, CASE WHEN anomaly_rate <= 2 THEN 'CLEAN' WHEN anomaly_rate <= 15 THEN 'NORMAL' WHEN anomaly_rate <= 40 THEN 'HIGH' ELSE 'EXTREME' END AS band FROM (SELECT count(*) AS total, sum(is_anomaly)::BIGINT AS anomalies, sum(is_anomaly) * 100.0::DOUBLE / count(*) AS anomaly_rate FROM lb)", rnd={"anomaly_rate": 6})
-    add("g06_rank_frequency", lambda sp, sf: G.rank_frequency(labelled(sp, sf), "query"), "SELECT query, n, row_number() OVER (ORDER BY n DESC, query) AS rank FROM (SELECT query, count(*) AS n FROM lb GROUP BY 1)")
+    add("g06_rank_frequency", lambda sp, sf: G.rank_frequency(labelled(sp, sf), "query"), "SELECT query, n, rank() OVER (ORDER BY n DESC) AS rank_from, rank() OVER (ORDER BY n DESC) + count(*) OVER (PARTITION BY n) - 1 AS rank_to FROM (SELECT query, count(*) AS n FROM lb GROUP BY 1)")
     add("g07_hourly_activity", lambda sp, sf: G.hourly_activity(labelled(sp, sf)), 'SELECT hour("timestamp") AS hour, count(*) AS n FROM lb GROUP BY 1', ints=("hour",))
     add("g07_daily_activity", lambda sp, sf: G.daily_activity(labelled(sp, sf)), 'SELECT CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS day, count(*) AS n, sum(is_anomaly)::BIGINT AS anomalies FROM lb GROUP BY 1')
     add("g07_peak_hours", lambda sp, sf: G.peak_hours(labelled(sp, sf)), 'SELECT hour("timestamp") AS hour, count(*) AS n FROM lb GROUP BY 1 ORDER BY n DESC, hour LIMIT 3', ints=("hour",))

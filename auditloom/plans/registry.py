@@ -7,7 +7,7 @@ from importlib import import_module
 
 from auditloom.plans.catalog import Catalog
 
-MODULES = ("q_features", "q_rules", "q_tables", "q_monitor", "q_status", "q_quality")
+MODULES = ("q_features", "q_rules", "q_tables", "q_monitor", "q_status", "q_quality", "q_stream")
 
 
 @lru_cache(maxsize=1)
