@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.config import RuleConfig, ServiceAccount
+from auditloom.functions.joins import spread
 from auditloom.schema import conform
 
 FIXTURE_CONFIG = RuleConfig(
@@ -52,7 +53,7 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_log_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = read_table(spark, sf_dir, "events").selectExpr(
+    e = spread(read_table(spark, sf_dir, "events")).selectExpr(
         "event_id", "ts", "user_id", "event_type", "value", "CAST(get_json_object(props,'$.k') AS INT) AS k")
     a = e.select(
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), "k", "value",
@@ -133,6 +134,6 @@ def statements_sql() -> str:
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One statement per order, cycling through the shapes."""
-    return (read_table(spark, sf_dir, "orders")
+    return (spread(read_table(spark, sf_dir, "orders"))
             .selectExpr("o_orderkey AS id", "CAST(o_custkey % 100 AS INT) AS k")
             .selectExpr("id", "k", f"{statements_sql()} AS query"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from auditloom.functions.once import keep_where
 from auditloom.sources.files import TRAIL_SCHEMA
 
 
@@ -41,14 +42,15 @@ def signed_lines(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
 def verify_trail(lines: DataFrame, columns: Sequence[str], key: str, number: str = "line") -> DataFrame:
     """Bad lines of a trail: corrupted, without hash, or with a hash that does not fit."""
     opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    p = lines.withColumn("e", F.from_json("value", TRAIL_SCHEMA, opts)).where("e.log_type is null or e._bad is not null")
-    e = p.select(number, F.col("e._bad").alias("_bad"), F.col("e.integrity_hash").alias("integrity_hash"),
-                 *[F.col(f"e.{c}").alias(c) for c in columns])
+    parsed = keep_where(lines.select(number, "value"), {"e": F.from_json("value", TRAIL_SCHEMA, opts)},
+                        lambda r: r["e"]["log_type"].isNull() | r["e"]["_bad"].isNotNull())
+    e = parsed.select(number, F.col("e._bad").alias("_bad"), F.col("e.integrity_hash").alias("integrity_hash"),
+                      *[F.col(f"e.{c}").alias(c) for c in columns])
     no = F.col(number).cast("string")
     error = (F.when(F.col("_bad").isNotNull(), F.concat(F.lit("Corrupted entry at line "), no))
              .when(F.coalesce("integrity_hash", F.lit("")) == "", F.concat(F.lit("Missing integrity hash at line "), no))
              .when(hmac_sha256(canonical_json(columns), key) != F.col("integrity_hash"), F.concat(F.lit("Integrity verification failed at line "), no)))
-    return e.withColumn("error", error).where("error is not null").select(number, "error")
+    return keep_where(e, {"error": error}, lambda r: r["error"].isNotNull()).select(number, "error")
 
 
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.chains import sessionize
+from auditloom.functions.once import explode_kept, required_words
 from auditloom.functions.segmented import micros
 from auditloom.functions.text import normalize_for_detection
 from auditloom.monitor import library as L
@@ -30,20 +31,29 @@ def remote() -> Column:
     return ~F.col("source_ip").isin(*L.LOCAL_HOSTS)
 
 
-def found_all(content: Column, regexes: Sequence[str]) -> Column:
+def found_all(content: Column, regexes: Sequence[str], lowered: Column) -> Column:
     """Distinct pieces of the text that any of the patterns matches."""
-    return F.array_distinct(F.flatten(F.array(*[F.regexp_extract_all(content, F.lit(r), F.lit(0)) for r in regexes])))
+    none = F.array().cast("array<string>")
+    pieces = []
+    for r in regexes:
+        cond = None
+        for w in required_words(r):
+            cond = lowered.contains(w) if cond is None else cond & lowered.contains(w)
+        hits = F.regexp_extract_all(content, F.lit(r), F.lit(0))
+        pieces.append(hits if cond is None else F.when(cond, hits).otherwise(none))
+    return F.array_distinct(F.flatten(F.array(*pieces)))
 
 
 def attack_matches(events: DataFrame, library: Sequence[L.AttackPattern] = L.ATTACK_PATTERNS) -> DataFrame:
     """One row per event, content field, pattern and distinct matched piece."""
     contents = F.array(*[F.struct(F.lit(k).alias("content_type"), detail(k).alias("content")) for k in CONTENT_KEYS])
-    c = events.withColumn("_c", F.explode(F.filter(contents, lambda s: F.length(s["content"]) >= 5))).select(
-        *events.columns, "_c.content_type", "_c.content")
+    c = explode_kept(events, "_c", F.filter(contents, lambda s: F.length(s["content"]) >= 5)).select(
+        *events.columns, "_c.content_type", "_c.content", F.lower("_c.content").alias("_low"))
     tries = F.array(*[F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.attack_type).alias("attack_type"),
-                               F.lit(p.weight).alias("weight"), found_all(F.col("content"), p.regexes).alias("m")) for p in library])
-    out = c.withColumn("_p", F.explode(F.filter(tries, lambda p: F.size(p["m"]) > 0)))
-    return out.withColumn("matched", F.explode("_p.m")).withColumns({k: F.col("_p")[k] for k in ("pattern_id", "attack_type", "weight")}).drop("_p")
+                               F.lit(p.weight).alias("weight"), found_all(F.col("content"), p.regexes, F.col("_low")).alias("m")) for p in library])
+    out = explode_kept(c, "_p", F.filter(tries, lambda p: F.size(p["m"]) > 0))
+    out = explode_kept(out, "matched", F.col("_p.m"))
+    return out.withColumns({k: F.col("_p")[k] for k in ("pattern_id", "attack_type", "weight")}).drop("_p", "_low")
 
 
 def attack_indicators(events: DataFrame, account: str, library: Sequence[L.AttackPattern] = L.ATTACK_PATTERNS) -> DataFrame:
@@ -111,14 +121,15 @@ def content() -> Column:
 
 def mechanism_matches(events: DataFrame, library: Sequence[L.Mechanism]) -> DataFrame:
     """One row per event, mechanism and pattern that matches its content."""
-    c = events.withColumn("content", content()).where(F.length("content") >= 10)
+    c = events.withColumn("content", content()).where(F.length("content") >= 10).withColumn("_low", F.lower("content"))
+    low = F.col("_low")
     tries = F.array(*[F.struct(
         F.lit(m.name).alias("mechanism"), F.lit(m.stealth).alias("stealth"),
-        (F.size(F.array_compact(F.array(*[F.when(F.lower("content").contains(w), F.lit(1)) for w in m.words]))) * F.lit(0.1)).alias("words"),
-        matched(F.col("content"), m.regexes).alias("hits")) for m in library])
-    out = c.withColumn("_m", F.explode(F.filter(tries, lambda m: F.size(m["hits"]) > 0)))
-    return out.withColumns({k: F.col("_m")[k] for k in ("mechanism", "stealth", "words")}).withColumn(
-        "pattern", F.explode("_m.hits")).drop("_m")
+        (F.size(F.array_compact(F.array(*[F.when(low.contains(w), F.lit(1)) for w in m.words]))) * F.lit(0.1)).alias("words"),
+        matched(F.col("content"), m.regexes, low).alias("hits")) for m in library])
+    out = explode_kept(c, "_m", F.filter(tries, lambda m: F.size(m["hits"]) > 0))
+    out = explode_kept(out, "pattern", F.col("_m.hits"))
+    return out.withColumns({k: F.col("_m")[k] for k in ("mechanism", "stealth", "words")}).drop("_m", "_low")
 
 
 def persistence_indicators(events: DataFrame, account: str, limit: float = 0.85) -> DataFrame:
@@ -209,7 +220,8 @@ def evasion_indicators(events: DataFrame, account: str, limit: float = 0.6) -> D
         beh = sum((F.coalesce(_behaviour(w, body), F.lit(False)).cast("int") for w in t.words[1:]),
                   F.coalesce(_behaviour(t.words[0], body), F.lit(False)).cast("int"))
         tries.append(F.struct(F.lit(t.name).alias("technique"), obf.alias("obfuscation_matches"), beh.alias("behavioral_matches")))
-    out = c.withColumn("_t", F.explode(F.array(*tries))).select(*c.columns, "_t.*").where("obfuscation_matches > 0 or behavioral_matches > 0")
+    hits = F.filter(F.array(*tries), lambda t: (t["obfuscation_matches"] > 0) | (t["behavioral_matches"] > 0))
+    out = explode_kept(c, "_t", hits).select(*c.columns, "_t.*")
     conf = capped(F.round(F.lit(0.5) + F.least(F.col("obfuscation_matches") * F.lit(0.1), F.lit(0.3))
                           + F.least(F.col("behavioral_matches") * F.lit(0.15), F.lit(0.3))
                           + score((F.col("user_account") == account, 0.2), (off_hours(), 0.1), (F.length("content") > 500, 0.1)), 9))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions import text
 from auditloom.functions.chains import keep_spaced
+from auditloom.functions.once import guarded, keep_where
 from auditloom.functions.segmented import HOUR_US, lag_rows, last_known, range_totals, time_slot
 from auditloom.monitor import library as L
 
@@ -30,8 +31,10 @@ def named(*parts: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*[F.when(cond, F.lit(n) if isinstance(n, str) else n) for cond, n in parts]))
 
 
-def matched(content: Column, regexes: Sequence[str]) -> Column:
-    return F.array_compact(F.array(*[F.when(content.rlike(r), F.lit(r)) for r in regexes]))
+def matched(content: Column, regexes: Sequence[str], lowered: Column | None = None) -> Column:
+    """The patterns that match; ``lowered`` (the text in lower case) lets cheap word tests run first."""
+    low = F.lower(content) if lowered is None else lowered
+    return F.array_compact(F.array(*[F.when(guarded(content, low, r), F.lit(r)) for r in regexes]))
 
 
 def level_score(level: Column, critical: float, high: float, medium: float = 0.0) -> Column:
@@ -125,64 +128,69 @@ def login_failures(connections: DataFrame, limit: int = 5) -> DataFrame:
 def statement_threats(df: DataFrame, audit_table: str = "audit_log", q: str = "query") -> DataFrame:
     """Score, categories and patterns of each statement; rows below 0.3 are left out."""
     c = strip_short(df, q, 10)
-    body = F.col("_c")
+    body, low = F.col("_c"), F.col("_low")
     groups = (("malicious_query", 0.3, L.MALICIOUS), ("reconnaissance", 0.4, L.RECONNAISSANCE), ("privilege_escalation", 0.6, L.ESCALATION))
-    out = c
-    for name, _, regexes in groups:
-        out = out.withColumn(f"_{name}", matched(body, regexes))
-    tamper, perf = F.lower(body).contains(audit_table), F.lower(body).contains("performance_schema")
-    total = sum((F.size(f"_{n}") * F.lit(w) for n, w, _ in groups[1:]), F.size(f"_{groups[0][0]}") * F.lit(groups[0][1]))
-    total = F.round(total + F.when(tamper, 0.5).otherwise(0.0) + F.when(perf, 0.4).otherwise(0.0), 9)
-    cats = named(*[(F.size(f"_{n}") > 0, n) for n, _, _ in groups], (tamper, "audit_log_tampering"), (perf, "performance_schema_access"))
-    out = out.withColumns({"raw_score": total, "categories": cats,
-                           "patterns": F.concat(*[F.col(f"_{n}") for n, _, _ in groups])})
-    return (out.where((F.col("raw_score") >= 0.3) | (F.size("patterns") > 0))
-            .withColumn("risk_score", capped(F.col("raw_score"))).withColumn("is_high_risk", F.col("raw_score") >= 0.6)
-            .drop("_c", *[f"_{n}" for n, _, _ in groups]))
+    found = {name: matched(body, regexes, low) for name, _, regexes in groups}
+    found |= {"tamper": low.contains(audit_table), "perf": low.contains("performance_schema")}
+
+    def derive(s: Column) -> dict[str, Column]:
+        total = F.when(s["tamper"], 0.5).otherwise(0.0) + F.when(s["perf"], 0.4).otherwise(0.0)
+        for n, w, _ in groups:
+            total = total + F.size(s[n]) * F.lit(w)
+        total = F.round(total, 9)
+        cats = named(*[(F.size(s[n]) > 0, n) for n, _, _ in groups], (s["tamper"], "audit_log_tampering"), (s["perf"], "performance_schema_access"))
+        return {"raw_score": total, "categories": cats, "patterns": F.concat(*[s[n] for n, _, _ in groups]),
+                "risk_score": capped(total), "is_high_risk": total >= 0.6}
+    return keep_where(c, found, lambda r: (r["raw_score"] >= 0.3) | (F.size(r["patterns"]) > 0), derive).drop("_c", "_low")
 
 
 def strip_short(df: DataFrame, q: str, shortest: int) -> DataFrame:
-    return df.withColumn("_c", text.strip(F.coalesce(F.col(q), F.lit("")))).where(F.length("_c") >= shortest)
+    """Trimmed text ``_c`` and its lower case ``_low``; shorter texts are left out."""
+    return (df.withColumn("_c", text.strip(F.coalesce(F.col(q), F.lit("")))).where(F.length("_c") >= shortest)
+            .withColumn("_low", F.lower("_c")))
 
 
 def suspicious_statements(df: DataFrame, q: str = "query") -> DataFrame:
     """Scorer whose patterns and words come from settings."""
     c = strip_short(df, q, 1)
-    body = F.col("_c")
-    pats = matched(body, [f"(?i){p}" for p in L.SUSPICIOUS])
-    words = named(*[(F.upper(body).contains(w.upper()), f"privilege_keyword:{w}") for w in L.PRIVILEGE_WORDS])
-    schema = F.lower(body).contains("information_schema")
-    total = F.round(F.size(pats) * F.lit(0.3) + F.size(words) * F.lit(0.4) + F.when(schema, 0.5).otherwise(0.0), 9)
-    return (c.withColumns({"n_patterns": F.size(pats), "words": words, "_s": total}).where("_s >= 0.3")
-            .withColumn("risk_score", capped(F.col("_s"))).drop("_c", "_s"))
+    body, low = F.col("_c"), F.col("_low")
+    found = {"pats": matched(body, [f"(?i){p}" for p in L.SUSPICIOUS], low),
+             "words": named(*[(low.contains(w.lower()), f"privilege_keyword:{w}") for w in L.PRIVILEGE_WORDS]),
+             "schema": low.contains("information_schema")}
+
+    def derive(s: Column) -> dict[str, Column]:
+        total = F.round(F.size(s["pats"]) * F.lit(0.3) + F.size(s["words"]) * F.lit(0.4) + F.when(s["schema"], 0.5).otherwise(0.0), 9)
+        return {"n_patterns": F.size(s["pats"]), "words": s["words"], "raw_score": total, "risk_score": capped(total)}
+    return keep_where(c, found, lambda r: r["raw_score"] >= 0.3, derive).drop("_c", "_low", "raw_score")
 
 
 def counter_query_risk(df: DataFrame, q: str = "query", rows_sent: str = "rows_returned") -> DataFrame:
     """Statements that read server counters: reconnaissance groups, credentials, volume, sensitive names."""
     c = strip_short(df, q, 10)
-    body = F.col("_c")
-    total, names = F.lit(0.0), []
-    for name, risk, regexes in L.COUNTER_RECON:
-        n = F.size(matched(body, regexes))
-        total = total + n * F.lit(risk)
-        names.append((n > 0, name))
-    cred = F.size(matched(body, L.CREDENTIALS))
-    bulk, large = F.col(rows_sent) > 1000, (F.col(rows_sent) > 100) & (F.col(rows_sent) <= 1000)
-    total = total + cred * F.lit(0.8) + F.when(bulk, 0.4).when(large, 0.2).otherwise(0.0)
-    names += [(cred > 0, "credential_extraction_attempt"), (bulk, "bulk_data_extraction"), (large, "large_result_set")]
-    low = F.lower(body)
-    for t, level in L.TABLE_LEVELS.items():
-        if level in ("critical", "high"):
-            total = total + F.when(low.contains(t), 0.6 if level == "critical" else 0.4).otherwise(0.0)
-            names.append((low.contains(t), f"{'critical' if level == 'critical' else 'high_risk'}_table_query:{t}"))
-    return (c.withColumns({"_s": F.round(total, 9), "indicators": named(*names)}).where((F.col("_s") >= 0.3) | (F.size("indicators") > 0))
-            .withColumn("risk_score", capped(F.col("_s"))).withColumn("is_high_risk", F.col("_s") >= 0.7).drop("_c", "_s"))
+    body, low = F.col("_c"), F.col("_low")
+    found = {name: F.size(matched(body, regexes, low)) for name, _, regexes in L.COUNTER_RECON}
+    found["credentials"] = F.size(matched(body, L.CREDENTIALS, low))
+    tables = [(t, level) for t, level in L.TABLE_LEVELS.items() if level in ("critical", "high")]
+    found["tables"] = F.array_compact(F.array(*[F.when(low.contains(t), F.lit(f"{'critical' if level == 'critical' else 'high_risk'}_table_query:{t}"))
+                                                for t, level in tables]))
+    found["sent"] = F.col(rows_sent)
+
+    def derive(s: Column) -> dict[str, Column]:
+        bulk, large = s["sent"] > 1000, (s["sent"] > 100) & (s["sent"] <= 1000)
+        total = s["credentials"] * F.lit(0.8) + F.when(bulk, 0.4).when(large, 0.2).otherwise(0.0)
+        for name, risk, _ in L.COUNTER_RECON:
+            total = total + s[name] * F.lit(risk)
+        critical = F.size(F.filter(s["tables"], lambda t: t.startswith("critical")))
+        total = F.round(total + critical * F.lit(0.6) + (F.size(s["tables"]) - critical) * F.lit(0.4), 9)
+        names = named(*[(s[n] > 0, n) for n, _, _ in L.COUNTER_RECON], (s["credentials"] > 0, "credential_extraction_attempt"),
+                      (bulk, "bulk_data_extraction"), (large, "large_result_set"))
+        return {"raw_score": total, "indicators": F.concat(names, s["tables"]), "risk_score": capped(total), "is_high_risk": total >= 0.7}
+    return keep_where(c, found, lambda r: (r["raw_score"] >= 0.3) | (F.size(r["indicators"]) > 0), derive).drop("_c", "_low", "raw_score")
 
 
 def credential_block(df: DataFrame, q: str = "query") -> DataFrame:
     """Statements to block, with the first pattern they match."""
-    out = df.withColumn("pattern", F.get(matched(F.col(q), L.CREDENTIALS), 0))
-    return out.where("pattern is not null")
+    return keep_where(df, {"pattern": F.get(matched(F.col(q), L.CREDENTIALS), 0)}, lambda r: r["pattern"].isNotNull())
 
 
 # --- counters (object_name, count_read, count_write, count_fetch, count_insert, count_update, count_delete) -------------

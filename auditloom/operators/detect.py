@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.config import RuleConfig
 from auditloom.functions import text
+from auditloom.functions.joins import measured
 from auditloom.operators import rules as R
 from auditloom.schema import safe_double, safe_long
 
@@ -19,9 +20,9 @@ SET_NAMES = {R.ACCESS: "rule_access", R.INSIDER: "rule_insider", R.TECHNICAL: "r
 
 
 def _mark(df: DataFrame, hits: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Left join of unique hit keys as a boolean. AQE broadcasts ``hits`` only when its measured size allows."""
-    return (df.join(hits.select(*keys).distinct().withColumn(flag, F.lit(True)), keys, "left")
-            .withColumn(flag, F.coalesce(flag, F.lit(False))))
+    """Left join of unique hit keys as a boolean."""
+    small = measured(hits.select(*keys).distinct()).withColumn(flag, F.lit(True))
+    return df.join(small, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
@@ -64,7 +65,7 @@ def _mark_rows(out: DataFrame, base: DataFrame, cfg: RuleConfig, overtime: DataF
         for f in found[1:]:
             ids = ids.unionByName(f)
         kinds = ids.groupBy("event_id").agg(*[F.max(F.col("_k") == k).alias(f"_{k}") for k in "nst"])
-        out = out.join(kinds, "event_id", "left")
+        out = out.join(measured(kinds), "event_id", "left")
         excused_night, excused_hour, travel = (F.coalesce(f"_{k}", F.lit(False)) for k in "nst")
     return out.withColumns({
         "r03": travel, "r07": R.is_night(cfg) & ~excused_night,
@@ -95,7 +96,7 @@ def apply_profile(labelled: DataFrame, profile: DataFrame | None, cfg: RuleConfi
     if profile is None:
         return labelled.withColumn(f"hit_{R.PROFILE}", F.lit(False))
     eligible = ~(F.col(f"hit_{R.ACCESS}") | F.col(f"hit_{R.INSIDER}") | F.col(f"hit_{R.TECHNICAL}"))
-    p = profile.select("user", F.col("hour").alias("_h"), F.col("cnt").alias("_cnt"))
+    p = measured(profile.select("user", F.col("hour").alias("_h"), F.col("cnt").alias("_cnt")))
     hour = F.hour("timestamp")
     return (labelled.withColumn("_h", hour).join(p, ["user", "_h"], "left")
             .withColumn(f"hit_{R.PROFILE}", eligible & (F.coalesce("_cnt", F.lit(0)) < cfg.min_occurrences_threshold))

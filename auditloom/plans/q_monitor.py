@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from auditloom.functions import text
+from auditloom.functions.joins import spread
 from auditloom.monitor import library as L
 from auditloom.monitor import patterns as P
 from auditloom.monitor import risk as R
@@ -83,7 +83,7 @@ ACCESS = f"""acc AS (SELECT event_id, "timestamp", "user", concat('host_', CAST(
 
 def probes(sp, sf):
     """Statements that probe the server, from the orders."""
-    return X.read_table(sp, sf, "orders").selectExpr("o_orderkey AS id", "CAST(o_custkey % 100 AS INT) AS k", f"{_probe_sql('o_orderkey')} AS query",
+    return spread(X.read_table(sp, sf, "orders")).selectExpr("o_orderkey AS id", "CAST(o_custkey % 100 AS INT) AS k", f"{_probe_sql('o_orderkey')} AS query",
                                                      "CAST(o_custkey * 7 % 2000 AS BIGINT) AS rows_returned")
 
 

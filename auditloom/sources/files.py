@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.functions.once import keep_where
 from auditloom.schema import AUDIT_SCHEMA, conform
 
 CSVLOG_COLUMNS = ("log_time", "user_name", "database_name", "process_id", "connection_from", "session_id",
@@ -88,9 +89,11 @@ TRAIL_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (
 
 def trail_entries(lines: DataFrame) -> DataFrame:
     """JSON lines (``value``) as entries: header lines and unreadable lines are left out."""
-    parsed = lines.withColumn("e", F.from_json("value", TRAIL_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    opts = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    parsed = keep_where(lines, {"e": F.from_json("value", TRAIL_SCHEMA, opts)}, lambda r: (
+        r["e"]["_bad"].isNull() & r["e"]["log_type"].isNull() & r["e"]["entry_id"].isNotNull()))
     other = [c for c in lines.columns if c != "value"]
-    return parsed.where("e._bad is null and e.log_type is null and e.entry_id is not null").select(*other, "e.*").drop("_bad", "log_type")
+    return parsed.select(*other, "e.*").drop("_bad", "log_type")
 
 
 def read_audit_trail(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
