@@ -34,19 +34,22 @@ def keep_spaced(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int, slot_u
     rows = df.withColumn("_t", micros(ts))
     nodes = rows.select(*keys, "_t").distinct()
     slot = F.call_function("div", F.col("_t") - F.pmod("_t", F.lit(slot_us)), F.lit(slot_us).cast("long"))
-    seen = lag_rows(nodes, keys, ["_t"], ["_t"], slot)
+    checkpoint_dir(spark)
+    seen = lag_rows(nodes, keys, ["_t"], ["_t"], slot).checkpoint()
     lone = F.col("prev__t").isNull() | (F.col("_t") - F.col("prev__t") >= gap_us)
     heads = seen.where(lone).select(*keys, "_t")
     bursts = last_known(seen, keys, ["_t"], {"_h": F.when(lone, F.col("_t"))}, slot)
     longest = bursts.agg(F.max(F.col("_t") - F.col("_h")).alias("m")).first().m or 0
     kept = heads
     if longest >= gap_us:
-        checkpoint_dir(spark)
         inside = bursts.select(*keys, "_t", "_h")
         jump = _next_at_or_after(inside, [*keys, "_h"], gap_us, slot_us).select(*keys, "_t", "_n").checkpoint()
-        for _ in range(math.ceil(math.log2(longest / gap_us + 1))):
+        rounds = math.ceil(math.log2(longest / gap_us + 1))
+        for i in range(rounds):
             hop = kept.join(jump, [*keys, "_t"]).select(*keys, F.col("_n").alias("_t"))
             kept = kept.unionByName(hop).distinct().checkpoint()
+            if i == rounds - 1:
+                break
             two = jump.select(*keys, F.col("_t").alias("_n"), F.col("_n").alias("_n2"))
             jump = jump.join(two, [*keys, "_n"]).select(*keys, "_t", F.col("_n2").alias("_n")).checkpoint()
     return rows.join(kept, [*keys, "_t"], "left_semi").select(*df.columns)

@@ -8,23 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from auditloom.session import checkpoint_dir
+
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
                       bins: int = 200) -> DataFrame:
     """One row per key with each named percentile (linear interpolation), nulls ignored.
 
     The built-in ``percentile`` buffers every distinct value of a group. Here a bounded sketch only
-    chooses cut points that split each group into about ``bins`` equal parts. Counts per part tell
+    chooses cut points that split each group's values into about ``bins`` equal parts. Counts per part tell
     which parts hold the wanted ranks, and only those parts are ordered, each in its own task.
     """
     keys = list(keys)
     one = not keys
     src = df.where(F.col(value).isNotNull()).select(*(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_x"))
     keys = keys or ["_all"]
-    counts = src.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+    # One slim row per distinct value, written once: everything below reads it several times.
+    checkpoint_dir(df.sparkSession)
+    counts = src.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).checkpoint()
     grid = F.array(*[F.lit(i / bins) for i in range(1, bins)])
-    info = src.groupBy(*keys).agg(F.percentile_approx("_x", grid, 10 * bins).alias("_cuts"),
-                                  F.count(F.lit(1)).alias("_n"))
+    info = counts.groupBy(*keys).agg(F.percentile_approx("_x", grid, 10 * bins).alias("_cuts"), F.sum("_c").alias("_n"))
     binned = counts.join(info.select(*keys, "_cuts"), keys).select(
         *keys, "_x", "_c", F.size(F.filter("_cuts", lambda e: e < F.col("_x"))).alias("_bin"))
     per_bin = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_bc"))

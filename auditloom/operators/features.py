@@ -10,6 +10,7 @@ from auditloom.functions import text
 from auditloom.functions.segmented import HOUR_US, lag_rows, micros, range_totals, tail_rows, time_slot
 from auditloom.functions.quantiles import exact_percentiles
 from auditloom.schema import safe_long
+from auditloom.session import checkpoint_dir
 
 FIVE_MINUTES_US = 300_000_000
 
@@ -157,8 +158,14 @@ def gaps(df: DataFrame, keys, slot_us: int = HOUR_US) -> DataFrame:
     return out.withColumn("gap_sec", (micros("timestamp") - micros("prev_timestamp")) / F.lit(1e6))
 
 
+def _slim_gaps(df: DataFrame, keys) -> DataFrame:
+    """Gaps alone, written once because their readers go over them several times."""
+    checkpoint_dir(df.sparkSession)
+    return gaps(df, keys).where("gap_sec is not null").select(*keys, "gap_sec").checkpoint()
+
+
 def gap_summary(df: DataFrame, keys) -> DataFrame:
-    g = gaps(df, keys).where("gap_sec is not null").select(*keys, "gap_sec")
+    g = _slim_gaps(df, keys)
     basic = g.groupBy(*keys).agg(
         F.count("gap_sec").alias("n"), F.avg("gap_sec").alias("mean"), F.stddev_samp("gap_sec").alias("std"),
         F.min("gap_sec").alias("min"), F.max("gap_sec").alias("max"))
@@ -172,7 +179,7 @@ def gap_regularity(df: DataFrame, keys, tolerance: float = 0.1, min_ratio: float
     A perfectly even series has standard deviation 0 and no gap is *below* 0, so it is not flagged
     unless ``include_zero_std`` is set.
     """
-    g = gaps(df, keys).where("gap_sec is not null").select(*keys, "gap_sec")
+    g = _slim_gaps(df, keys)
     stats = g.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_gaps"), F.avg("gap_sec").alias("mean_gap"),
                                  F.stddev_samp("gap_sec").alias("std_gap"))
     near = F.abs(F.col("gap_sec") - F.col("mean_gap")) < F.col("std_gap") * F.lit(tolerance)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from auditloom.config import RuleConfig
 from auditloom.functions import text
+from auditloom.functions.joins import measured
+from auditloom.functions.once import keep_where
 from auditloom.functions.segmented import HOUR_US, lag_rows, micros, time_slot
 from auditloom.sources.geo import locate
 
@@ -220,8 +222,8 @@ def late_night(df: DataFrame, overtime: DataFrame, cfg: RuleConfig) -> DataFrame
 
 
 def multi_table_candidates(df: DataFrame) -> DataFrame:
-    rows = df.where(_q().rlike("(?i)SELECT|SHOW|DESCRIBE")).withColumn("tables", text.touched_tables(_q()))
-    return rows.where(F.size("tables") > 0)
+    rows = df.where(_q().rlike("(?i)SELECT|SHOW|DESCRIBE"))
+    return keep_where(rows, {"tables": text.touched_tables(_q())}, lambda r: F.size(r["tables"]) > 0)
 
 
 def multi_table_windows(df: DataFrame, cfg: RuleConfig) -> DataFrame:
@@ -235,7 +237,13 @@ def multi_table_windows(df: DataFrame, cfg: RuleConfig) -> DataFrame:
 def multi_table_rows(df: DataFrame, cfg: RuleConfig) -> DataFrame:
     win = F.window("timestamp", f"{cfg.multi_table_window_minutes} minutes").getField("start")
     return (multi_table_candidates(df).withColumn("window_start", win)
-            .join(multi_table_windows(df, cfg), ["user", "window_start"], "left_semi"))
+            .join(measured(multi_table_windows(df, cfg).select("user", "window_start")), ["user", "window_start"], "left_semi"))
+
+
+def high_entropy_rows(df: DataFrame, cfg: RuleConfig) -> DataFrame:
+    """Rows of the entropy rule; an entropy that is missing is computed once."""
+    value = F.coalesce("query_entropy", text.entropy(_q()))
+    return keep_where(df, {"entropy": value}, lambda r: r["entropy"] > cfg.max_query_entropy)
 
 
 def learn_profile(df: DataFrame) -> DataFrame:

@@ -37,7 +37,8 @@ def _rules(cat: Catalog) -> None:
 
         def run(spark, sf):
             df = audit(spark, sf)
-            return (R.with_entropy(df) if key == "r16" else df).where(rule.predicate(CFG)).select(
+            hits = R.high_entropy_rows(df, CFG) if key == "r16" else df.where(rule.predicate(CFG))
+            return hits.select(
                 "event_id", "user", "client_ip", F.lit(rule.label).alias("rule"))
         return run
 
