@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditloom.functions.cut import written
 from auditloom.functions.segmented import HOUR_US, lag_rows, last_known, micros, time_slot
-from auditloom.session import checkpoint_dir
 
 
 def sessionize(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int, order: Sequence[str], slot_us: int = HOUR_US) -> DataFrame:
@@ -21,21 +21,21 @@ def sessionize(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int, order:
     return out.drop(f"_before_{ts}")
 
 
-def keep_spaced(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int, slot_us: int = HOUR_US) -> DataFrame:
+def keep_spaced(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int, slot_us: int = HOUR_US, tie: str | None = None) -> DataFrame:
     """Rows that are the key's first, or at least ``gap_us`` after the last *kept* time.
 
+    Of several rows at a kept time the one with the smallest ``tie`` stays; without it all stay.
+
     Keeping is a chain: whether a time is kept depends on the one kept before. A time after a pause
     of a full gap is always kept, so it can start from there. Inside a dense burst every time points
     to the first one a gap later, and doubling those pointers marks the whole chain in a number of
-    steps that is the logarithm of its length; the steps are joins, cut by checkpoints.
+    steps that is the logarithm of its length; the steps are joins over written tables.
     """
     keys = list(keys)
-    spark = df.sparkSession
     rows = df.withColumn("_t", micros(ts))
     nodes = rows.select(*keys, "_t").distinct()
     slot = F.call_function("div", F.col("_t") - F.pmod("_t", F.lit(slot_us)), F.lit(slot_us).cast("long"))
-    checkpoint_dir(spark)
-    seen = lag_rows(nodes, keys, ["_t"], ["_t"], slot).checkpoint()
+    seen = written(lag_rows(nodes, keys, ["_t"], ["_t"], slot))
     lone = F.col("prev__t").isNull() | (F.col("_t") - F.col("prev__t") >= gap_us)
     heads = seen.where(lone).select(*keys, "_t")
     bursts = last_known(seen, keys, ["_t"], {"_h": F.when(lone, F.col("_t"))}, slot)
@@ -43,16 +43,20 @@ def keep_spaced(df: DataFrame, keys: Sequence[str], ts: str, gap_us: int, slot_u
     kept = heads
     if longest >= gap_us:
         inside = bursts.select(*keys, "_t", "_h")
-        jump = _next_at_or_after(inside, [*keys, "_h"], gap_us, slot_us).select(*keys, "_t", "_n").checkpoint()
+        jump = written(_next_at_or_after(inside, [*keys, "_h"], gap_us, slot_us).select(*keys, "_t", "_n"))
         rounds = math.ceil(math.log2(longest / gap_us + 1))
         for i in range(rounds):
             hop = kept.join(jump, [*keys, "_t"]).select(*keys, F.col("_n").alias("_t"))
-            kept = kept.unionByName(hop).distinct().checkpoint()
+            kept = written(kept.unionByName(hop).distinct())
             if i == rounds - 1:
                 break
             two = jump.select(*keys, F.col("_t").alias("_n"), F.col("_n").alias("_n2"))
-            jump = jump.join(two, [*keys, "_n"]).select(*keys, "_t", F.col("_n2").alias("_n")).checkpoint()
-    return rows.join(kept, [*keys, "_t"], "left_semi").select(*df.columns)
+            jump = written(jump.join(two, [*keys, "_n"]).select(*keys, "_t", F.col("_n2").alias("_n")))
+    out = rows.join(kept, [*keys, "_t"], "left_semi")
+    if tie is None:
+        return out.select(*df.columns)
+    first = out.groupBy(*keys, "_t").agg(F.min_by(F.struct(*df.columns), F.col(tie)).alias("_row"))
+    return first.select("_row.*")
 
 
 def _next_at_or_after(nodes: DataFrame, keys: Sequence[str], gap_us: int, slot_us: int) -> DataFrame:

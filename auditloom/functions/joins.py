@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.session import checkpoint_dir
+from auditloom.functions.cut import written
 
 BROADCAST_ROWS = 1_000_000
 
@@ -16,8 +16,7 @@ def measured(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     Broadcasting spares the log a shuffle with all its statement texts. A larger side keeps the plain
     join, where the adaptive plan splits hot keys. The written table also cuts the lineage.
     """
-    checkpoint_dir(small.sparkSession)
-    kept = small.checkpoint()
+    kept = written(small)
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 

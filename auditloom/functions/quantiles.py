@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from auditloom.session import checkpoint_dir
+from auditloom.functions.cut import written
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float],
@@ -24,8 +24,7 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dic
     src = df.where(F.col(value).isNotNull()).select(*(keys or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_x"))
     keys = keys or ["_all"]
     # One slim row per distinct value, written once: everything below reads it several times.
-    checkpoint_dir(df.sparkSession)
-    counts = src.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")).checkpoint()
+    counts = written(src.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c")))
     grid = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     info = counts.groupBy(*keys).agg(F.percentile_approx("_x", grid, 10 * bins).alias("_cuts"), F.sum("_c").alias("_n"))
     binned = counts.join(info.select(*keys, "_cuts"), keys).select(

@@ -40,7 +40,7 @@ def component_key() -> Column:
 def suppress(alerts: DataFrame, window_sec: int = 300) -> DataFrame:
     """Alerts that stay: none of the same type and components was kept in the window before."""
     keyed = alerts.withColumn("_key", component_key())
-    return keep_spaced(keyed, ["threat_type", "_key"], "timestamp", window_sec * 1_000_000).drop("_key")
+    return keep_spaced(keyed, ["threat_type", "_key"], "timestamp", window_sec * 1_000_000, tie="detection_id").drop("_key")
 
 
 def filter_alerts(alerts: DataFrame, priority: str | None = None, status: str | None = None, components=None, tags=None) -> DataFrame:

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.chains import sessionize
+from auditloom.functions.cut import written
 from auditloom.functions.once import explode_kept, required_words
 from auditloom.functions.segmented import micros
 from auditloom.functions.text import normalize_for_detection
 from auditloom.monitor import library as L
 from auditloom.monitor.risk import capped, matched, score
 from auditloom.operators.features import gap_regularity
-from auditloom.session import checkpoint_dir
 
 CONTENT_KEYS = ("query", "query_snippet", "argument")
 
@@ -102,9 +102,8 @@ def attack_sequences(detections: DataFrame, gap_sec: int = 300, min_events: int
                      timeout_sec: int = 3600) -> DataFrame:
     """Runs of detections of one source and type with pauses up to the gap; each detection counts once."""
     keys = ["source_ip", "user_account", "attack_type"]
-    checkpoint_dir(detections.sparkSession)
     # Detections are few; written once, the pattern matching behind them does not run again.
-    slim = detections.select(*keys, "timestamp", "event_id", "confidence").checkpoint()
+    slim = written(detections.select(*keys, "timestamp", "event_id", "confidence"))
     runs = sessionize(slim, keys, "timestamp", gap_sec * 1_000_000, ["timestamp", "event_id"])
     out = runs.groupBy(*keys, "session_start").agg(F.count(F.lit(1)).alias("event_count"), F.max("timestamp").alias("end_time"),
                                                    mean_confidence().alias("confidence_score")).where(F.col("event_count") >= min_events)
@@ -260,8 +259,7 @@ def variations(patterns: DataFrame, low: float = 0.7, high: float = 0.95, repeat
     are produced, however many statements resemble each other.
     """
     keys = ["user_account", "source_ip"]
-    checkpoint_dir(patterns.sparkSession)
-    patterns = patterns.checkpoint()
+    patterns = written(patterns)
     sets = patterns.withColumn("words", F.array_distinct(F.filter(F.split("normalized", r"\s+"), lambda w: w != ""))).where(F.size("words") > 0)
     rare = sets.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("f"))
     ranked = (sets.select(*keys, "normalized", F.explode("words").alias("w")).join(rare, "w")

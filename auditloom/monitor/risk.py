@@ -277,7 +277,7 @@ def event_key() -> Column:
 
 def drop_repeats(events: DataFrame, ttl_sec: int) -> DataFrame:
     """Events of the same kind, place and account within the TTL of a kept one are dropped."""
-    return keep_spaced(events.withColumn("event_key", event_key()), ["event_key"], "timestamp", ttl_sec * 1_000_000)
+    return keep_spaced(events.withColumn("event_key", event_key()), ["event_key"], "timestamp", ttl_sec * 1_000_000, tie="event_id")
 
 
 def load_patterns(patterns: DataFrame, most: int = 5000) -> list:

@@ -7,10 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions import text
+from auditloom.functions.cut import written
 from auditloom.functions.segmented import HOUR_US, lag_rows, micros, range_totals, tail_rows, time_slot
 from auditloom.functions.quantiles import exact_percentiles
 from auditloom.schema import safe_long
-from auditloom.session import checkpoint_dir
 
 FIVE_MINUTES_US = 300_000_000
 
@@ -160,8 +160,7 @@ def gaps(df: DataFrame, keys, slot_us: int = HOUR_US) -> DataFrame:
 
 def _slim_gaps(df: DataFrame, keys) -> DataFrame:
     """Gaps alone, written once because their readers go over them several times."""
-    checkpoint_dir(df.sparkSession)
-    return gaps(df, keys).where("gap_sec is not null").select(*keys, "gap_sec").checkpoint()
+    return written(gaps(df, keys).where("gap_sec is not null").select(*keys, "gap_sec"))
 
 
 def gap_summary(df: DataFrame, keys) -> DataFrame:

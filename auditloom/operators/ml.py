@@ -15,9 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from auditloom.functions.cut import written
 from auditloom.functions.quantiles import exact_percentiles
 from auditloom.operators.features import sequences
-from auditloom.session import checkpoint_dir
 
 # Columns that are never features.
 EXCLUDED = ("timestamp", "event_id", "query", "normalized_query", "error_message", "is_anomaly", "ml_anomaly_score",
@@ -96,16 +96,15 @@ def reconstruction_labels(df: DataFrame, cols: Sequence[str], cfg: ModelConfig =
 
 def train(buffer: DataFrame, cfg: ModelConfig = ModelConfig()) -> PipelineModel | None:
     """Boosted trees on pseudo labels; None while the buffer is too small."""
-    checkpoint_dir(buffer.sparkSession)
     # The buffer is small by definition; written once, the training passes do not compute features again.
-    buffer = buffer.checkpoint()
+    buffer = written(buffer)
     if buffer.limit(cfg.min_train_size).count() < cfg.min_train_size:
         return None
     num, cat = feature_columns(buffer)
     coded = Pipeline(stages=indexers(cat)).fit(buffer)
     labelled = reconstruction_labels(coded.transform(buffer), [*num, *[f"{c}_code" for c in cat]], cfg)
     weighted = labelled.withColumn("_w", F.when(F.col("label") == 1.0, cfg.positive_weight).otherwise(1.0))
-    filled = weighted.fillna(0, subset=num).checkpoint()
+    filled = written(weighted.fillna(0, subset=num))
     codes = [s.getOutputCol() for s in coded.stages]
     stages = [VectorAssembler(inputCols=[*num, *codes], outputCol="features", handleInvalid="keep"),
               GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxIter=cfg.trees, stepSize=cfg.learning_rate,

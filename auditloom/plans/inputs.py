@@ -39,6 +39,6 @@ def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
     if key not in _written:
         path = f"{checkpoint_dir(spark)}/detected-{uuid.uuid4().hex}"
         logs = detection(spark, sf_dir).logs.withColumn("event_date", F.to_date("timestamp"))
-        logs.write.partitionBy("event_date").parquet(path)
+        logs.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(path)
         _written[key] = path
     return D.Detection(spark.read.parquet(_written[key]), CFG)

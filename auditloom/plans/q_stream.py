@@ -21,23 +21,28 @@ from auditloom.streaming import jobs as J
 CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-10")
 
 
-def staged(sp, df, ts: str, name: str):
-    """The rows as a stream of three files' worth of ten days each, in time order."""
+def feed(sp, df, ts: str, name: str, start, cuts=CUTS):
+    """Ten days' rows at a time: append them to the source folder, then let the stream catch up.
+
+    ``start`` starts the stream on the source; every round resumes from its checkpoint.
+    """
     path = fresh(sp, name)
-    for lo, hi in zip(CUTS, CUTS[1:]):
-        df.where((F.col(ts) >= lo) & (F.col(ts) < hi)).coalesce(1).write.mode("append").parquet(path)
-    return sp.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    for lo, hi in zip(cuts, cuts[1:]):
+        df.where((F.col(ts) >= F.lit(lo).cast("timestamp")) & (F.col(ts) < F.lit(hi).cast("timestamp"))).write.mode("append").parquet(path)
+        start(sp.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
-def drain(sp, stream, job, name: str):
-    J.run(stream, job, fresh(sp, f"{name}-ckpt"), available_now=True).awaitTermination()
+def drain(sp, df, ts: str, job, name: str):
+    """Run a batch job over the fed rows."""
+    ckpt = fresh(sp, f"{name}-ckpt")
+    feed(sp, df, ts, f"{name}-in", lambda stream: J.run(stream, job, ckpt, available_now=True))
 
 
-def collect_stream(sp, stream, name: str):
-    """Run an append stream to its end and read what it wrote."""
-    out = fresh(sp, name)
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", fresh(sp, f"{name}-ckpt")).trigger(
-        availableNow=True).start().awaitTermination()
+def collect_stream(sp, df, ts: str, transform, name: str, cuts=CUTS):
+    """Run an append stream over the fed rows and read what it wrote."""
+    out, ckpt = fresh(sp, f"{name}-out"), fresh(sp, f"{name}-ckpt")
+    feed(sp, df, ts, f"{name}-in", lambda stream: transform(stream).writeStream.format("parquet").option("path", out).option(
+        "checkpointLocation", ckpt).trigger(availableNow=True).start(), cuts)
     return sp.read.parquet(out)
 
 
@@ -49,7 +54,7 @@ def register(cat: Catalog) -> None:
 def detected_stream(sp, sf):
     out = fresh(sp, "stream-detect")
     job = J.DetectionJob(out, lambda: CFG, X.overtime(sp, sf), X.geo_ranges(sp, sf))
-    drain(sp, staged(sp, X.audit_log_raw(sp, sf), "timestamp", "stream-in"), job, "detect")
+    drain(sp, X.audit_log_raw(sp, sf), "timestamp", job, "detect")
     return J.written(sp, f"{out}/logs")
 
 
@@ -58,13 +63,13 @@ def _streams(cat: Catalog) -> None:
     cat.add("x01_micro_batch_detection", lambda sp, sf: detected_stream(sp, sf).select("event_id", F.concat_ws(";", *[F.when(F.col(r), r) for r in (*row_hits, "r01", "r30")]).alias("hits")),
             S.sql("flags", "SELECT event_id, concat_ws(';', " + ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in (*row_hits, "r01", "r30")) + ") AS hits FROM flags"))
     for minutes in (1, 4, 5):
-        cat.add(f"x02_tumbling_{minutes}m", lambda sp, sf, m=minutes: collect_stream(sp, J.tumbling_counts(staged(sp, audit(sp, sf), "timestamp", "tumble"), m), "tumble-out"),
+        cat.add(f"x02_tumbling_{minutes}m", lambda sp, sf, m=minutes: collect_stream(sp, audit(sp, sf), "timestamp", lambda s: J.tumbling_counts(s, m), "tumble"),
                 S.sql("audit", f"""SELECT "user", time_bucket(INTERVAL {minutes} MINUTE, "timestamp") AS window_start, count(*) AS n FROM audit GROUP BY 1, 2
                  HAVING time_bucket(INTERVAL {minutes} MINUTE, min("timestamp")) + INTERVAL {minutes} MINUTE <= date_trunc('millisecond', (SELECT max("timestamp") FROM audit) - INTERVAL 10 SECOND)"""), ts=("window_start",))
 
     def rolling(sp, sf):
         out = fresh(sp, "stream-rolling")
-        drain(sp, staged(sp, X.audit_log_raw(sp, sf), "timestamp", "rolling-in"), J.RollingJob(out), "rolling")
+        drain(sp, X.audit_log_raw(sp, sf), "timestamp", J.RollingJob(out), "rolling")
         return J.written(sp, f"{out}/features")
     cat.add("x03_rolling_lookback", lambda sp, sf: rolling(sp, sf).select("event_id", "query_count_5m", "total_rows_5m"),
             S.sql("audit", """SELECT event_id, count(*) OVER w AS query_count_5m, sum(rows_returned) OVER w AS total_rows_5m FROM audit
@@ -73,45 +78,32 @@ def _streams(cat: Catalog) -> None:
     def learnt(sp, sf):
         out = fresh(sp, "stream-profile")
         job = J.DetectionJob(out, lambda: CFG)
-        drain(sp, staged(sp, X.audit_log_raw(sp, sf), "timestamp", "profile-in"), job, "profile")
+        drain(sp, X.audit_log_raw(sp, sf), "timestamp", job, "profile")
         return job.profile(sp, 99)
     cat.add("x04_profile_state", learnt, S.sql("det", """SELECT "user", hour("timestamp") AS hour, count(*) AS cnt, max("timestamp") AS last_seen FROM det WHERE NOT h_tec GROUP BY 1, 2"""), ts=("last_seen",), ints=("hour",))
 
     def sessions(sp, sf):
         out = fresh(sp, "stream-lines")
-        lines = log_lines(sp, sf)
-        path = fresh(sp, "lines-in")
-        us = F.floor(F.col("pos") / 10)
-        for lo, hi in zip(CUTS, CUTS[1:]):
-            part = lines.where((us >= F.unix_micros(F.lit(lo).cast("timestamp"))) & (us < F.unix_micros(F.lit(hi).cast("timestamp"))))
-            part.coalesce(1).write.mode("append").parquet(path)
+        lines = log_lines(sp, sf).withColumn("at", F.timestamp_micros(F.floor(F.col("pos") / 10)))
         job = J.LogSessionJob(out, "user_7")
-        drain(sp, sp.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).parquet(path), job, "lines")
+        drain(sp, lines, "at", job, "lines")
         done = J.written(sp, f"{out}/statements").drop("batch_id")
         return done.unionByName(job.finish(sp, len(CUTS) - 2))
     cat.add("x05_log_sessions", lambda sp, sf: sessions(sp, sf).select("timestamp", "user", "client_ip", "database", "query", "thread"),
             cat.items["s11_general_log_text"].sql)
-    cat.add("x06_replay_dedup", lambda sp, sf: collect_stream(sp, J.drop_replayed(staged(sp, ingested(sp, sf).unionByName(ingested(sp, sf).where("event_id % 3 = 0")).select(
-        "event_id", "event_ts", "fingerprint"), "event_ts", "dedup")), "dedup-out").select("event_id", "fingerprint"),
+    cat.add("x06_replay_dedup", lambda sp, sf: collect_stream(sp, ingested(sp, sf).unionByName(ingested(sp, sf).where("event_id % 3 = 0")).select(
+        "event_id", "event_ts", "fingerprint"), "event_ts", J.drop_replayed, "dedup").select("event_id", "fingerprint"),
         S.sql("audit", "SELECT event_id, fingerprint FROM st", STATEMENTS))
 
     def late(sp, sf):
-        """The last file also brings rows five seconds older than the file before it, and rows days older.
-
-        Late rows are judged by the watermark of the batch before, so two files come first.
-        """
+        """The last feed also brings rows five seconds older than the feed before it, and rows days older."""
         a = audit(sp, sf).select("event_id", "timestamp", "user")
-        path = fresh(sp, "late-in")
-        first = a.where("timestamp < '2024-01-11'")
-        newest = first.agg(F.max("timestamp")).scalar()
-        first.where("timestamp < '2024-01-06'").coalesce(1).write.parquet(path)
-        first.where("timestamp >= '2024-01-06'").coalesce(1).write.mode("append").parquet(path)
+        newest = a.where("timestamp < '2024-01-11'").agg(F.max("timestamp")).scalar()
         second = a.where("timestamp >= '2024-01-11'")
         tardy = second.where("event_id % 7 = 0").withColumn("timestamp", newest - F.expr("INTERVAL 5 SECONDS"))
         lost = second.where("event_id % 7 = 1").withColumn("timestamp", newest - F.expr("INTERVAL 8 DAYS"))
-        second.unionByName(tardy).unionByName(lost).coalesce(1).write.mode("append").parquet(path)
-        s = sp.readStream.schema(a.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        return collect_stream(sp, J.tumbling_counts(s, 5), "late-out")
+        feeds = a.withColumn("fed", F.col("timestamp")).unionByName(tardy.unionByName(lost).withColumn("fed", F.lit("2024-01-12").cast("timestamp")))
+        return collect_stream(sp, feeds, "fed", lambda s: J.tumbling_counts(s, 5), "late", ("2024-01-01", "2024-01-06", "2024-01-11", "2024-02-10"))
     cat.add("x07_late_data", lambda sp, sf: late(sp, sf).groupBy().agg(F.sum("n").alias("counted")),
             S.sql("audit", """SELECT CAST(sum(n) AS BIGINT) AS counted FROM (SELECT "user", time_bucket(INTERVAL 5 MINUTE, t) AS w, count(*) AS n FROM rows GROUP BY 1, 2) WHERE w + INTERVAL 5 MINUTE <= (SELECT max("timestamp") FROM audit) - INTERVAL 10 SECOND""",
                   """m AS (SELECT max("timestamp") AS t FROM audit WHERE "timestamp" < TIMESTAMP '2024-01-11'),
@@ -119,11 +111,10 @@ def _streams(cat: Catalog) -> None:
 
     def suppressed(sp, sf):
         from auditloom.monitor.alerts import component_key
-        t = threats(sp, sf).select("threat_type", component_key().alias("component_key"), "event_id", F.unix_micros("timestamp").alias("us"), "timestamp")
-        s = staged(sp, t, "timestamp", "alerts").drop("timestamp")
-        # Keyed map and TTL state live in the RocksDB store.
-        sp.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-        return collect_stream(sp, J.suppress_stream(s, 43_200), "alerts-out")
+        t = threats(sp, sf).select("threat_type", component_key().alias("component_key"), "event_id", "timestamp")
+        job = J.SuppressionJob(fresh(sp, "stream-alerts"), 43_200)
+        drain(sp, t, "timestamp", job, "alerts")
+        return job.alerts(sp)
     cat.add("l02_suppression_stream", lambda sp, sf: suppressed(sp, sf).select("event_id", "threat_type"),
             chain_sql("audit", [THREATS, """al AS (SELECT *, threat_type || '|' || array_to_string(list_sort(comps), '|') AS key FROM thr)"""], "event_id, threat_type", 43_200_000_000))
 

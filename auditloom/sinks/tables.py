@@ -48,8 +48,12 @@ def stored_logs(df: DataFrame) -> DataFrame:
 
 def write_daily(df: DataFrame, path: str, sort: tuple[str, ...] = ("user", "timestamp"), mode: str = "append",
                 partition: str = "event_date") -> None:
-    """Parquet by day. Rows are sorted inside tasks so that readers can skip row groups by user."""
-    df.sortWithinPartitions(partition, *sort).write.mode(mode).option("compression", "snappy").partitionBy(partition).parquet(path)
+    """Parquet by day. Rows are sorted inside tasks so that readers can skip row groups by user.
+
+    The rebalance gathers each day into files of the advised size and splits a large day over many,
+    instead of one small file per task and day.
+    """
+    df.hint("rebalance", partition).sortWithinPartitions(partition, *sort).write.mode(mode).option("compression", "snappy").partitionBy(partition).parquet(path)
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000) -> None:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from auditloom.config import RuleConfig
+from auditloom.functions.chains import keep_spaced
 from auditloom.operators import detect as D
 from auditloom.operators import features as FE
 from auditloom.operators import rules as R
@@ -158,44 +158,33 @@ def streaming_sequences(detections: DataFrame, gap: str = "300 seconds", delay:
             .select("source_ip", "user_account", "attack_type", F.col("session_window.start").alias("session_start"), "event_count", "confidence_score"))
 
 
-def _suppressor(window_us: int):
-    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-    from pyspark.sql.types import LongType, StructField, StructType
-
-    class Suppressor(StatefulProcessor):
-        """Keeps the time of the last kept alert of a key."""
-
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.kept = handle.getValueState("kept", StructType([StructField("us", LongType())]), ttlDurationMs=None)
-
-        def handleInputRows(self, key, rows, timerValues):
-            last = self.kept.get()[0] if self.kept.exists() else None
-            start = last
-            for pdf in rows:
-                pdf = pdf.sort_values("us")
-                keep = []
-                for us in pdf["us"]:
-                    ok = last is None or us == last or us - last >= window_us
-                    keep.append(ok)
-                    last = int(us) if ok else last
-                yield pdf[pd.Series(keep, index=pdf.index)]
-            if last != start:
-                self.kept.update((last,))
-
-        def close(self) -> None:
-            pass
-
-    return Suppressor()
+@dataclass
+class SuppressionJob:
+    """Alerts (threat_type, component_key, event_id, timestamp) kept a window apart, across batches.
 
+    The last kept time of each key enters the next batch as its first row, so the batch operator goes
+    on where the batch before ended, without a task that holds all rows of a key.
+    """
 
-def suppress_stream(alerts: DataFrame, window_sec: int = 300) -> DataFrame:
-    """Alerts (threat_type, component_key, event_id, us) that no kept alert of their key precedes within the window.
+    out: str
+    window_sec: int = 300
 
-    State is one number per key and rows come in Arrow batches. Batches of a key must follow in time.
-    """
-    return alerts.groupBy("threat_type", "component_key").transformWithStateInPandas(
-        statefulProcessor=_suppressor(window_sec * 1_000_000),
-        outputStructType="threat_type string, component_key string, event_id bigint, us bigint", outputMode="Append", timeMode="None")
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark, keys = batch.sparkSession, ["threat_type", "component_key"]
+        rows = batch.select(*keys, "event_id", "timestamp")
+        if batch_id > 0:
+            last = spark.read.parquet(f"{self.out}/last/batch_id={batch_id - 1}")
+            # Event number -1 marks the carried row and sorts before real rows of its time.
+            rows = rows.unionByName(last.withColumn("event_id", F.lit(-1).cast("long")))
+        write_batch(rows, f"{self.out}/rows", batch_id)
+        mine = spark.read.parquet(f"{self.out}/rows/batch_id={batch_id}")
+        kept = keep_spaced(mine, keys, "timestamp", self.window_sec * 1_000_000, tie="event_id")
+        write_batch(kept, f"{self.out}/kept", batch_id)
+        done = spark.read.parquet(f"{self.out}/kept/batch_id={batch_id}")
+        write_batch(done.groupBy(*keys).agg(F.max("timestamp").alias("timestamp")), f"{self.out}/last", batch_id)
+
+    def alerts(self, spark: SparkSession) -> DataFrame:
+        return written(spark, f"{self.out}/kept").where("event_id <> -1")
 
 
 def patterns_from_table(patterns: DataFrame, base: tuple = (), most: int = 5000) -> tuple:
