@@ -70,18 +70,21 @@ def parse_general_log(lines: DataFrame, filter_user: str | None = None) -> DataF
     order = ["block", "pos"]
 
     # Continuation lines go to the latest command of the file, if that is a statement.
-    shape = last_known(c, ["file"], order, {"owner": F.when(F.col("kind").isNotNull(), F.struct(F.col("kind").alias("k"), at.alias("at")))},
+    # Only their text travels with them; command lines are reduced to their place here.
+    slim = c.select("file", "block", "pos", "kind", F.when(F.col("kind").isNull() & (F.col("line") != ""), F.col("value")).alias("more"))
+    shape = last_known(slim, ["file"], order, {"owner": F.when(F.col("kind").isNotNull(), F.struct(F.col("kind").alias("k"), at.alias("at")))},
                        F.col("block"))
-    tails = (shape.where(F.col("kind").isNull() & (F.col("line") != "") & (F.col("owner.k") == "query"))
-             .select("file", F.col("owner.at").alias("at"), at.alias("o"), "value")
-             .groupBy("file", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "value"))),
-                                                                 lambda s: s["value"]), "\n").alias("tail")))
+    # A statement is one value in the end, so its lines may meet in one list.
+    tails = (shape.where(F.col("more").isNotNull() & (F.col("owner.k") == "query"))
+             .select("file", F.col("owner.at").alias("at"), at.alias("o"), "more")
+             .groupBy("file", "at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "more"))),
+                                                                 lambda s: s["more"]), "\n").alias("tail")))
 
     opened = F.when(F.col("kind") == "connect", F.struct(F.lit(True).alias("open"), F.col("c_user").alias("user"), F.col("c_host").alias("host")))
     closed = F.when(F.col("kind") == "quit", F.struct(F.lit(False).alias("open"), F.lit(None).cast("string").alias("user"),
                                                       F.lit(None).cast("string").alias("host")))
     used = F.when(F.col("kind") == "query", _some(F.regexp_extract("sql", USE_STATEMENT, 1)))
-    commands = c.where(F.col("kind").isNotNull())
+    commands = c.where(F.col("kind").isNotNull()).select("file", "block", "pos", "kind", "thread", "stamp", "c_user", "c_host", "c_db", "i_db", "sql")
     sessions = last_known(commands, ["file", "thread"], order, {
         "session": F.coalesce(opened, closed), "db": F.coalesce(F.col("c_db"), F.col("i_db"), used)}, F.col("block"))
     stmts = sessions.where((F.col("kind") == "query") & F.col("session.open")).withColumn("at", at)
