@@ -108,8 +108,8 @@ def _baselines(cat: Catalog) -> None:
         b = B.with_maturity(B.baselines(hist, CFG), t(NOW), B.BaselineConfig(learning_hours=10_000))
         return B.learning_anomalies(checked(sp, sf), b, B.members(hist))
     cat.add("b04_learning_anomalies", learning, S.sql("audit", """SELECT event_id, "timestamp", user_account, 'excessive_concurrent_sessions' AS anomaly_type, 'high' AS severity, 0.9::DOUBLE AS confidence,
-         concurrent / CAST(concurrent_limit AS DOUBLE) AS deviation, CAST(CAST(concurrent AS BIGINT) AS VARCHAR) AS observed FROM late JOIN bl USING (user_account) WHERE concurrent > greatest(concurrent_limit, 5)
-        UNION ALL SELECT event_id, "timestamp", l.user_account, 'new_subnet_connection', 'high', 0.8, 1.0, l.source_ip FROM late l JOIN bl ON bl.user_account = l.user_account AND n_hosts >= 2
+         concurrent / CAST(concurrent_limit AS DOUBLE) AS deviation, CAST(CAST(concurrent AS BIGINT) AS VARCHAR) AS observed FROM late JOIN bm USING (user_account) WHERE established AND concurrent > greatest(concurrent_limit, 5)
+        UNION ALL SELECT event_id, "timestamp", l.user_account, 'new_subnet_connection', 'high', 0.8, 1.0, l.source_ip FROM late l JOIN bm ON bm.user_account = l.user_account AND established AND n_hosts >= 2
          WHERE array_to_string(string_split(source_ip, '.')[1:3], '.') NOT IN (SELECT array_to_string(string_split(value, '.')[1:3], '.') FROM mem m WHERE m.user_account = l.user_account AND kind = 'host')""",
         INFRA, _base_sql(), CHECKED), ts=("timestamp",), rnd={"deviation": 6, "confidence": 6}, )
     cat.add("b05_mature_anomalies", mature, S.sql("audit", "SELECT * FROM anom", INFRA, _base_sql(), CHECKED, MATURE), ts=("timestamp",), rnd={"deviation": 6, "confidence": 6})
