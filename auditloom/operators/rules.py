@@ -57,7 +57,9 @@ def seconds_of_day(clock: str) -> int:
 
 
 def time_of_day_us(ts: str = "timestamp") -> Column:
-    return F.pmod(micros(ts), F.lit(86_400_000_000))
+    """Microseconds since midnight of the session's time zone."""
+    whole = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return whole.cast("long") * 1_000_000 + F.pmod(micros(ts), F.lit(1_000_000))
 
 
 def is_night(cfg: RuleConfig) -> Column:

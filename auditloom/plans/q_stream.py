@@ -15,7 +15,7 @@ from auditloom.plans.inputs import CFG, audit, stored
 from auditloom.plans.q_monitor import ACCOUNT, INFRA, SRC, chain_sql, infra
 from auditloom.plans.q_status import THREATS, threats
 from auditloom.plans.q_tables import STATEMENTS, fresh, ingested, log_lines
-from auditloom.sources import general_log
+from auditloom.sources.files import stream_text
 from auditloom.streaming import jobs as J
 
 CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-10")
@@ -95,6 +95,17 @@ def _streams(cat: Catalog) -> None:
         "event_id", "event_ts", "fingerprint"), "event_ts", J.drop_replayed, "dedup").select("event_id", "fingerprint"),
         S.sql("audit", "SELECT event_id, fingerprint FROM st", STATEMENTS))
 
+    def discovered(sp, sf):
+        """Text files that arrive in two rounds; the checkpoint lets every line be read once."""
+        path, out, ckpt = fresh(sp, "files-in"), fresh(sp, "files-out"), fresh(sp, "files-ckpt")
+        rows = audit(sp, sf).select(F.concat_ws(" ", F.col("event_id").cast("string"), "query").alias("value"), "event_id")
+        for part in (0, 1):
+            rows.where(F.col("event_id") % 2 == part).select("value").write.mode("append").text(path)
+            stream_text(sp, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(
+                availableNow=True).start().awaitTermination()
+        return sp.read.parquet(out)
+    cat.add("s13_incremental_files", discovered, S.sql("audit", "SELECT CAST(event_id AS VARCHAR) || ' ' || query AS value FROM audit"))
+
     def late(sp, sf):
         """The last feed also brings rows five seconds older than the feed before it, and rows days older."""
         a = audit(sp, sf).select("event_id", "timestamp", "user")
