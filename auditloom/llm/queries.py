@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import arc, bpe, decontaminate, langid, quality, toxicity
+from auditloom.llm import arc, bpe, decontaminate, jaccard, langid, quality, sampling, substring, suffixes, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.linked_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -38,6 +46,14 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.compared(table(spark, sf_dir, "documents"))
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,7 +62,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (op1_bpe, op2_quality, op5_language, op6_toxicity, op9_decontamination, op10_warc)}
+QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
+    op1_bpe, op2_quality, op3_jaccard, op4_suffixes, op5_language, op6_toxicity, op7_fingerprints, op8_substrings, op9_decontamination, op10_warc)}
 
 SQL: dict[str, str] = {
     "op10_warc": """
