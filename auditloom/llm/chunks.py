@@ -9,12 +9,13 @@ simply computed again: the order of a set does not depend on the order of its ro
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from auditloom.llm.common import flat, mixed
 
@@ -23,8 +24,8 @@ CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
 ANSWER = "_chunk int, bucket int, round int, bits binary"
 
 
-def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame, int, int]:
-    """doc_id, text (nulls empty) and ``_chunk``; the number of chunks; all text bytes.
+def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, passed_on: list[str] | None = None) -> tuple[DataFrame, int]:
+    """doc_id, text, ``_chunk`` and, renamed ``_p0``, ``_p1``, ..., the columns to be passed on; all text bytes.
 
     Chunks are ranges of doc_id, in order: every id of a chunk is below every id of the next one; null ids come last.
     The cuts (a bounded sketch gives them) are a small sorted array.
@@ -35,15 +36,15 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> tuple[DataFrame,
     cuts = docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * n)).alias("c")).first()["c"] if steps else []
     inner = np.unique(np.array(cuts or [], np.int64))
 
-    def place(batches):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id")
             at = np.searchsorted(inner, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
             at[ids.is_null().to_numpy(zero_copy_only=False)] = len(inner)
-            yield pa.RecordBatch.from_arrays([ids, b.column("text"), pa.array(at.astype(np.int32))], ["doc_id", "text", "_chunk"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], [*b.schema.names, "_chunk"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(place, "doc_id long, text string, _chunk int"), len(inner) + 1, int(size["b"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"_p{k}") for k, c in enumerate(passed_on or [])])
+    return rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("_chunk", T.IntegerType())])), int(size["b"])
 
 
 def bucket_bits(packed_bytes: int) -> int:

@@ -214,7 +214,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, width: int, percent: int, chunk_bytes: int) -> DataFrame:
-    texts, _, size = C.chunked(docs, chunk_bytes)
+    texts, size = C.chunked(docs, chunk_bytes)
     bits = C.bucket_bits(size)
     counts = C.asked(texts, KEYS, ask_counts(bits, width)).groupBy("bucket").applyInArrow(total_counts, C.ANSWER)
     return written(C.told(texts, counts, SETS, describe(bits, width, percent)))

@@ -172,7 +172,7 @@ def remove(bits: int):
 
 def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the remaining words, joined by one space) of every row."""
-    texts, _, size = C.chunked(docs, chunk_bytes)
+    texts, size = C.chunked(docs, chunk_bytes)
     bits = C.bucket_bits(size)  # about one word, and one packed key, per six bytes of text
     blocks = C.asked(texts, PROBES, ask_blocks(bits)).groupBy("bucket").applyInArrow(match_blocks, C.ANSWER)
     windows = C.told(texts, blocks, WINDOWS, ask_windows(bits)).groupBy("bucket").applyInArrow(match_windows, C.ANSWER)

@@ -290,12 +290,14 @@ def match_spans(table: pa.Table) -> pa.Table:
     return answer(table, 2, np.r_[0, np.cumsum(windows)][edge], every)
 
 
-def remove(bits: int):
+def remove(bits: int, passed_on: int = 0):
+    """Rows without the repeated bytes. With columns passed on, ``kept`` loses the parts of cut letters as well."""
     def use(table: pa.Table, replies: pa.Table) -> pa.Table:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        more = [f"_p{k}" for k in range(passed_on)]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *more]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if more else pa.binary()]
         if not table.num_rows:
-            return pa.table([pa.array([], k) for k in kinds], names)
+            return pa.table([*(pa.array([], k) for k in kinds), *(table.column(c) for c in more)], names)
         c = Chunk(table)
         open_, anchor, _, first, at = c.spans(replies, bits)
         windows = (open_.high - open_.low + 1)[first]
@@ -320,20 +322,45 @@ def remove(bits: int):
         spans = np.bincount(row[begin], minlength=table.num_rows)
         kept = c.body[~gone].tobytes()
         edge = np.r_[0, np.cumsum(size - n_gone)].tolist()
-        return pa.table([c.ids.combine_chunks(), pa.array(size), pa.array(n_gone), pa.array(spans),
-                         pa.array([kept[s:e] for s, e in zip(edge[:-1], edge[1:])], pa.binary())], names)
+        rows = [kept[s:e] for s, e in zip(edge[:-1], edge[1:])]
+        text = pa.array([x.decode("utf-8", "ignore") for x in rows], pa.string()) if more else pa.array(rows, pa.binary())
+        return pa.table([c.ids.combine_chunks(), pa.array(size), pa.array(n_gone), pa.array(spans), text, *(table.column(x) for x in more)], names)
     return use
 
 
-def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row."""
-    texts, _, size = C.chunked(docs, chunk_bytes)
+KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+
+
+def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, passed_on: list[str] | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row.
+
+    With columns to be passed on, ``kept`` is a text, and these columns follow as ``_p0``, ``_p1``, ...
+    """
+    texts, size = C.chunked(docs, chunk_bytes, passed_on)
     bits = C.bucket_bits(size // 2)
     anchors = C.asked(texts, ANCHORS, ask_anchors(bits)).groupBy("bucket").applyInArrow(match_anchors, C.ANSWER)
     spans = C.told(texts, anchors, SPANS, ask_spans(bits)).groupBy("bucket").applyInArrow(match_spans, C.ANSWER)
-    return C.told(texts, anchors.unionByName(spans), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", remove(bits))
+    schema = KEPT
+    if passed_on:
+        more = ", ".join(f"_p{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(passed_on))
+        schema = f"{KEPT.replace('kept binary', 'kept string')}, {more}"
+    return C.told(texts, anchors.unionByName(spans), schema, remove(bits, len(passed_on or [])))
 
 
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return without_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def cleaned(docs: DataFrame) -> DataFrame:
+    """The documents with all their columns, ``text`` without repeated bytes and, if there is one, ``n_chars`` set anew.
+
+    Nothing is removed from a text without repeats, which stays as it is, null included.
+    """
+    rows = without_repeats(docs, passed_on=docs.columns)
+    old = {c: F.col(f"_p{k}") for k, c in enumerate(docs.columns)}
+    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(old["text"])
+    new = old | {"text": text}
+    if "n_chars" in old:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(old["n_chars"])
+    return rows.select(*[v.alias(c) for c, v in new.items()])
