@@ -55,7 +55,7 @@ class Record:
 
     def split(self) -> tuple[bytes, bytes]:
         """Protocol headers (none for what is no HTTP response) and payload."""
-        if self.url[:4].lower() == "http" and self.body[:5] == b"HTTP/":
+        if self.body[:5] == b"HTTP/":
             head, sep, payload = self.body.partition(b"\r\n\r\n")
             return head + sep, payload
         return b"", self.body
@@ -251,7 +251,8 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
         for b in batches:
             for name, content, again in zip(b.column("path").to_pylist(), b.column("content"), b.column("repeats").to_pylist()):
                 made = warc_archive(name.rsplit("/", 1)[-1], plain(content.as_py()), {r["offset"]: r["first_id"] for r in again or []})
-                yield pa.RecordBatch.from_arrays([pa.array([made.decode()[:-1]], pa.large_string())], ["value"])
+                if made:  # a task without pages leaves an empty file
+                    yield pa.RecordBatch.from_arrays([pa.array([made.decode()[:-1]], pa.large_string())], ["value"])
 
     archives = opened(spark, arc_path)
     joined = archives.join(decided, archives["path"] == decided["archive"], "left").select("path", "content", "repeats")
