@@ -36,7 +36,7 @@ def read_tag(df: DataFrame, query: str = "query", user: str = "user", host: str
            "sim_ip": F.when(tagged, F.get(parts, 1)).otherwise(F.split_part(F.col(host), F.lit(":"), F.lit(1)))}
     for name, (key, default) in TAG_KEYS.items():
         # The last entry of a key counts, as later entries replace earlier ones.
-        hits = _starting_with(F.slice(parts, 3, 1000), f"{key}:")
+        hits = _starting_with(F.slice(parts, 3, F.size(parts)), f"{key}:")
         value = F.when(tagged & (F.size(hits) > 0), F.replace(F.element_at(hits, -1), F.lit(f"{key}:"), F.lit("")))
         out[name] = F.coalesce(value, F.lit(default)) if default is not None else value
     out["is_anomaly"] = out["is_anomaly"].try_cast("int")

@@ -59,25 +59,20 @@ def count_by_priority(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("priority").agg(F.count(F.lit(1)).alias("n"))
 
 
-def matching_rules(alerts: DataFrame, rules: DataFrame, most_rules: int = 1000) -> DataFrame:
+def matching_rules(alerts: DataFrame, rules: DataFrame) -> DataFrame:
     """Notification rules (rule_id, enabled, min_priority, components, tags) each alert meets; null lists allow all.
 
-    Rules are settings. They become expressions, so the alerts are read once and not joined; more
-    than ``most_rules`` are refused.
+    A rule has one row per priority that it is for, so any number of rules joins on the priority.
     """
-    rows = rules.where("enabled").limit(most_rules + 1).collect()
-    if len(rows) > most_rules:
-        raise ValueError(f"more than {most_rules} notification rules")
-    hits = []
-    for r in rows:
-        cond = F.col("priority") >= r.min_priority
-        if r.components:
-            cond = cond & F.arrays_overlap("affected_components", F.array(*[F.lit(c) for c in r.components]))
-        if r.tags:
-            cond = cond & F.arrays_overlap("tags", F.array(*[F.lit(t) for t in r.tags]))
-        hits.append(F.when(cond, F.lit(r.rule_id)))
-    return alerts.withColumn("rule_id", F.explode(F.array_compact(F.array(*hits)))) if hits else alerts.withColumn(
-        "rule_id", F.lit(None).cast("string")).where(F.lit(False))
+    highest = max(PRIORITY.values())
+    rows = rules.where((F.col("enabled")) & (F.col("min_priority") <= highest)).select(
+        "rule_id", F.col("components").alias("_components"), F.col("tags").alias("_tags"),
+        F.explode(F.sequence(F.greatest(F.col("min_priority"), F.lit(min(PRIORITY.values()))), F.lit(highest))).alias("priority"))
+
+    def allows(wanted: str, own: str) -> Column:
+        return F.col(wanted).isNull() | (F.size(wanted) == 0) | F.arrays_overlap(own, wanted)
+
+    return alerts.join(rows, "priority").where(allows("_components", "affected_components") & allows("_tags", "tags")).drop("_components", "_tags")
 
 
 def escalations_due(alerts: DataFrame, now: Column, after_min: int = 30, most: int = 3, min_priority: str = "high") -> DataFrame:

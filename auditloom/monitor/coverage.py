@@ -17,10 +17,9 @@ def component_spine(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.explode(F.array(*[F.lit(c) for c in L.COMPONENTS])).alias("component"))
 
 
-def correlations(events: DataFrame, newest: int = 100) -> DataFrame:
-    """Five-minute buckets with several of the newest events."""
-    last = events.orderBy(F.desc("timestamp"), F.desc("event_id")).limit(newest)
-    g = last.groupBy(F.window("timestamp", "5 minutes").getField("start").alias("bucket")).agg(
+def correlations(events: DataFrame) -> DataFrame:
+    """Five-minute buckets with several events; read-outs of the newest ones filter the result by time."""
+    g = events.groupBy(F.window("timestamp", "5 minutes").getField("start").alias("bucket")).agg(
         F.count(F.lit(1)).alias("n_events"), F.array_sort(F.collect_set("target_component")).alias("components")).where("n_events > 1")
     out = g.withColumn("correlation_score", F.least(F.lit(1.0), F.col("n_events") / F.lit(10.0)))
     return out.withColumns({"correlation_id": F.concat(F.lit("corr_"), F.date_format("bucket", "yyyyMMdd_HHmm")),
@@ -137,12 +136,11 @@ def interaction_patterns(interactions: DataFrame) -> DataFrame:
         (F.count(F.lit(1)) / F.lit(3600.0)).alias("frequency"), F.array_sort(F.collect_set(F.date_format("timestamp", "HH"))).alias("hours"))
 
 
-def analysis_gaps(runs: DataFrame, expected_sec: int = 300, newest: int = 10) -> DataFrame:
-    """Pauses of more than twice the expected time among the last analyses (``server``, ``timestamp``)."""
-    last = runs.orderBy(F.desc("timestamp")).limit(newest)
-    w = W.orderBy("timestamp")
-    gap = (F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(w))) / F.lit(1e6)
-    return last.withColumn("gap_sec", gap).where(F.col("gap_sec") > 2 * expected_sec).withColumn(
+def analysis_gaps(runs: DataFrame, expected_sec: int = 300, slot_us: int = HOUR_US) -> DataFrame:
+    """Pauses of more than twice the expected time between the analyses of a server (``server``, ``timestamp``)."""
+    seen = lag_rows(runs.withColumn("_at", F.col("timestamp")), ["server"], ["timestamp"], ["_at"], time_slot("timestamp", slot_us))
+    gap = (F.unix_micros("timestamp") - F.unix_micros("prev__at")) / F.lit(1e6)
+    return seen.select("server", "timestamp", gap.alias("gap_sec")).where(F.col("gap_sec") > 2 * expected_sec).withColumn(
         "gap_percentage", F.least(F.lit(100.0), F.col("gap_sec") / F.lit(3600.0) * F.lit(100.0)))
 
 

@@ -194,13 +194,12 @@ def credential_block(df: DataFrame, q: str = "query") -> DataFrame:
 
 
 # --- counters (object_name, count_read, count_write, count_fetch, count_insert, count_update, count_delete) -------------
-def counter_risk(io: DataFrame, top: int = 100) -> DataFrame:
-    """Risk of the most used counter tables."""
+def counter_risk(io: DataFrame) -> DataFrame:
+    """Risk of every counter table in use."""
     reads = F.col("count_read") + F.col("count_fetch")
     writes = F.col("count_write") + F.col("count_insert") + F.col("count_update") + F.col("count_delete")
-    used = (io.where((F.col("object_schema") == "performance_schema")
-                     & ((F.col("count_read") > 0) | (F.col("count_write") > 0) | (F.col("count_fetch") > 0)))
-            .orderBy(F.desc(F.col("count_read") + F.col("count_write") + F.col("count_fetch")), "object_name").limit(top))
+    used = io.where((F.col("object_schema") == "performance_schema")
+                    & ((F.col("count_read") > 0) | (F.col("count_write") > 0) | (F.col("count_fetch") > 0)))
     d = used.withColumns({"total_writes": writes, "total_access": reads + writes, "level": table_level(F.col("object_name"))}).where("total_access > 0")
     lvl = F.coalesce("level", F.lit("none"))
     many, some = F.col("total_access") > 1000, (F.col("total_access") > 100) & (F.col("total_access") <= 1000)
@@ -214,10 +213,9 @@ def counter_risk(io: DataFrame, top: int = 100) -> DataFrame:
             .where((F.col("risk_score") >= 0.4) | (F.size("indicators") > 0)).drop("level"))
 
 
-def counter_risk_basic(io: DataFrame, top: int = 50) -> DataFrame:
+def counter_risk_basic(io: DataFrame) -> DataFrame:
     total = F.col("count_read") + F.col("count_write") + F.col("count_misc")
-    used = io.where("object_schema = 'performance_schema'").withColumn("total_access", total).where("total_access > 0").orderBy(
-        F.desc("total_access"), "object_name").limit(top)
+    used = io.where("object_schema = 'performance_schema'").withColumn("total_access", total).where("total_access > 0")
     s = score((F.lower("object_name").isin(*L.SENSITIVE_COUNTERS), 0.6), (F.col("total_access") > 100, 0.3))
     return used.withColumn("risk_score", capped(s)).where("risk_score >= 0.5")
 
@@ -280,17 +278,16 @@ def drop_repeats(events: DataFrame, ttl_sec: int) -> DataFrame:
     return keep_spaced(events.withColumn("event_key", event_key()), ["event_key"], "timestamp", ttl_sec * 1_000_000, tie="event_id")
 
 
-def load_patterns(patterns: DataFrame, most: int = 5000) -> list:
-    """The rows of a pattern table for use in expressions; a library larger than ``most`` is refused."""
-    rows = patterns.limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"the pattern table holds more than {most} rows")
-    return rows
+#: Patterns in one array expression.
+PATTERNS_AT_ONCE = 200
 
 
 def keyword_search(df: DataFrame, patterns: DataFrame, q: str = "query") -> DataFrame:
     """Patterns (pattern_id, keyword, regex) a text matches; the cheap keyword test runs first."""
     low = F.lower(F.col(q))
+    # Patterns are settings: they become expressions, in arrays of bounded size, however many there are.
     hits = [F.when(low.contains(p.keyword.lower()), F.when(F.col(q).rlike(f"(?i){p.regex}") if p.regex else F.lit(True), F.lit(p.pattern_id)))
-            for p in load_patterns(patterns)]
-    return df.withColumn("pattern_ids", F.array_sort(F.array_distinct(F.array_compact(F.array(*hits))))).where(F.size("pattern_ids") > 0)
+            for p in patterns.toLocalIterator()]
+    parts = [F.array_compact(F.array(*hits[k:k + PATTERNS_AT_ONCE])) for k in range(0, len(hits), PATTERNS_AT_ONCE)]
+    found = F.flatten(F.array(*parts)) if parts else F.lit(None).cast("array<string>")
+    return df.withColumn("pattern_ids", F.array_sort(F.array_distinct(found))).where(F.size("pattern_ids") > 0)

@@ -26,8 +26,8 @@ def _mark(df: DataFrame, hits: DataFrame, keys: list[str], flag: str) -> DataFra
 
 
 def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
-             geo_ranges: DataFrame | None = None) -> DataFrame:
-    """Every rule r01..r30 as a boolean column. ``event_id`` must identify a row.
+             geo_ranges: DataFrame | None = None, attackers: DataFrame | None = None) -> DataFrame:
+    """Every rule r01..r30 as a boolean column. ``event_id`` must identify a row; ``attackers`` (client_ip) are known before.
 
     What joins back to the log is always the rare side: windows and addresses that were hit, rows a
     ticket excuses, jumps between places. Late-night rows, which are many, stay an expression.
@@ -38,7 +38,8 @@ def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
     out = _mark(out.withColumn("window_start", start), R.concurrent_login_windows(base, cfg),
                 ["user", "window_start"], "r01").drop("window_start")
     connect = (F.col("error_code") == 0) & F.col("event_name").isin(*cfg.connect_events)
-    out = _mark(out, R.brute_force_addresses(base, cfg), ["client_ip"], "r02").withColumn("r02", F.col("r02") & connect)
+    hostile = R.brute_force_addresses(base, cfg)
+    out = _mark(out, hostile if attackers is None else hostile.unionByName(attackers.select("client_ip")), ["client_ip"], "r02").withColumn("r02", F.col("r02") & connect)
     out = _mark_rows(out, base, cfg, overtime, geo_ranges)
     slot = F.window("timestamp", f"{cfg.multi_table_window_minutes} minutes").getField("start")
     out = _mark(out.withColumn("window_start", slot), R.multi_table_windows(base, cfg),
@@ -130,7 +131,7 @@ def finalize(df: DataFrame, cfg: RuleConfig) -> DataFrame:
 
 @dataclass
 class Detection:
-    """Lazy result of one detection run; every member is a DataFrame plan."""
+    """Result of one detection run; every member is a DataFrame plan over the flagged log."""
 
     logs: DataFrame
     cfg: RuleConfig
@@ -170,9 +171,12 @@ class Detection:
 
 
 def detect(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None, geo_ranges: DataFrame | None = None,
-           profile: DataFrame | None = None, scored: DataFrame | None = None) -> Detection:
-    """Audit records to a full detection result; the same for a batch and a micro-batch."""
-    labelled = label_groups(flag_all(df, cfg, overtime, geo_ranges))
+           profile: DataFrame | None = None, scored: DataFrame | None = None, attackers: DataFrame | None = None) -> Detection:
+    """Audit records to a full detection result; the same for a batch and a micro-batch.
+
+    The small sides of the window, address and ticket rules are written and counted when this is called.
+    """
+    labelled = label_groups(flag_all(df, cfg, overtime, geo_ranges, attackers))
     return Detection(finalize(apply_ml(apply_profile(labelled, profile, cfg), scored), cfg), cfg)
 
 

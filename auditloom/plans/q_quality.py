@@ -104,9 +104,9 @@ def register(cat: Catalog) -> None:
          FROM lb WHERE error_code <> 0 OR has_error = 1 GROUP BY 1""")
 
     def errors1146(sp, sf):
-        return audit(sp, sf).where("k % 3 = 0").select(F.lit(1146).alias("error_code"), F.expr("CASE WHEN k % 2 = 0 THEN concat('Table ''shop.t', k % 10, ''' doesn''t exist') ELSE concat('odd ', k % 4) END").alias("error_message"))
+        return audit(sp, sf).select(F.lit(1146).alias("error_code"), F.expr("CASE WHEN k % 2 = 0 THEN concat('Table ''shop.t', k % 10, ''' doesn''t exist') ELSE concat('odd ', k % 4) END").alias("error_message"))
     add("g13_missing_tables", lambda sp, sf: G.missing_tables(errors1146(sp, sf)),
-        """SELECT CASE WHEN k % 2 = 0 THEN 'shop.t' || CAST(k % 10 AS VARCHAR) ELSE 'Unknown 1146: odd ' || CAST(k % 4 AS VARCHAR) END AS "table", count(*) AS n FROM audit WHERE k % 3 = 0 GROUP BY 1""")
+        """SELECT CASE WHEN k % 2 = 0 THEN 'shop.t' || CAST(k % 10 AS VARCHAR) ELSE 'Unknown 1146: odd ' || CAST(k % 4 AS VARCHAR) END AS "table", count(*) AS n FROM audit GROUP BY 1""")
     add("g14_clean_rows", lambda sp, sf: G.clean_rows(labelled(sp, sf)).select("event_id", "query"), "SELECT event_id, query FROM lb WHERE has_error <> 1 AND error_code = 0")
     pcfg = RuleConfig(max_query_entropy=6.0)
     cat.add("g15_pool_screen", lambda sp, sf: G.screen_pool(pool(sp, sf), pcfg).select("id", "intent", "reasons", "removed"),

@@ -141,10 +141,10 @@ def _baselines(cat: Catalog) -> None:
 
 # --- alerts ----------------------------------------------------------------------------------------------------------
 def threats(sp, sf):
-    """Threats derived from every third event."""
+    """One threat per event."""
     comp = F.expr(f"element_at(array({', '.join(q(c) for c in L.COMPONENTS)}), CAST(k % 5 + 1 AS INT))")
     other = F.expr(f"element_at(array({', '.join(q(c) for c in L.COMPONENTS)}), CAST(event_id % 5 + 1 AS INT))")
-    return audit(sp, sf).where("event_id % 3 = 0").select(
+    return audit(sp, sf).select(
         F.concat(F.lit("det"), F.lpad(F.col("event_id").cast("string"), 8, "0")).alias("detection_id"), "event_id", "timestamp",
         F.concat(F.lit("type_"), (F.col("k") % 4).cast("string")).alias("threat_type"),
         F.expr("element_at(array('low', 'medium', 'high', 'critical'), CAST(k % 4 + 1 AS INT))").alias("severity"),
@@ -156,7 +156,7 @@ def threats(sp, sf):
 _COMP = "([" + ", ".join(q(c) for c in L.COMPONENTS) + "])"
 THREATS = f"""thr AS (SELECT 'det' || lpad(CAST(event_id AS VARCHAR), 8, '0') AS detection_id, event_id, "timestamp", 'type_' || CAST(k % 4 AS VARCHAR) AS threat_type, (['low', 'medium', 'high', 'critical'])[k % 4 + 1] AS severity,
  {_COMP}[k % 5 + 1] AS c1, {_COMP}[event_id % 5 + 1] AS c2, CASE WHEN k % 5 = event_id % 5 THEN [{_COMP}[k % 5 + 1]] ELSE [{_COMP}[k % 5 + 1], {_COMP}[event_id % 5 + 1]] END AS comps, k / 100.0::DOUBLE AS confidence_score,
- k % 4 + 1 AS priority, "user", k FROM audit WHERE event_id % 3 = 0)"""
+ k % 4 + 1 AS priority, "user", k FROM audit)"""
 
 
 def alerts(sp, sf):
@@ -213,18 +213,19 @@ def interactions(sp, sf):
 
 
 def runs(sp, sf):
-    return audit(sp, sf).where("k < 30").select("timestamp")
+    """Analyses of three servers."""
+    return audit(sp, sf).select(F.concat(F.lit("s"), (F.col("event_id") % 3).cast("string")).alias("server"), "timestamp", "event_id")
 
 
 _CORR = """corr AS (SELECT bucket, n_events, components, least(1.0::DOUBLE, n_events / 10.0::DOUBLE) AS correlation_score FROM (SELECT time_bucket(INTERVAL 5 MINUTE, "timestamp") AS bucket, count(*) AS n_events,
- list_sort(list(DISTINCT target_component)) AS components FROM (SELECT * FROM infra ORDER BY "timestamp" DESC, event_id DESC LIMIT 2000) GROUP BY 1 HAVING count(*) > 1))"""
+ list_sort(list(DISTINCT target_component)) AS components FROM infra GROUP BY 1 HAVING count(*) > 1))"""
 COVERAGE = f"""spine AS (SELECT unnest({_COMP}) AS component),
 cov AS (SELECT component, coalesce(n, 0) AS activity, CASE WHEN n > 50 THEN 1.0::DOUBLE WHEN n > 20 THEN 0.8::DOUBLE WHEN n > 5 THEN 0.5::DOUBLE ELSE 0.1::DOUBLE END AS coverage,
  CASE WHEN n > 50 THEN 'full' WHEN n > 20 THEN 'partial' WHEN n > 5 THEN 'minimal' ELSE 'none' END AS status FROM spine LEFT JOIN (SELECT target_component, count(*) AS n FROM infra
  WHERE "timestamp" > TIMESTAMP '{NOW}' - INTERVAL 6 HOUR AND "timestamp" <= TIMESTAMP '{NOW}' GROUP BY 1) x ON x.target_component = component),
 inter AS (SELECT 'database' AS source, target_component AS target, event_type AS type, "timestamp" FROM infra WHERE event_type <> 'query_executed' AND target_component NOT IN ('monitoring_service', 'performance_schema')),
-gp AS (SELECT *, least(100.0::DOUBLE, gap_sec / 3600 * 100) AS gap_percentage FROM (SELECT "timestamp", (epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (ORDER BY "timestamp"))) / 1e6::DOUBLE AS gap_sec
- FROM (SELECT "timestamp" FROM audit WHERE k < 30 ORDER BY "timestamp" DESC LIMIT 10)) WHERE gap_sec > 600)"""
+gp AS (SELECT *, least(100.0::DOUBLE, gap_sec / 3600 * 100) AS gap_percentage FROM (SELECT 's' || CAST(event_id % 3 AS VARCHAR) AS server, "timestamp", (epoch_us("timestamp") - epoch_us(lag("timestamp") OVER (PARTITION BY event_id % 3 ORDER BY "timestamp"))) / 1e6::DOUBLE AS gap_sec
+ FROM audit) WHERE gap_sec > 600)"""
 
 
 def cov(sp, sf):
@@ -232,7 +233,7 @@ def cov(sp, sf):
 
 
 def _coverage(cat: Catalog) -> None:
-    cat.add("c01_correlations", lambda sp, sf: C.correlations(infra(sp, sf), 2000),
+    cat.add("c01_correlations", lambda sp, sf: C.correlations(infra(sp, sf)),
             S.sql("audit", """SELECT bucket, n_events, components, correlation_score, 'corr_' || strftime(bucket, '%Y%m%d_%H%M') AS correlation_id, CASE WHEN correlation_score > 0.5 THEN 'Medium' ELSE 'Low' END AS risk_assessment FROM corr""", INFRA, _CORR),
             ts=("bucket",), arr=("components",), rnd={"correlation_score": 6})
     cat.add("c02_overall_status", lambda sp, sf: C.overall_status(threats(sp, sf), health(sp, sf), infra(sp, sf), t(NOW)),
@@ -247,7 +248,7 @@ def _coverage(cat: Catalog) -> None:
             S.sql("audit", f"""SELECT detection_id, threat_type, severity FROM thr WHERE "timestamp" > TIMESTAMP '{NOW}' - INTERVAL 6 HOUR""", THREATS))
     cat.add("c05_events_by_component", lambda sp, sf: C.events_by_component(infra(sp, sf)),
             S.sql("audit", "SELECT target_component, count(*) AS n, count_if(risk_score > 0.7)::BIGINT AS high_risk FROM infra GROUP BY 1", INFRA))
-    cat.add("c05_threat_timeline", lambda sp, sf: C.threat_timeline(infra(sp, sf), C.correlations(infra(sp, sf), 2000)),
+    cat.add("c05_threat_timeline", lambda sp, sf: C.threat_timeline(infra(sp, sf), C.correlations(infra(sp, sf))),
             S.sql("audit", """SELECT "timestamp", 'high_risk_event' AS type, event_type || ' on ' || target_component AS description, risk_score AS score FROM infra WHERE risk_score > 0.7
              UNION ALL SELECT bucket, 'correlation', 'Correlated activity across ' || CAST(len(components) AS VARCHAR) || ' components', correlation_score FROM corr""", INFRA, _CORR), ts=("timestamp",), rnd={"score": 6})
 
@@ -270,10 +271,10 @@ def _coverage(cat: Catalog) -> None:
               CASE WHEN (SELECT count(*) FROM thr) > 10 THEN 'High number of active alerts - review alert rules and thresholds' END,
               CASE WHEN (SELECT count_if(risk_score > 0.7) FROM infra) > 20 THEN 'High number of risk events detected - investigate potential security incidents' END) AS recommendations
              FROM (SELECT overall_status, (SELECT round(avg(coverage), 9) FROM cov) AS average_coverage, (SELECT count(*) FROM bs) AS blind_spots FROM h2)""", INFRA, THREATS, HEALTH, COVERAGE, blind), rnd={"average_coverage": 6})
-    cat.add("c07_emergency_level", lambda sp, sf: C.emergency_level(threats(sp, sf).where("k < 60").withColumn("hour", F.date_trunc("hour", "timestamp")), ["hour"]),
+    cat.add("c07_emergency_level", lambda sp, sf: C.emergency_level(threats(sp, sf).withColumn("hour", F.date_trunc("hour", "timestamp")), ["hour"]),
             S.sql("audit", """SELECT *, CASE WHEN critical_count >= 2 OR total_score >= 0.95 THEN 'lockdown' WHEN critical_count > 0 OR total_score >= 0.9 THEN 'critical' WHEN high_count >= 2 OR total_score >= 0.7 THEN 'high'
               WHEN high_count > 0 OR total_score >= 0.4 THEN 'elevated' ELSE 'none' END AS level FROM (SELECT date_trunc('hour', "timestamp") AS hour, round(sum((([0.1, 0.4, 0.7, 1.0])[k % 4 + 1])::DOUBLE), 9) AS total_score,
-              count_if(severity = 'critical')::BIGINT AS critical_count, count_if(severity = 'high')::BIGINT AS high_count FROM thr WHERE k < 60 GROUP BY 1)""", THREATS), ts=("hour",), rnd={"total_score": 6})
+              count_if(severity = 'critical')::BIGINT AS critical_count, count_if(severity = 'high')::BIGINT AS high_count FROM thr GROUP BY 1)""", THREATS), ts=("hour",), rnd={"total_score": 6})
     cat.add("c08_persistent_threats", lambda sp, sf: C.persistent_threats(threats(sp, sf)).drop("signature"),
             S.sql("audit", """SELECT threat_type, min("timestamp") AS first_seen, max("timestamp") AS last_seen, count(*) AS occurrences, round(least(1.0::DOUBLE, count(*) * 0.2::DOUBLE), 9) AS persistence_score
              FROM thr GROUP BY threat_type, k % 5, "user" """, THREATS), ts=("first_seen", "last_seen"), rnd={"persistence_score": 6})
@@ -293,7 +294,7 @@ def _coverage(cat: Catalog) -> None:
     cat.add("c12_system_health", lambda sp, sf: C.system_health(health(sp, sf), infra(sp, sf)),
             S.sql("audit", 'SELECT monitor_ratio, detector_ratio, overall_status, (SELECT max("timestamp") FROM infra) AS last_event_time FROM h2', INFRA, THREATS, HEALTH, COVERAGE, blind),
             ts=("last_event_time",), rnd={"monitor_ratio": 6, "detector_ratio": 6})
-    cat.add("w06_analysis_gaps", lambda sp, sf: C.analysis_gaps(runs(sp, sf)), S.sql("audit", 'SELECT "timestamp", gap_sec, gap_percentage FROM gp', INFRA, COVERAGE), ts=("timestamp",), rnd={"gap_sec": 4, "gap_percentage": 4})
+    cat.add("w06_analysis_gaps", lambda sp, sf: C.analysis_gaps(runs(sp, sf)), S.sql("audit", 'SELECT server, "timestamp", gap_sec, gap_percentage FROM gp', INFRA, COVERAGE), ts=("timestamp",), rnd={"gap_sec": 2, "gap_percentage": 2})
     cat.add("w08_rate_degradation", lambda sp, sf: C.rate_degradation(audit(sp, sf), ["user", "client_ip"], "event_id", "execution_time_ms"),
             S.sql("audit", """SELECT "user", client_ip, avg(v) FILTER (r <= 10) AS avg_recent, avg(v) FILTER (r > 10) AS avg_older, coalesce(count(*) >= 20 AND avg(v) FILTER (r > 10) > 0 AND avg(v) FILTER (r <= 10) / avg(v) FILTER (r > 10) < 0.8, false) AS degraded
              FROM (SELECT "user", client_ip, execution_time_ms AS v, row_number() OVER (PARTITION BY "user", client_ip ORDER BY event_id DESC) AS r FROM audit) WHERE r <= 20 GROUP BY 1, 2"""), rnd={"avg_recent": 3, "avg_older": 3})

@@ -18,17 +18,26 @@ from auditloom.plans.q_tables import STATEMENTS, fresh, ingested, log_lines
 from auditloom.sources.files import stream_text
 from auditloom.streaming import jobs as J
 
-CUTS = ("2024-01-01", "2024-01-11", "2024-01-21", "2024-02-10")
+FEEDS = 3
 
 
-def feed(sp, df, ts: str, name: str, start, cuts=CUTS):
-    """Ten days' rows at a time: append them to the source folder, then let the stream catch up.
+def cuts_of(df, ts: str) -> list:
+    """Inner borders of the feeds: thirds of the time range, wherever they fall inside windows."""
+    row = df.agg(F.unix_micros(F.min(ts)).alias("a"), F.unix_micros(F.max(ts)).alias("b")).first()
+    return [row["a"] + (row["b"] - row["a"]) * k // FEEDS for k in range(1, FEEDS)] if row["a"] is not None else []
 
-    ``start`` starts the stream on the source; every round resumes from its checkpoint.
+
+def feed(sp, df, ts: str, name: str, start, cuts=None):
+    """One range of time after the other: append its rows to the source folder, then let the stream catch up.
+
+    The first and the last range are open, rows without a time come first. ``start`` starts the stream on the source;
+    every round resumes from its checkpoint.
     """
-    path = fresh(sp, name)
-    for lo, hi in zip(cuts, cuts[1:]):
-        df.where((F.col(ts) >= F.lit(lo).cast("timestamp")) & (F.col(ts) < F.lit(hi).cast("timestamp"))).write.mode("append").parquet(path)
+    path, us = fresh(sp, name), F.unix_micros(ts)
+    edges = [None, *(cuts_of(df, ts) if cuts is None else cuts), None]
+    for lo, hi in zip(edges, edges[1:]):
+        inside = F.lit(True) if hi is None else F.coalesce(us < hi, F.lit(lo is None))
+        df.where(inside if lo is None else inside & (us >= lo)).write.mode("append").parquet(path)
         start(sp.readStream.schema(df.schema).parquet(path)).awaitTermination()
 
 
@@ -38,7 +47,7 @@ def drain(sp, df, ts: str, job, name: str):
     feed(sp, df, ts, f"{name}-in", lambda stream: J.run(stream, job, ckpt, available_now=True))
 
 
-def collect_stream(sp, df, ts: str, transform, name: str, cuts=CUTS):
+def collect_stream(sp, df, ts: str, transform, name: str, cuts=None):
     """Run an append stream over the fed rows and read what it wrote."""
     out, ckpt = fresh(sp, f"{name}-out"), fresh(sp, f"{name}-ckpt")
     feed(sp, df, ts, f"{name}-in", lambda stream: transform(stream).writeStream.format("parquet").option("path", out).option(
@@ -55,13 +64,15 @@ def detected_stream(sp, sf):
     out = fresh(sp, "stream-detect")
     job = J.DetectionJob(out, lambda: CFG, X.overtime(sp, sf), X.geo_ranges(sp, sf))
     drain(sp, X.audit_log_raw(sp, sf), "timestamp", job, "detect")
+    job.finish(sp, FEEDS)
     return J.written(sp, f"{out}/logs")
 
 
 def _streams(cat: Catalog) -> None:
-    row_hits = ("r05", "r06", "r11", "r15", "r16", "r28")
-    cat.add("x01_micro_batch_detection", lambda sp, sf: detected_stream(sp, sf).select("event_id", F.concat_ws(";", *[F.when(F.col(r), r) for r in (*row_hits, "r01", "r30")]).alias("hits")),
-            S.sql("flags", "SELECT event_id, concat_ws(';', " + ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in (*row_hits, "r01", "r30")) + ") AS hits FROM flags"))
+    # Every rule but r02: which addresses have attacked is known to the stream only from then on.
+    keys = [f"r{k:02d}" for k in range(1, 31) if k != 2]
+    cat.add("x01_micro_batch_detection", lambda sp, sf: detected_stream(sp, sf).select("event_id", F.concat_ws(";", *[F.when(F.col(r), r) for r in keys]).alias("hits")),
+            S.sql("flags", "SELECT event_id, concat_ws(';', " + ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in keys) + ") AS hits FROM flags"))
     for minutes in (1, 4, 5):
         cat.add(f"x02_tumbling_{minutes}m", lambda sp, sf, m=minutes: collect_stream(sp, audit(sp, sf), "timestamp", lambda s: J.tumbling_counts(s, m), "tumble"),
                 S.sql("audit", f"""SELECT "user", time_bucket(INTERVAL {minutes} MINUTE, "timestamp") AS window_start, count(*) AS n FROM audit GROUP BY 1, 2
@@ -79,8 +90,10 @@ def _streams(cat: Catalog) -> None:
         out = fresh(sp, "stream-profile")
         job = J.DetectionJob(out, lambda: CFG)
         drain(sp, X.audit_log_raw(sp, sf), "timestamp", job, "profile")
-        return job.profile(sp, 99)
-    cat.add("x04_profile_state", learnt, S.sql("det", """SELECT "user", hour("timestamp") AS hour, count(*) AS cnt, max("timestamp") AS last_seen FROM det WHERE NOT h_tec GROUP BY 1, 2"""), ts=("last_seen",), ints=("hour",))
+        job.finish(sp, FEEDS)
+        return job.profile(sp, FEEDS + 1)
+    cat.add("x04_profile_state", learnt, S.sql("det", """SELECT "user", hour("timestamp") AS hour, count(*) AS cnt, max("timestamp") AS last_seen FROM det WHERE NOT h_tec GROUP BY 1, 2
+             QUALIFY max(max("timestamp")) OVER (PARTITION BY "user") > (SELECT max("timestamp") FROM audit) - INTERVAL 30 DAY"""), ts=("last_seen",), ints=("hour",))
 
     def sessions(sp, sf):
         out = fresh(sp, "stream-lines")
@@ -88,7 +101,7 @@ def _streams(cat: Catalog) -> None:
         job = J.LogSessionJob(out, "user_7")
         drain(sp, lines, "at", job, "lines")
         done = J.written(sp, f"{out}/statements").drop("batch_id")
-        return done.unionByName(job.finish(sp, len(CUTS) - 2))
+        return done.unionByName(job.finish(sp, FEEDS - 1))
     cat.add("x05_log_sessions", lambda sp, sf: sessions(sp, sf).select("timestamp", "user", "client_ip", "database", "query", "thread"),
             cat.items["s11_general_log_text"].sql)
     cat.add("x06_replay_dedup", lambda sp, sf: collect_stream(sp, ingested(sp, sf).unionByName(ingested(sp, sf).where("event_id % 3 = 0")).select(
@@ -109,12 +122,13 @@ def _streams(cat: Catalog) -> None:
     def late(sp, sf):
         """The last feed also brings rows five seconds older than the feed before it, and rows days older."""
         a = audit(sp, sf).select("event_id", "timestamp", "user")
+        borders = [d * 86_400_000_000 + 1_704_067_200_000_000 for d in (5, 10)]  # 6 and 11 January 2024
         newest = a.where("timestamp < '2024-01-11'").agg(F.max("timestamp")).scalar()
         second = a.where("timestamp >= '2024-01-11'")
         tardy = second.where("event_id % 7 = 0").withColumn("timestamp", newest - F.expr("INTERVAL 5 SECONDS"))
         lost = second.where("event_id % 7 = 1").withColumn("timestamp", newest - F.expr("INTERVAL 8 DAYS"))
         feeds = a.withColumn("fed", F.col("timestamp")).unionByName(tardy.unionByName(lost).withColumn("fed", F.lit("2024-01-12").cast("timestamp")))
-        return collect_stream(sp, feeds, "fed", lambda s: J.tumbling_counts(s, 5), "late", ("2024-01-01", "2024-01-06", "2024-01-11", "2024-02-10"))
+        return collect_stream(sp, feeds, "fed", lambda s: J.tumbling_counts(s, 5), "late", borders)
     cat.add("x07_late_data", lambda sp, sf: late(sp, sf).groupBy().agg(F.sum("n").alias("counted")),
             S.sql("audit", """SELECT CAST(sum(n) AS BIGINT) AS counted FROM (SELECT "user", time_bucket(INTERVAL 5 MINUTE, t) AS w, count(*) AS n FROM rows GROUP BY 1, 2) WHERE w + INTERVAL 5 MINUTE <= (SELECT max("timestamp") FROM audit) - INTERVAL 10 SECOND""",
                   """m AS (SELECT max("timestamp") AS t FROM audit WHERE "timestamp" < TIMESTAMP '2024-01-11'),
@@ -131,11 +145,11 @@ def _streams(cat: Catalog) -> None:
 
     def extra(sp, sf):
         """A pattern table derived from the nations: new patterns and a changed weight."""
-        return X.read_table(sp, sf, "nation").where("n_nationkey < 6").selectExpr(
+        return X.read_table(sp, sf, "nation").selectExpr(
             "concat('dyn_', n_nationkey) AS pattern_id", "'sql_injection' AS attack_type", "0.75D AS weight", "concat('(?i)id = ', n_nationkey, '\\\\d') AS regex")
     cat.add("p01_pattern_update", lambda sp, sf: P.attack_matches(infra(sp, sf), J.patterns_from_table(extra(sp, sf), L.ATTACK_PATTERNS)).where("pattern_id like 'dyn%'").select("event_id", "pattern_id", "weight", "matched"),
             S.sql("audit", r"""SELECT event_id, 'dyn_' || CAST(n_nationkey AS VARCHAR) AS pattern_id, 0.75::DOUBLE AS weight, regexp_extract(c, '(?i)id = ' || CAST(n_nationkey AS VARCHAR) || '\d') AS matched
-             FROM src JOIN nation ON n_nationkey < 6 AND regexp_matches(c, '(?i)id = ' || CAST(n_nationkey AS VARCHAR) || '\d')""", INFRA, SRC), rnd={"weight": 6})
+             FROM src JOIN nation ON regexp_matches(c, '(?i)id = ' || CAST(n_nationkey AS VARCHAR) || '\d')""", INFRA, SRC), rnd={"weight": 6})
 
     def reconfigured(sp, sf):
         from auditloom.operators import rules as R

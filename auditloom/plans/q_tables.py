@@ -35,11 +35,16 @@ def register(cat: Catalog) -> None:
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
+def n_threads(sp, sf):
+    """Threads that statements name: one per customer, and a tenth more that no thread table knows."""
+    return X.read_table(sp, sf, "customer").agg((F.count(F.lit(1)) + F.floor(F.count(F.lit(1)) / 10)).alias("n")).scalar()
+
+
 def statement_events(sp, sf):
     """Statement history rows: timers in picoseconds since the boot anchor, a few rows of the monitor itself."""
     us = F.unix_micros("timestamp") - F.unix_micros(F.lit(BOOT).cast("timestamp"))
     return audit(sp, sf).select(
-        "event_id", (F.col("event_id") % 700).alias("thread_id"), (us * 1_000_000).alias("timer_start"),
+        "event_id", (F.col("event_id") % n_threads(sp, sf)).alias("thread_id"), (us * 1_000_000).alias("timer_start"),
         F.expr("""CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN concat(query, ' /* AUDITLOOM_EVENT */')
           ELSE query END""").alias("sql_text"),
         F.expr("CASE WHEN event_id % 23 = 0 THEN 'audit_store' WHEN event_id % 5 = 0 THEN NULL ELSE database END").alias("current_schema"),
@@ -48,14 +53,14 @@ def statement_events(sp, sf):
 
 
 def threads(sp, sf):
-    return X.read_table(sp, sf, "customer").where("c_custkey % 700 < 650 AND c_custkey < 700").selectExpr(
+    return X.read_table(sp, sf, "customer").selectExpr(
         "c_custkey AS thread_id", "c_custkey + 100000 AS processlist_id",
         "CASE WHEN c_custkey % 29 = 0 THEN 'audit_monitor' WHEN c_custkey % 31 = 0 THEN NULL ELSE concat('user_', c_custkey % 8) END AS processlist_user",
         "concat('10.1.0.', c_custkey % 250, ':', 30000 + c_custkey) AS processlist_host")
 
 
 def session_attrs(sp, sf):
-    return X.read_table(sp, sf, "customer").where("c_custkey < 700").selectExpr(
+    return X.read_table(sp, sf, "customer").selectExpr(
         "c_custkey + 100000 AS processlist_id",
         """explode(array(named_struct('n', 'program_name', 'v', concat('app_', c_custkey % 3)), named_struct('n', '_os', 'v', 'Linux'),
          named_struct('n', '_os', 'v', 'Zinux'), named_struct('n', '_pid', 'v', '1'))) AS a""").selectExpr(
@@ -68,14 +73,14 @@ def boot_row(sp, sf):
 
 
 STATEMENTS = """
-se AS (SELECT event_id, event_id % 700 AS thread_id, (epoch_us("timestamp") - epoch_us(TIMESTAMP '2023-12-31 00:00:00')) * 1000000 AS timer_start,
+se AS (SELECT event_id, event_id % (SELECT count(*) + count(*) // 10 FROM customer) AS thread_id, (epoch_us("timestamp") - epoch_us(TIMESTAMP '2023-12-31 00:00:00')) * 1000000 AS timer_start,
  CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 19 = 0 THEN concat(query, ' /* AUDITLOOM_EVENT */') ELSE query END AS sql_text,
  CASE WHEN event_id % 23 = 0 THEN 'audit_store' WHEN event_id % 5 = 0 THEN NULL ELSE "database" END AS current_schema, "timestamp",
  rows_returned AS rows_sent, rows_examined, rows_examined * 1000000007 AS timer_wait FROM audit),
 th AS (SELECT c_custkey AS thread_id, c_custkey + 100000 AS processlist_id, CASE WHEN c_custkey % 29 = 0 THEN 'audit_monitor'
   WHEN c_custkey % 31 = 0 THEN NULL ELSE concat('user_', CAST(c_custkey % 8 AS VARCHAR)) END AS processlist_user,
   concat('10.1.0.', CAST(c_custkey % 250 AS VARCHAR), ':', CAST(30000 + c_custkey AS VARCHAR)) AS processlist_host
- FROM customer WHERE c_custkey % 700 < 650 AND c_custkey < 700),
+ FROM customer),
 st AS (SELECT se.*, th.processlist_id, processlist_user, processlist_host,
   CASE WHEN th.processlist_id IS NOT NULL THEN concat('app_', CAST(se.thread_id % 3 AS VARCHAR)) END AS program_name,
   CASE WHEN th.processlist_id IS NOT NULL THEN 'Linux' END AS client_os,
@@ -124,7 +129,7 @@ def _sources(cat: Catalog) -> None:
         rnd={"execution_time_ms": 6, "scan_efficiency": 6})
     cat.add("s02_session_attrs", lambda sp, sf: ST.pivot_session_attrs(session_attrs(sp, sf)),
             """SELECT c_custkey + 100000 AS processlist_id, concat('app_', CAST(c_custkey % 3 AS VARCHAR)) AS program_name,
-             CAST(NULL AS VARCHAR) AS connector_name, 'Linux' AS client_os, CAST(NULL AS VARCHAR) AS source_host FROM customer WHERE c_custkey < 700""")
+             CAST(NULL AS VARCHAR) AS connector_name, 'Linux' AS client_os, CAST(NULL AS VARCHAR) AS source_host FROM customer""")
     cat.add("s03_event_time", lambda sp, sf: statement_events(sp, sf).select(
         "event_id", ST.event_time(F.lit(BOOT).cast("timestamp"), F.col("timer_start")).alias("event_ts")),
         S.sql("audit", 'SELECT event_id, "timestamp" AS event_ts FROM audit'), ts=("event_ts",))
@@ -155,8 +160,12 @@ def _sources(cat: Catalog) -> None:
     cat.add("s07_incremental_overlap", lambda sp, sf: ST.incremental(ingested(sp, sf), "2024-01-20 00:00:05").select("event_id", "event_ts"),
             S.sql("audit", """SELECT event_id, "timestamp" AS event_ts FROM st WHERE "timestamp" > TIMESTAMP '2024-01-19 23:59:55'""", STATEMENTS),
             ts=("event_ts",))
-    cat.add("s08_incremental_page", lambda sp, sf: ST.incremental_by(audit(sp, sf), "event_id", 1000, 5000).select("event_id", "query"),
-            S.sql("audit", "SELECT event_id, query FROM audit WHERE event_id > 1000 ORDER BY event_id LIMIT 5000"))
+    def by_hour(sp, sf):
+        return audit(sp, sf).withColumn("hour", F.date_trunc("hour", "timestamp"))
+    cat.add("s08_incremental_page", lambda sp, sf: ST.incremental_by(
+        by_hour(sp, sf), {"hour": F.lit("2024-01-03 04:00:00").cast("timestamp"), "event_id": 100}).select("event_id", "query"),
+            S.sql("audit", """SELECT event_id, query FROM audit WHERE date_trunc('hour', "timestamp") > TIMESTAMP '2024-01-03 04:00:00'
+             OR (date_trunc('hour', "timestamp") = TIMESTAMP '2024-01-03 04:00:00' AND event_id > 100)"""))
 
     def hot_cold(sp, sf):
         rows = ingested(sp, sf)

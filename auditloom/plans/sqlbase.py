@@ -51,7 +51,7 @@ overtime AS (
   CASE WHEN o_orderkey % 2 = 0 THEN 79200 ELSE 3600 END AS s0,
   CASE WHEN o_orderkey % 2 = 0 THEN 1800 ELSE 9000 END AS s1,
   CASE WHEN o_orderkey % 3 = 0 THEN concat('10.0.', CAST(o_custkey % 3 AS VARCHAR), '.', CAST(o_custkey % 5 AS VARCHAR)) END AS ip
- FROM orders WHERE o_custkey % 4 = 1)"""
+ FROM orders)"""
 
 GEO = """
 geo AS (

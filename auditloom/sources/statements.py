@@ -90,9 +90,20 @@ def incremental(df: DataFrame, cursor: str, overlap_sec: int = 10, partition: st
     return out.where(F.col(partition) >= F.to_date(start)) if partition else out
 
 
-def incremental_by(df: DataFrame, key: str, last, limit: int = 5000) -> DataFrame:
-    """Next page after ``last`` by id, timer or time."""
-    return df.where(F.col(key) > F.lit(last)).orderBy(key).limit(limit)
+def incremental_by(df: DataFrame, cursor: dict[str, object], limit: int | None = None, upto: object = None) -> DataFrame:
+    """Rows behind a cursor, in its order: columns (id, timer or time, then what tells ties apart) and their last values.
+
+    With a unique last column no row is lost where a page ends inside a tie. A batch is better bounded by ``upto``, the
+    last value of the first column, than by ``limit``: a range is read in parallel, a limit needs the global order.
+    """
+    first, *ties = cursor
+    after, same = F.col(first) > F.lit(cursor[first]), F.col(first) == F.lit(cursor[first])
+    for c in ties:
+        after, same = after | (same & (F.col(c) > F.lit(cursor[c]))), same & (F.col(c) == F.lit(cursor[c]))
+    # The plain bound on the first column reaches the source's filters.
+    page = df.where((F.col(first) >= F.lit(cursor[first])) & after)
+    page = page.where(F.col(first) <= F.lit(upto)) if upto is not None else page
+    return page.orderBy(*cursor) if limit is None else page.orderBy(*cursor).limit(limit)
 
 
 def merge_hot_cold(hot: DataFrame, cold: DataFrame) -> DataFrame:
