@@ -15,6 +15,10 @@ A transform of all suffixes of a corpus cannot be merged in one place, and most
    ``LENGTH`` bytes if the least common prefix between them (a range minimum) is at least ``LENGTH`` - i. Blocks of one
    suffix are resolved and leave.
 
+An anchor that occurs more than ``HOT`` times (a line that a third of all documents share) would gather an unbounded number
+of spans in one bucket. Its windows are dealt one by one, by a hash of their bytes, so that equal ones meet wherever they
+come from and a chunk sends each once; this exact way for the rest needs no order among them.
+
 Texts are shuffled once, into chunks; buckets answer with one bit per window. Defined results: a null text is empty; a
 text below ``LENGTH`` bytes is kept whole; repeated rows repeat each other's strings; ids are only passed on; other columns
 are not read; an empty table gives an empty table.
@@ -36,14 +40,17 @@ from auditloom.llm.common import mixed
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 SEGMENT = 1 << 20
-ANCHORS = "_chunk int, bucket int, keys binary, several binary"
+#: Occurrences above which an anchor's windows are dealt one by one.
+HOT = 20_000
+ANCHORS = "_chunk int, bucket int, keys binary, counts binary"
+WINDOWS = "_chunk int, bucket int, keys binary, several binary"
 SPANS = "_chunk int, bucket int, anchors binary, contents binary, left binary, windows binary, several binary, bytes binary"
 
 
-def gram_hashes(body: np.ndarray) -> np.ndarray:
-    """Hash of the ``GRAM`` bytes from each place on, by doubling."""
+def gram_hashes(body: np.ndarray, length: int = GRAM) -> np.ndarray:
+    """Hash of ``length`` bytes (a power of two) from each place on, by doubling."""
     h, width, step = C.LETTER[body], 1, int(C.STEP)
-    while width < GRAM:
+    while width < length:
         h = h[:-width] * np.uint64(step) + h[width:]
         width, step = 2 * width, (step * step + 2) % 2**64
     return mixed(h)
@@ -122,10 +129,31 @@ class Chunk:
         self.body, self.at = C.bytes_of(table)
         self.found = Occurrences.of(self.body, self.at)
 
-    def spans(self, replies: pa.Table, bits: int) -> tuple[Occurrences, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Occurrences of repeated anchors; their distinct (anchor, content), sorted; the place among these."""
+    def open(self, replies: pa.Table, bits: int) -> tuple[Occurrences, Occurrences]:
+        """Occurrences of repeated anchors: those that go as spans, and the hot ones."""
         keys, place = np.unique(self.found.anchor, return_inverse=True)
-        open_ = self.found.only(C.answers(replies, 1, keys, bits)[place]) if len(keys) else self.found
+        if not len(keys):
+            return self.found, self.found
+        hot = C.answers(replies, 3, keys, bits)
+        return self.found.only((C.answers(replies, 1, keys, bits) & ~hot)[place]), self.found.only(hot[place])
+
+    def windows(self, hot: Occurrences) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts of the windows of hot anchors, the sorted distinct hashes of their bytes, the place among these."""
+        n = hot.high - hot.low + 1
+        start = np.sort(np.repeat(hot.low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+        value = np.empty(len(start), np.uint64)
+        half = 128  # two overlapping halves of a window tell all its bytes
+        for s in range(0, len(self.body), SEGMENT):
+            a, b = np.searchsorted(start, [s, s + SEGMENT])
+            if b > a:
+                h = gram_hashes(self.body[s:s + SEGMENT + LENGTH], half)
+                at = start[a:b] - s
+                value[a:b] = mixed(h[at] * C.NEXT + h[at + LENGTH - half])
+        keys, place = np.unique(value, return_inverse=True)
+        return start, keys, place
+
+    def spans(self, open_: Occurrences) -> tuple[Occurrences, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The occurrences; their distinct (anchor, content), sorted; one of each; the place among these."""
         content = open_.contents(self.body)
         order = np.lexsort((content, open_.anchor))
         a, c = open_.anchor[order], content[order]
@@ -143,7 +171,7 @@ def ask_anchors(bits: int):
         low = ((keys << np.uint64(bits)) >> np.uint64(32)).astype("<u4")
         return pa.table({"_chunk": pa.array([c.number] * len(cuts), pa.int32()), "bucket": pa.array([b for b, _, _ in cuts], pa.int32()),
                          "keys": pa.array([low[s:e].tobytes() for _, s, e in cuts], pa.binary()),
-                         "several": pa.array([C.packed(n[s:e] > 1) for _, s, e in cuts], pa.binary())})
+                         "counts": pa.array([np.minimum(n[s:e], 65_535).astype("<u2").tobytes() for _, s, e in cuts], pa.binary())})
     return ask
 
 
@@ -156,13 +184,39 @@ def answer(table: pa.Table, which: int, at: np.ndarray, bit: np.ndarray) -> pa.T
                      "bits": pa.array([C.packed(bit[at[k]:at[k + 1]]) for k in rows], pa.binary())})
 
 
-def match_anchors(table: pa.Table) -> pa.Table:
-    """Anchors that occur twice, in one chunk or several."""
-    sets = [np.frombuffer(k.as_py(), "<u4") for k in table.column("keys")]
+def match_anchors(hot: int):
+    """Round 1: anchors that occur twice, in one chunk or several. Round 3: those that occur too often for spans."""
+    def run(table: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(k.as_py(), "<u4") for k in table.column("keys")]
+        keys, place = np.unique(np.concatenate(sets), return_inverse=True)
+        n = np.bincount(place, np.concatenate([np.frombuffer(x.as_py(), "<u2") for x in table.column("counts")]), len(keys))
+        at = np.cumsum([0, *map(len, sets)])
+        return pa.concat_tables([answer(table, 1, at, (n > 1)[place]), answer(table, 3, at, (n > hot)[place])])
+    return run
+
+
+def ask_windows(bits: int):
+    def ask(table: pa.Table, replies: pa.Table) -> pa.Table:
+        names = [f.split(" ")[0] for f in WINDOWS.split(", ")]
+        if not table.num_rows or not replies.num_rows or 3 not in replies.column("round").to_pylist():
+            return pa.table([pa.array([], k) for k in (pa.int32(), pa.int32(), pa.binary(), pa.binary())], names)
+        c = Chunk(table)
+        _, keys, place = c.windows(c.open(replies, bits)[1])
+        several = np.bincount(place, minlength=len(keys)) > 1
+        cuts = C.dealt(keys, bits)
+        return pa.table([pa.array([c.number] * len(cuts), pa.int32()), pa.array([b for b, _, _ in cuts], pa.int32()),
+                         pa.array([keys[s:e].astype("<u8").tobytes() for _, s, e in cuts], pa.binary()),
+                         pa.array([C.packed(several[s:e]) for _, s, e in cuts], pa.binary())], names)
+    return ask
+
+
+def match_windows(table: pa.Table) -> pa.Table:
+    """Windows of hot anchors that occur twice."""
+    sets = [np.frombuffer(k.as_py(), "<u8") for k in table.column("keys")]
     keys, place, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     several = np.concatenate([C.unpacked(x.as_py(), len(s)) for x, s in zip(table.column("several"), sets)])
     good = (n > 1) | (np.bincount(place, several, len(keys)) > 0)
-    return answer(table, 1, np.cumsum([0, *map(len, sets)]), good[place])
+    return answer(table, 4, np.cumsum([0, *map(len, sets)]), good[place])
 
 
 def ask_spans(bits: int):
@@ -171,7 +225,7 @@ def ask_spans(bits: int):
             return pa.table({n: pa.array([], pa.int32() if n in ("_chunk", "bucket") else pa.binary())
                              for n in (f.split(" ")[0] for f in SPANS.split(", "))})
         c = Chunk(table)
-        open_, anchor, content, first, at = c.spans(replies, bits)
+        open_, anchor, content, first, at = c.spans(c.open(replies, bits)[0])
         own = open_.only(first)
         left, windows = own.place - own.low, own.high - own.low + 1
         several = np.bincount(at, minlength=len(anchor)) > 1
@@ -299,7 +353,8 @@ def remove(bits: int, passed_on: int = 0):
         if not table.num_rows:
             return pa.table([*(pa.array([], k) for k in kinds), *(table.column(c) for c in more)], names)
         c = Chunk(table)
-        open_, anchor, _, first, at = c.spans(replies, bits)
+        open_, hot = c.open(replies, bits)
+        open_, anchor, _, first, at = c.spans(open_)
         windows = (open_.high - open_.low + 1)[first]
         bit_at = np.cumsum(windows) - windows
         bit = np.zeros(windows.sum(), bool)
@@ -311,8 +366,11 @@ def remove(bits: int, passed_on: int = 0):
         n = open_.high - open_.low + 1
         w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         start = (np.repeat(open_.low, n) + w)[bit[np.repeat(bit_at[at], n) + w]]
+        if len(hot.anchor):
+            often, keys, place = c.windows(hot)
+            start = np.r_[start, often[C.answers(replies, 4, keys, bits)[place]]]
         cover = np.zeros(len(c.body) + 1, np.int32)
-        cover[start] = 1
+        np.add.at(cover, start, 1)
         np.subtract.at(cover, start + LENGTH, 1)
         gone = np.cumsum(cover[:-1]) > 0
         row = np.repeat(np.arange(table.num_rows), np.diff(c.at))
@@ -331,20 +389,21 @@ def remove(bits: int, passed_on: int = 0):
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, passed_on: list[str] | None = None) -> DataFrame:
+def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, passed_on: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row.
 
     With columns to be passed on, ``kept`` is a text, and these columns follow as ``_p0``, ``_p1``, ...
     """
     texts, size = C.chunked(docs, chunk_bytes, passed_on)
     bits = C.bucket_bits(size // 2)
-    anchors = C.asked(texts, ANCHORS, ask_anchors(bits)).groupBy("bucket").applyInArrow(match_anchors, C.ANSWER)
+    anchors = C.asked(texts, ANCHORS, ask_anchors(bits)).groupBy("bucket").applyInArrow(match_anchors(hot), C.ANSWER)
     spans = C.told(texts, anchors, SPANS, ask_spans(bits)).groupBy("bucket").applyInArrow(match_spans, C.ANSWER)
+    windows = C.told(texts, anchors, WINDOWS, ask_windows(bits)).groupBy("bucket").applyInArrow(match_windows, C.ANSWER)
     schema = KEPT
     if passed_on:
         more = ", ".join(f"_p{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(passed_on))
         schema = f"{KEPT.replace('kept binary', 'kept string')}, {more}"
-    return C.told(texts, anchors.unionByName(spans), schema, remove(bits, len(passed_on or [])))
+    return C.told(texts, anchors.unionByName(spans).unionByName(windows), schema, remove(bits, len(passed_on or [])))
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -63,11 +63,10 @@ def families(seed):
     return rows
 
 
-@pytest.mark.parametrize("chunk_bytes", [4000, 1 << 20])
-def test_byte_repeats(spark, monkeypatch, chunk_bytes):
-    monkeypatch.setattr(suffixes, "SEGMENT", 5000)
+@pytest.mark.parametrize("chunk_bytes,hot", [(4000, 3), (4000, 20_000), (1 << 20, 8)])
+def test_byte_repeats(spark, chunk_bytes, hot):
     rows = passages(3)
-    got = suffixes.without_repeats(frame(spark, rows), chunk_bytes).collect()
+    got = suffixes.without_repeats(frame(spark, rows), chunk_bytes, hot=hot).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got), key=key) == sorted(byte_repeats(rows), key=key)
 
 
