@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.functions.cut import written
+from auditloom.functions.cut import written_sized
 
-BROADCAST_ROWS = 1_000_000
+#: Bytes of Parquet up to which a side is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
-def measured(small: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The side written and counted; it is broadcast only if it has at most ``max_rows`` rows.
+def measured(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The side written and measured; it is broadcast only if its files have at most ``max_bytes`` bytes.
 
     Broadcasting spares the log a shuffle with all its statement texts. A larger side keeps the plain
     join, where the adaptive plan splits hot keys. The written table also cuts the lineage.
     """
-    kept = written(small)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
+    kept, size = written_sized(small)
+    return F.broadcast(kept) if size <= max_bytes else kept
 
 
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.chains import sessionize
 from auditloom.functions.cut import written
+from auditloom.functions.joins import measured
 from auditloom.functions.once import explode_kept, required_words
 from auditloom.functions.segmented import micros
 from auditloom.functions.text import normalize_for_detection
@@ -163,7 +164,7 @@ def volume_anomalies(events: DataFrame, factor: float = 2.5, min_events: int = 5
     keys = ["user_account", "source_ip"]
     rows = events.withColumn("volume", F.length(detail("query"))).where("volume > 0")
     stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("volume").alias("mean_volume"), F.stddev_samp("volume").alias("_s"))
-    j = rows.join(stats.where(F.col("n") >= min_events), keys)
+    j = rows.join(measured(stats.where(F.col("n") >= min_events)), keys)
     dev = (F.col("volume") - F.col("mean_volume")) / F.col("_s")
     return (j.where(F.col("volume") > F.col("mean_volume") + F.lit(factor) * F.col("_s")).withColumn("deviation_factor", dev)
             .withColumn("confidence", F.least(F.lit(0.8), F.lit(0.5) + F.col("deviation_factor") * F.lit(0.1))).drop("_s", "n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from auditloom.functions import text
 from auditloom.functions.cut import written
 from auditloom.functions.segmented import HOUR_US, lag_rows, micros, range_totals, tail_rows, time_slot
+from auditloom.functions.joins import measured
 from auditloom.functions.quantiles import exact_percentiles
 from auditloom.schema import safe_long
 
@@ -133,13 +134,13 @@ def rolling_5m(df: DataFrame) -> DataFrame:
 def z_scores(df: DataFrame, metrics=("execution_time_ms", "rows_returned", "data_retrieval_speed")) -> DataFrame:
     """Distance from the user's own mean in population standard deviations.
 
-    The statistics are a partial aggregate and join back by user; a hot user is split by the
-    adaptive skew join, which a window over the user would not allow.
+    The statistics are a partial aggregate, written and measured: the log is not shuffled for them as
+    long as they are small, and beyond that a hot user is split by the adaptive skew join.
     """
     aggs = [F.count(F.lit(1)).alias("_n")]
     for m in metrics:
         aggs += [F.avg(m).alias(f"_m_{m}"), F.stddev_pop(m).alias(f"_s_{m}")]
-    out = df.join(df.groupBy("user").agg(*aggs), "user", "left")
+    out = df.join(measured(df.groupBy("user").agg(*aggs)), "user", "left")
     for m in metrics:
         s = F.col(f"_s_{m}")
         out = out.withColumn(f"{m}_zscore", F.when((F.col("_n") < 3) | (s == 0) | s.isNull(), F.lit(0.0)).otherwise(

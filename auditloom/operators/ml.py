@@ -17,7 +17,10 @@ from pyspark.sql import types as T
 
 from auditloom.functions.cut import written
 from auditloom.functions.quantiles import exact_percentiles
-from auditloom.operators.features import sequences
+from auditloom.operators import detect as D
+from auditloom.operators import rules as R
+from auditloom.operators.features import enrich, sequences
+from auditloom.schema import AUDIT_SCHEMA
 
 # Columns that are never features.
 EXCLUDED = ("timestamp", "event_id", "query", "normalized_query", "error_message", "is_anomaly", "ml_anomaly_score",
@@ -130,6 +133,21 @@ def flag_scores(scored: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFram
     return scored.withColumn("is_ml", F.col("ml_anomaly_score") >= limit)
 
 
+def with_scores(found: D.Detection, cfg: ModelConfig = ModelConfig()) -> D.Detection:
+    """A detection result with the learnt score of the rows that no rule caught.
+
+    The model is trained on the newest of these rows; while there are too few, nothing is added.
+    """
+    clean = found.clean.select(*AUDIT_SCHEMA.names)
+    rows = enrich(clean)
+    model = train(training_buffer(rows, cfg), cfg)
+    if model is None:
+        return found
+    scored = written(flag_scores(score(model, rows).select("event_id", "ml_anomaly_score"), cfg))
+    logs = D.apply_ml(found.logs.drop("ml_anomaly_score", f"hit_{R.ML}"), scored)
+    return D.Detection(D.finalize(logs, found.cfg), found.cfg)
+
+
 def save_model(model: PipelineModel, spark: SparkSession, path: str, features: Sequence[str], stamp: str) -> str:
     """Write the model under a version made of time and feature list; returns the version."""
     version = f"{stamp}_{hashlib.md5(json.dumps(sorted(features)).encode()).hexdigest()[:8]}"

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from auditloom import fixtures as X
 from auditloom.monitor import library as L
 from auditloom.monitor import patterns as P
+from auditloom.operators import detect as D
 from auditloom.operators import features as FE
 from auditloom.operators import ml as M
+from auditloom.operators import rules as R
 from auditloom.plans import sqlbase as S
 from auditloom.plans.catalog import Catalog
 from auditloom.plans.inputs import CFG, audit, stored
@@ -160,7 +162,6 @@ def _streams(cat: Catalog) -> None:
 
 
 # --- learnt score ----------------------------------------------------------------------------------------------------
-FAST = M.ModelConfig(trees=10, components=4)
 NUMERIC = ("execution_time_ms", "rows_returned", "rows_examined", "lock_time_ms")
 
 
@@ -168,9 +169,19 @@ def enriched(sp, sf):
     return FE.static_features(audit(sp, sf)).select("event_id", "timestamp", "user", "client_ip", "database", "command_type", *NUMERIC, "query_length", "hour_sin", "hour_cos")
 
 
+_models: dict[tuple[str, str], str] = {}
+
+
 def trained(sp, sf):
-    buffer = M.training_buffer(enriched(sp, sf))
-    return M.train(buffer, FAST)
+    """The model of the newest rows, trained once per session and read from its stored form."""
+    key = (sp.sparkContext.applicationId, sf)
+    if key not in _models:
+        path = fresh(sp, "models")
+        rows = FE.enrich(audit(sp, sf))
+        model = M.train(M.training_buffer(rows))
+        num, cats = M.feature_columns(rows)
+        _models[key] = f"{path}|{M.save_model(model, sp, path, [*num, *cats], '20240130')}"
+    return M.load_model(*_models[key].split("|"))
 
 
 def _ml(cat: Catalog) -> None:
@@ -191,10 +202,20 @@ def _ml(cat: Catalog) -> None:
     cat.add("m03_category_codes", coded, S.sql("audit", """SELECT event_id, CAST(substr("user", 6) AS DOUBLE) AS user_code, CASE "database" WHEN 'hr_db' THEN 0.0::DOUBLE WHEN 'mysql' THEN 1.0 ELSE 2.0 END AS database_code FROM audit"""))
     cat.add("m04_standardize", lambda sp, sf: M.standardize(audit(sp, sf), M.scaling(audit(sp, sf), NUMERIC)).select("event_id", *[f"{c}_std" for c in NUMERIC]),
             S.sql("audit", "SELECT event_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}_std" for c in NUMERIC) + " FROM audit"), rnd={f"{c}_std": 4 for c in NUMERIC})
-    cat.add("m05_pseudo_labels", lambda sp, sf: M.reconstruction_labels(audit(sp, sf), NUMERIC, FAST).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
+    cat.add("m05_pseudo_labels", lambda sp, sf: M.reconstruction_labels(audit(sp, sf), NUMERIC).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
             S.sql("audit", """SELECT label, count(*) AS n FROM (SELECT CASE WHEN r <= (SELECT count(*) - 1 - floor(0.961 * (count(*) - 1)) FROM s WHERE p >= 5) AND p >= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM (
              SELECT *, row_number() OVER (PARTITION BY p >= 5 ORDER BY event_id) AS r FROM s)) GROUP BY 1""", 's AS (SELECT event_id, row_number() OVER (PARTITION BY "user" ORDER BY "timestamp", event_id) AS p FROM audit)'))
-    cat.add("m06_supervised_score", lambda sp, sf: M.score(trained(sp, sf), enriched(sp, sf)).select("event_id", F.round("ml_anomaly_score", 4).alias("score")))
+    cat.add("m06_supervised_score", lambda sp, sf: M.score(trained(sp, sf), FE.enrich(audit(sp, sf))).select("event_id", F.col("ml_anomaly_score").between(0, 1).alias("scored")),
+            S.sql("audit", "SELECT event_id, true AS scored FROM audit"))
+
+    def learnt_hits(sp, sf):
+        """Every log row with what the learnt score may say of it: nothing of rows that a rule caught."""
+        done = M.with_scores(stored(sp, sf)).logs
+        by_rule, hit = D.caught_by_rule(), F.col(f"hit_{R.ML}")
+        return done.select("event_id", by_rule.alias("by_rule"), (~hit | (~by_rule & (F.col("ml_anomaly_score") >= 0.75))).alias("sound"),
+                           (F.col("unusual_activity_reason").isNotNull() == (by_rule | hit)).alias("reasoned"),
+                           (F.col("ml_anomaly_score").isNotNull() == ~by_rule).alias("scored"))
+    cat.add("k02_learnt_set", learnt_hits, S.sql("det", "SELECT event_id, (h_acc OR h_ins OR h_tec OR h_des OR h_mul OR h_pro) AS by_rule, true AS sound, true AS reasoned, true AS scored FROM det"))
 
     def flagged(sp, sf):
         return M.flag_scores(audit(sp, sf).select("event_id", (F.col("value") / F.lit(600.0)).alias("ml_anomaly_score")))
@@ -202,9 +223,12 @@ def _ml(cat: Catalog) -> None:
             rnd={"ml_anomaly_score": 6})
 
     def saved(sp, sf):
-        path = fresh(sp, "models")
+        """Rows whose score differs between the model in memory and the one read back."""
+        rows, path = FE.enrich(audit(sp, sf)), fresh(sp, "models")
         model = trained(sp, sf)
-        version = M.save_model(model, sp, path, NUMERIC, "20240130")
-        again = M.load_model(path, version)
-        return M.flag_scores(M.score(again, enriched(sp, sf))).groupBy("is_ml").agg(F.count(F.lit(1)).alias("n"))
-    cat.add("m08_saved_model", saved)
+        num, cats = M.feature_columns(rows)
+        again = M.load_model(path, M.save_model(model, sp, path, [*num, *cats], "20240130"))
+        both = M.score(model, rows).select("event_id", F.col("ml_anomaly_score").alias("a")).join(
+            M.score(again, rows).select("event_id", F.col("ml_anomaly_score").alias("b")), "event_id")
+        return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("different"))
+    cat.add("m08_saved_model", saved, S.sql("audit", "SELECT count(*) AS n, 0::BIGINT AS different FROM audit"))
