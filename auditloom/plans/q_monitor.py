@@ -338,14 +338,22 @@ def varied(sp, sf):
 VARIED = f"""vinfra AS (SELECT event_id, "timestamp", {_IP} AS source_ip, "user" AS user_account, query || {_VTAIL.replace('STRING', 'VARCHAR')} AS query FROM audit)"""
 
 
+def marked_variations(sp, sf):
+    """The varied events with their near-duplicate sign."""
+    return P.mark_variations(varied(sp, sf))
+
+
+VCONTENT = f"""vcontent AS (SELECT *, query || '  ' AS content, (user_account, source_ip, {_NORMQ}) IN (SELECT (user_account, source_ip, normalized) FROM vars) AS is_variation FROM vinfra)"""
+
+
 def evasion_sql() -> str:
     sign = {"excessive_whitespace": r"len(regexp_extract_all(content, '\s')) / CAST(length(content) AS DOUBLE) > 0.3", "unusual_comment_patterns": r"regexp_matches(content, '(?i)/\*.*?\*/')",
             "hex_encoded_strings": "regexp_matches(content, '(?i)0x[0-9a-f]+')", "string_concatenation_chains": r"len(regexp_extract_all(content, '(?i)concat\s*\(')) > 2",
             "artificial_delays": r"regexp_matches(content, '(?i)(?:sleep|waitfor|benchmark)\s*\(')", "randomized_timing_patterns": "contains(lower(content), 'rand')",
-            "functionally_equivalent_queries": "false"}
+            "functionally_equivalent_queries": "is_variation"}
     rows = " UNION ALL ".join(
         f"""SELECT *, '{t.name}' AS technique, CAST({' + '.join(f"len(regexp_extract_all(content, {q(P._ignore_case(r))}))" for r in t.regexes)} AS INTEGER) AS obfuscation_matches,
-        {' + '.join(f"CAST({sign.get(x, f'contains(lower(content), {q(x)})')} AS INTEGER)" for x in t.words)} AS behavioral_matches FROM content WHERE length(content) >= 10""" for t in L.EVASION)
+        {' + '.join(f"CAST({sign.get(x, f'contains(lower(content), {q(x)})')} AS INTEGER)" for x in t.words)} AS behavioral_matches FROM vcontent WHERE length(content) >= 10""" for t in L.EVASION)
     return f"""eva AS (SELECT * FROM (SELECT *, least(round(0.5::DOUBLE + least(obfuscation_matches * 0.1::DOUBLE, 0.3::DOUBLE) + least(behavioral_matches * 0.15::DOUBLE, 0.3::DOUBLE)
      + {w(f"user_account = '{ACCOUNT}'", 0.2)} + {w(_OFF, 0.1)} + {w('length(content) > 500', 0.1)}, 9), 1.0) AS confidence FROM ({rows}) z WHERE obfuscation_matches > 0 OR behavioral_matches > 0) WHERE confidence >= 0.6)"""
 
@@ -374,17 +382,17 @@ def _advanced(cat: Catalog) -> None:
               SELECT source_ip, user_account, 'statistical_analysis', 'volume_anomaly', confidence, v, "timestamp" FROM vol UNION ALL
               SELECT source_ip, user_account, 'regularity_analysis', 'timing_anomaly', confidence, 0, "timestamp" FROM tim) GROUP BY 1, 2, 3)""", INFRA, EXFIL, VOLUME, TIMING),
             arr=("detection_types",), rnd={"confidence_score": 4, "time_span_min": 4})
-    cat.add("v07_evasion_indicators", lambda sp, sf: P.evasion_indicators(infra(sp, sf), ACCOUNT).select("event_id", "technique", "obfuscation_matches", "behavioral_matches", "confidence"),
-            S.sql("audit", "SELECT event_id, technique, obfuscation_matches, behavioral_matches, confidence FROM eva", INFRA, evasion_sql()), rnd={"confidence": 6})
+    cat.add("v07_evasion_indicators", lambda sp, sf: P.evasion_indicators(marked_variations(sp, sf), ACCOUNT).select("event_id", "technique", "obfuscation_matches", "behavioral_matches", "confidence"),
+            S.sql("audit", "SELECT event_id, technique, obfuscation_matches, behavioral_matches, confidence FROM eva", VARIED, VARIATIONS, VCONTENT, evasion_sql()), rnd={"confidence": 6})
     cat.add("v08_statement_variations", lambda sp, sf: P.variations(P.statement_patterns(varied(sp, sf))),
             S.sql("audit", "SELECT * FROM vars", VARIED, VARIATIONS))
     cat.add("v08_varied_events", lambda sp, sf: P.mark_variations(varied(sp, sf)).select("event_id", "is_variation"),
             S.sql("audit", f"""SELECT event_id, (user_account, source_ip, {_NORMQ}) IN (SELECT (user_account, source_ip, normalized) FROM vars) AS is_variation FROM vinfra""", VARIED, VARIATIONS))
-    cat.add("v09_evasion_threats", lambda sp, sf: P.evasion_threats(P.evasion_indicators(infra(sp, sf), ACCOUNT), ACCOUNT),
+    cat.add("v09_evasion_threats", lambda sp, sf: P.evasion_threats(P.evasion_indicators(marked_variations(sp, sf), ACCOUNT), ACCOUNT),
             S.sql("audit", f"""SELECT *, CASE WHEN user_account = '{ACCOUNT}' THEN 'critical' WHEN confidence_score >= 0.8 OR technique IN ('query_obfuscation', 'polymorphic_queries') THEN 'high' ELSE 'medium' END AS severity,
              'evasion_' || technique AS threat_type FROM (SELECT technique, source_ip, user_account, count(*) AS indicators_count, round(avg(confidence), 9) AS confidence_score,
               CAST(sum(obfuscation_matches) AS BIGINT) AS total_obfuscation, CAST(sum(behavioral_matches) AS BIGINT) AS total_behavioral,
-              (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 6e7::DOUBLE AS time_span_min FROM eva GROUP BY 1, 2, 3)""", INFRA, evasion_sql()), rnd={"confidence_score": 6, "time_span_min": 6})
+              (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 6e7::DOUBLE AS time_span_min FROM eva GROUP BY 1, 2, 3)""", VARIED, VARIATIONS, VCONTENT, evasion_sql()), rnd={"confidence_score": 6, "time_span_min": 6})
 
     def feed(sp, sf):
         """A threat feed derived from the documents: a name, a confidence and patterns each."""
@@ -397,6 +405,6 @@ def _advanced(cat: Catalog) -> None:
              'high' AS severity, CASE threat_id % 5 WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN 0.7::DOUBLE WHEN 2 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS confidence, regex FROM (
              SELECT doc_id AS threat_id, (['Credential dump', 'Web shell', 'Data exfiltration kit', 'Obfuscator'])[doc_id % 4 + 1] AS name, unnest(CASE doc_id % 3 WHEN 1 THEN ['p' || CAST(doc_id AS VARCHAR)]
               WHEN 2 THEN ['p' || CAST(doc_id AS VARCHAR), 'q' || CAST(doc_id AS VARCHAR)] ELSE [] END) AS regex FROM documents)""", rnd={"confidence": 6})
-    cat.add("v13_effectiveness", lambda sp, sf: P.effectiveness(indicators(sp, sf).where("timestamp < '2024-01-01 12:00:00'").groupBy(F.col("attack_type").alias("detection_type")).agg(F.count(F.lit(1)).alias("n"))),
-            S.sql("audit", """SELECT attack_type AS detection_type, count(*) AS n, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS effectiveness, least(1.0, count(*) / 10.0) < 0.8 AS needs_update
-             FROM ind WHERE "timestamp" < '2024-01-01 12:00:00' GROUP BY 1""", INFRA, SRC, MATCHES, INDICATORS), rnd={"effectiveness": 6})
+    cat.add("v13_effectiveness", lambda sp, sf: P.effectiveness(indicators(sp, sf).groupBy(F.concat_ws(" ", "attack_type", F.date_format("timestamp", "yyyy-MM-dd HH")).alias("detection_type")).agg(F.count(F.lit(1)).alias("n"))),
+            S.sql("audit", """SELECT attack_type || ' ' || strftime("timestamp", '%Y-%m-%d %H') AS detection_type, count(*) AS n, least(1.0::DOUBLE, count(*) / 10.0::DOUBLE) AS effectiveness, least(1.0, count(*) / 10.0) < 0.8 AS needs_update
+             FROM ind GROUP BY 1""", INFRA, SRC, MATCHES, INDICATORS), rnd={"effectiveness": 6})
