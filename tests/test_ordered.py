@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions.chains import keep_spaced, sessionize
@@ -116,11 +117,12 @@ def test_sessionize(spark):
             assert got[r.event_id] == start.to_pydatetime()
 
 
-def test_exact_percentiles(spark):
+@pytest.mark.parametrize("part_rows", [10, 100, 1_000_000])
+def test_exact_percentiles(spark, part_rows):
     rnd = random.Random(7)
     data = [("a", rnd.gauss(0, 1)) for _ in range(1500)] + [("b", float(rnd.randrange(3))) for _ in range(200)] + [("c", 5.0), ("d", None)]
     df = spark.createDataFrame(data, "k string, x double")
-    got = {r.k: r for r in exact_percentiles(df, ["k"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, bins=20).collect()}
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "x", {"p10": 0.1, "p50": 0.5, "p99": 0.99}, bins=8, part_rows=part_rows).collect()}
     pdf = pd.DataFrame(data, columns=["k", "x"]).dropna()
     for k, g in pdf.groupby("k"):
         for name, p in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
