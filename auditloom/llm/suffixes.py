@@ -40,6 +40,8 @@ from auditloom.llm.common import mixed
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 SEGMENT = 1 << 20
+#: Spans that are merged at a time, besides the rest of a group.
+MERGED = 8192
 #: Occurrences above which an anchor's windows are dealt one by one.
 HOT = 20_000
 ANCHORS = "_chunk int, bucket int, keys binary, counts binary"
@@ -332,16 +334,24 @@ def match_spans(table: pa.Table) -> pa.Table:
     bit_at = np.cumsum(windows[one]) - windows[one]
     bit = np.repeat(times > 1, windows[one])
     which = np.flatnonzero(~alone & open_)
-    if len(which):
-        flag = repeated(group[which], text, start[one[which]], left[one[which]], windows[one[which]])
-        n = windows[one[which]]
-        k = np.repeat(np.arange(len(which)), n)
+    # Whole groups of equal anchors at a time, so that what a step holds does not grow with the bucket.
+    first = np.flatnonzero(np.r_[True, group[which][1:] != group[which][:-1]]) if len(which) else np.zeros(0, np.int64)
+    part = first[np.r_[True, np.diff(first // MERGED) > 0]] if len(first) else first
+    for s, e in zip(part, [*part[1:], len(which)]):
+        some = which[s:e]
+        n, own = windows[one[some]], left[one[some]]
+        flag = repeated(group[some], text, start[one[some]], own, n)
+        k = np.repeat(np.arange(len(some)), n)
         w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        bit[np.repeat(bit_at[which], n) + w] |= flag[k, np.repeat(left[one[which]], n) - w]
-    w = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    every = bit[np.repeat(bit_at[kind], windows) + w]
+        bit[np.repeat(bit_at[some], n) + w] |= flag[k, np.repeat(own, n) - w]
     edge = np.r_[0, np.cumsum(count)]
-    return answer(table, 2, np.r_[0, np.cumsum(windows)][edge], every)
+    every = np.empty(windows.sum(), bool)
+    to = np.r_[0, np.cumsum(windows)]
+    for s, e in zip(edge[:-1], edge[1:]):
+        n = windows[s:e]
+        w = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        every[to[s]:to[e]] = bit[np.repeat(bit_at[kind[s:e]], n) + w]
+    return answer(table, 2, to[edge], every)
 
 
 def remove(bits: int, passed_on: int = 0):
@@ -395,7 +405,7 @@ def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, passed_on
     With columns to be passed on, ``kept`` is a text, and these columns follow as ``_p0``, ``_p1``, ...
     """
     texts, size = C.chunked(docs, chunk_bytes, passed_on)
-    bits = C.bucket_bits(size // 2)
+    bits = C.bucket_bits(2 * size)
     anchors = C.asked(texts, ANCHORS, ask_anchors(bits)).groupBy("bucket").applyInArrow(match_anchors(hot), C.ANSWER)
     spans = C.told(texts, anchors, SPANS, ask_spans(bits)).groupBy("bucket").applyInArrow(match_spans, C.ANSWER)
     windows = C.told(texts, anchors, WINDOWS, ask_windows(bits)).groupBy("bucket").applyInArrow(match_windows, C.ANSWER)
