@@ -9,8 +9,8 @@ The join is exact (up to collisions of 64-bit hashes) and compares no document w
 2. Equal sets become one class. Classes are partitioned into groups of similar ones by their least shingle hash, at most
    ``GROUP`` to a group: a hot group is split by a hash. Members of a group are compared in one task; the roots of what is
    linked are compared again, until the parts of a split group have met.
-3. The token-group matrix has a row for every first shingle and an entry for every group that holds it. A class is a query
-   to the groups in the rows of its own first shingles, except groups that are in its component already as a whole. For a
+3. The token-group matrix has a row for every first shingle and an entry for every group that holds it; linked classes form
+   groups of their own. Two groups of different components meet if they share a row. For a
    pair of groups the queries between them meet in one task: the size of a query's overlap with the other side's token
    union bounds its similarity to all of the group; only groups that qualify are opened and compared by set.
 4. Links are stars of verified pairs; alternating large and small stars give the components.
@@ -36,6 +36,8 @@ from auditloom.llm.common import mixed
 WIDTH, PERCENT = 4, 85
 #: Classes of a group; a task compares two groups at most.
 GROUP = 256
+#: Classes of a component that ask first, about so many.
+SPOKESMEN = 4
 COLUMNS = 2048
 KEYS = "_chunk int, bucket int, keys binary, counts binary"
 SETS = "doc_id long, n long, cls long, least long, firsts array<bigint>, tokens binary, text_md5 string"
@@ -220,12 +222,30 @@ def sets_of(docs: DataFrame, width: int, percent: int, chunk_bytes: int) -> Data
     return written(C.told(texts, counts, SETS, describe(bits, width, percent)))
 
 
+def meeting_groups(members: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Classes with their group, and the pairs of groups that share a row of the token-group matrix.
+
+    Members of one part (compared with one another before) that are linked form a group for each component, the others
+    one group. Groups of one part or of one component do not meet again.
+    """
+    every = root.unionByName(root.select(F.col("root").alias("node"), "root").distinct())
+    placed = written(members.join(every, members["cls"] == every["node"], "left").select(
+        "cls", F.col("grp").alias("part"), F.col("root").alias("one"), F.xxhash64("grp", F.coalesce("root", F.lit(0))).alias("grp"), "firsts"))
+    matrix = placed.select("part", "one", "grp", F.explode_outer("firsts").alias("token")).distinct()
+    rows = matrix.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("token")
+    asking = written(matrix.join(rows, "token"))
+    a, b = asking.alias("a"), asking.alias("b")
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.grp") < F.col("b.grp")) & (F.col("a.part") != F.col("b.part"))
+                   & ~F.coalesce(F.col("a.one") == F.col("b.one"), F.lit(False)))
+    return placed.select("cls", "grp"), pairs.select(F.col("a.grp").alias("x"), F.col("b.grp").alias("y")).distinct()
+
+
 def links_of(classes: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
     """Stars of verified links that have the same components as all links; ``classes``: cls, n, least, firsts, tokens."""
     run = compare(percent)
     one = F.lit(0).alias("side")
-    members = written(grouped(classes).select("cls", "n", "least", "grp", "_parts", "firsts", "tokens"))
-    links = written(members.select("cls", "n", "tokens", "grp", one).groupBy("grp").applyInArrow(run, LINKS))
+    members = written(grouped(classes).select("cls", "n", "least", "grp", "_n", "_parts", "firsts", "tokens"))
+    links = written(members.where("_n > 1").select("cls", "n", "tokens", "grp", one).groupBy("grp").applyInArrow(run, LINKS))
     # The parts of split groups meet through their roots; all of a family becomes one component without further pairs.
     roots = members.where("_parts > 1").select("cls", "n", "least", "tokens")
     for _ in range(rounds):
@@ -237,22 +257,28 @@ def links_of(classes: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
         roots = again.where("_parts > 1").select("cls", "n", "least", "tokens")
         if not found or not open_:
             break
+    # Then a few classes of every component, and all that have no link yet, ask for all: the components of one family,
+    # whose least shingles differ, become one before the classes behind them ask each other.
     root = components(links)
-    placed = written(members.join(root, members["cls"] == root["node"], "left").select(
-        "cls", "grp", F.coalesce("root", "cls").alias("comp"), "firsts"))
-    posting = placed.select("cls", "grp", "comp", F.explode_outer("firsts").alias("token"))
-    uniform = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")) \
-        .select(F.col("grp").alias("other"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("all"))
-    matrix = posting.groupBy("token", F.col("grp").alias("other")).agg(F.lit(1).alias("_x")).drop("_x").join(uniform, "other")
-    # A row of the matrix asks only if it has two groups at least.
-    rows = matrix.groupBy("token").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo != hi").select("token")
-    queries = posting.join(rows, "token").join(matrix, "token").where("grp != other and (all is null or all != comp)")
-    meets = queries.select(F.least("grp", "other").alias("x"), F.greatest("grp", "other").alias("y"), "cls", "grp", "other") \
-        .select("x", "y", "cls", (F.col("grp") == F.col("y")).cast("int").alias("side")).distinct()
-    # Both members of a link across groups ask here, each in the row of the shingle that they share.
+    size = root.groupBy("root").agg(F.count("*").alias("size"))
+    keep = root.join(size, "root").where(F.pmod(F.xxhash64("node", F.lit(5)), F.greatest(F.lit(1), F.floor(F.col("size") / SPOKESMEN))) != 0).select("node")
+    few = members.join(keep, members["cls"] == keep["node"], "left_anti")
+    root = components(_pairs(root).unionByName(across(few, root, run)))
+    return _pairs(root).unionByName(across(members, root, run))
+
+
+def _pairs(root: DataFrame) -> DataFrame:
+    return root.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
+def across(members: DataFrame, root: DataFrame, run) -> DataFrame:
+    """Stars of verified links between groups of different parts and components."""
+    placed, pairs = meeting_groups(members, root)
+    ends = pairs.select("x", "y", F.explode(F.array(F.struct(F.col("x").alias("grp"), F.lit(0).alias("side")),
+                                                    F.struct(F.col("y").alias("grp"), F.lit(1).alias("side")))).alias("e")).select("x", "y", "e.*")
+    meets = ends.join(placed, "grp").select("x", "y", "cls", "side")
     opened = meets.join(members.select("cls", "n", "tokens"), "cls")
-    across = written(opened.groupBy("x", "y").applyInArrow(run, LINKS))
-    return root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(across)
+    return written(opened.groupBy("x", "y").applyInArrow(run, LINKS))
 
 
 def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
