@@ -1,7 +1,7 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
 Features are hashed n-grams of one to three lower-cased code points (anything but letters counts as a space). Document
-frequencies come from every document of the corpus. Weights are learnt by follow-the-regularised-leader with elastic-net
+frequencies come from every document that may be learnt from. Weights are learnt by follow-the-regularised-leader with elastic-net
 penalties on a bounded sample of labelled documents; a part of the sample that the weights did not see sets the
 temperature that makes scores probabilities. Prediction reads whole texts: term frequency is relative, so a score is a
 sum over all places of a text.
@@ -201,6 +201,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score; labels are those of documents whose fold by five is not 0."""
-    model = fit(docs, docs.where(fold("doc_id", 5) != 0))
+    """doc_id, held_out, lang_pred, score; learnt, frequencies included, from labelled documents whose fold by five is not 0."""
+    known = docs.where((fold("doc_id", 5) != 0) & F.col("lang").isNotNull())
+    model = fit(known, known)
     return predict(docs, model).select("doc_id", F.coalesce(fold("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
