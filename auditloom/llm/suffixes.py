@@ -40,6 +40,8 @@ from auditloom.llm.common import mixed
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
 SEGMENT = 1 << 20
+#: Average text bytes of a chunk.
+CHUNK_BYTES = 3 << 20
 #: Spans that are merged at a time, besides the rest of a group.
 MERGED = 8192
 #: Occurrences above which an anchor's windows are dealt one by one.
@@ -106,7 +108,7 @@ class Occurrences:
         new = np.r_[True, (place[1:] != place[:-1]) | (low[1:] != high[:-1] + 1)]  # runs cut by a segment's end
         return cls(anchor[new], place[new], low[new], high[np.r_[np.flatnonzero(new)[1:], len(new)] - 1])
 
-    def contents(self, body: np.ndarray, piece: int = 1 << 21) -> np.ndarray:
+    def contents(self, body: np.ndarray, piece: int = 1 << 19) -> np.ndarray:
         """Hash of each span's bytes, offset and number of windows."""
         size = self.high - self.low + LENGTH
         power = C.powers(int(size.max(initial=1)))
@@ -382,12 +384,13 @@ def remove(bits: int, passed_on: int = 0):
         cover = np.zeros(len(c.body) + 1, np.int32)
         np.add.at(cover, start, 1)
         np.subtract.at(cover, start + LENGTH, 1)
-        gone = np.cumsum(cover[:-1]) > 0
-        row = np.repeat(np.arange(table.num_rows), np.diff(c.at))
+        gone = np.cumsum(cover[:-1], dtype=np.int32) > 0
         size = np.diff(c.at)
-        n_gone = np.bincount(row, gone, table.num_rows).astype(np.int64)
-        begin = np.flatnonzero(gone & np.r_[True, ~gone[:-1] | (row[1:] != row[:-1])]) if len(gone) else np.zeros(0, np.int64)
-        spans = np.bincount(row[begin], minlength=table.num_rows)
+        begin = gone.copy()
+        begin[1:] &= ~gone[:-1]
+        text_start = c.at[:-1][size > 0]
+        begin[text_start] = gone[text_start]
+        n_gone, spans = (np.diff(np.r_[0, np.cumsum(x, dtype=np.int32)][c.at]).astype(np.int64) for x in (gone, begin))
         kept = c.body[~gone].tobytes()
         edge = np.r_[0, np.cumsum(size - n_gone)].tolist()
         rows = [kept[s:e] for s, e in zip(edge[:-1], edge[1:])]
@@ -399,7 +402,7 @@ def remove(bits: int, passed_on: int = 0):
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES, passed_on: list[str] | None = None, hot: int = HOT) -> DataFrame:
+def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, passed_on: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every row.
 
     With columns to be passed on, ``kept`` is a text, and these columns follow as ``_p0``, ``_p1``, ...
