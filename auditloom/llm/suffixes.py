@@ -71,7 +71,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Occurrences:
-    """Anchor hash and place, first and last window start, of every run of windows with one anchor place."""
+    """Anchor key and place, first and last window start, of every run of windows with one anchor place."""
 
     anchor: np.ndarray
     place: np.ndarray
@@ -101,7 +101,8 @@ class Occurrences:
             place = (least[start] & np.uint64(0xFFFFFF)).astype(np.int64)
             edge = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (np.diff(start) != 1)])
             last = np.r_[edge[1:], len(start)] - 1
-            got.append((h[place[edge]], place[edge] + s, start[edge] + s, start[last] + s))
+            # Least hashes crowd near zero; mixed again, their leading bits deal them evenly over the buckets.
+            got.append((mixed(h[place[edge]]), place[edge] + s, start[edge] + s, start[last] + s))
         if not got:
             return cls(np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
         anchor, place, low, high = (np.concatenate(x) for x in zip(*got))

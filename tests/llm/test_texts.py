@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from auditloom.llm import bpe, decontaminate, jaccard, queries, sampling, substring, suffixes
+from auditloom.llm import bpe, chunks, decontaminate, jaccard, queries, sampling, substring, suffixes
 from tests.llm.brute import byte_repeats, sha, shingle_components, word_repeats
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -70,6 +70,14 @@ def test_byte_repeats(spark, chunk_bytes, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got), key=key) == sorted(byte_repeats(rows), key=key)
 
 
+def test_anchors_fill_their_buckets_evenly():
+    body = np.random.default_rng(6).integers(97, 123, 1 << 20).astype(np.uint8)
+    keys = np.unique(suffixes.Occurrences.of(body, np.array([0, len(body)])).anchor)
+    for bits in (5, 7):
+        size = [e - s for _, s, e in chunks.dealt(keys, bits)]
+        assert len(size) == 2**bits and max(size) < 2 * len(keys) / 2**bits
+
+
 def test_cleaned_texts_keep_their_columns(spark):
     rows = passages(4)
     df = frame(spark, rows).selectExpr("*", "length(text) AS n_chars")
