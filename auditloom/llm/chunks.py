@@ -21,30 +21,59 @@ from auditloom.llm.common import flat, mixed
 
 #: Average text bytes of a chunk, and average packed bytes of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
+#: Draws of the sketch of ids for a chunk's bytes.
+DRAWS = 256
 ANSWER = "_chunk int, bucket int, round int, bits binary"
 
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, passed_on: list[str] | None = None) -> tuple[DataFrame, int]:
     """doc_id, text, ``_chunk`` and, renamed ``_p0``, ``_p1``, ..., the columns to be passed on; all text bytes.
 
-    Chunks are ranges of doc_id, in order: every id of a chunk is below every id of the next one; null ids come last.
-    The cuts (a bounded sketch gives them) are a small sorted array.
+    Chunks are ranges of doc_id, in order: every id of a chunk is below every id of the next one; null ids come last. The
+    cuts are quantiles by bytes (a bounded sketch of ids, drawn in proportion to the bytes, gives them). An id that fills
+    whole chunks by itself, and null ids, are dealt over several chunks by a hash of the text; ``_range`` numbers the ranges
+    of ids, which is the same for these chunks and rises with the id.
     """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b"), F.count("*").alias("n")).first()
+    id_ = F.col("doc_id").cast("long")
+    bytes_ = F.coalesce(F.octet_length("text"), F.lit(0))
+    size = docs.agg(F.coalesce(F.sum(bytes_), F.lit(0)).alias("b"), F.count("*").alias("n"),
+                    F.coalesce(F.sum(F.when(id_.isNull(), bytes_)), F.lit(0)).alias("no_id")).first()
     n = max(1, -(-int(size["b"]) // chunk_bytes), min(8, size["n"]))
     steps = [k / n for k in range(1, n)]
-    cuts = docs.agg(F.percentile_approx("doc_id", steps, max(10_000, 20 * n)).alias("c")).first()["c"] if steps else []
-    inner = np.unique(np.array(cuts or [], np.int64))
+    unit = max(1.0, size["b"] / n / DRAWS)
+    drawn = docs.select(id_.alias("_id"), F.floor(bytes_ / F.lit(unit) + F.rand(7)).cast("int").alias("_times")).where("_id is not null and _times > 0")
+    drawn = drawn.select("_id", F.explode(F.sequence(F.lit(1), "_times")))
+    cuts = drawn.agg(F.percentile_approx("_id", steps, max(10_000, 20 * n)).alias("c")).first()["c"] if steps else []
+    first, parts = ranges(np.array(cuts or [], np.int64), -(-int(size["no_id"]) * n // max(1, int(size["b"]))))
+    chunk = np.cumsum(parts) - parts
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("doc_id")
-            at = np.searchsorted(inner, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
-            at[ids.is_null().to_numpy(zero_copy_only=False)] = len(inner)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], [*b.schema.names, "_chunk"])
+            ids, spread = b.column("doc_id"), b.column("_spread").to_numpy()
+            at = np.searchsorted(first, ids.fill_null(0).to_numpy(zero_copy_only=False), side="right")
+            at[ids.is_null().to_numpy(zero_copy_only=False)] = len(parts) - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array((chunk[at] + spread % parts[at]).astype(np.int32)), pa.array(at.astype(np.int32))],
+                                             [*b.schema.names[:-1], "_chunk", "_range"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"_p{k}") for k, c in enumerate(passed_on or [])])
-    return rows.mapInArrow(place, T.StructType([*rows.schema.fields, T.StructField("_chunk", T.IntegerType())])), int(size["b"])
+    rows = docs.select(id_.alias("doc_id"), "text", *[F.col(f"`{c}`").alias(f"_p{k}") for k, c in enumerate(passed_on or [])])
+    schema = T.StructType([*rows.schema.fields, T.StructField("_chunk", T.IntegerType()), T.StructField("_range", T.IntegerType())])
+    spread = F.pmod(F.xxhash64("text"), F.lit(2**31 - 1)).alias("_spread")
+    return rows.select("*", spread).mapInArrow(place, schema), int(size["b"])
+
+
+def ranges(cuts: np.ndarray, without_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the second range of ids and all later ones begin, and the chunks of every range, null ids (the last) included.
+
+    A value that is k > 1 of the cuts has k - 1 to k + 1 chunks' bytes: a range of its own, in k + 1 chunks.
+    """
+    value, times = np.unique(cuts, return_counts=True)
+    own = value[(times > 1) & (value < np.iinfo(np.int64).max)]
+    first = np.union1d(value, own + 1)
+    parts = np.ones(len(first) + 2, np.int64)
+    heavy = np.flatnonzero(times > 1)
+    parts[np.searchsorted(first, value[heavy], side="right")] = times[heavy] + 1
+    parts[-1] = max(1, without_id)
+    return first, parts
 
 
 def bucket_bits(packed_bytes: int) -> int:

@@ -7,7 +7,7 @@ The join is exact (up to collisions of 64-bit hashes) and compares no document w
    once links nothing. Shingles are ordered from rare to frequent; two linked documents share one among the first
    n - ceil(n * PERCENT / 100) + 1 of each. Documents whose first shingles are all their own are done.
 2. Equal sets become one class. Classes are partitioned into groups of similar ones by their least shingle hash, at most
-   ``GROUP`` to a group: a hot group is split by a hash. Members of a group are compared in one task; the roots of what is
+   ``GROUP`` and about ``GROUP_BYTES`` to a group: a larger one is split by a hash. Members of a group are compared in one task; the roots of what is
    linked are compared again, until the parts of a split group have met.
 3. The token-group matrix has a row for every first shingle and an entry for every group that holds it; linked classes form
    groups of their own. Two groups of different components meet if they share a row. For a
@@ -34,8 +34,8 @@ from auditloom.llm import chunks as C
 from auditloom.llm.common import mixed
 
 WIDTH, PERCENT = 4, 85
-#: Classes of a group; a task compares two groups at most.
-GROUP = 256
+#: Classes of a group and, about, bytes of their tokens; a task compares two groups at most.
+GROUP, GROUP_BYTES = 256, 16 << 20
 #: Classes of a component that ask first, about so many.
 SPOKESMEN = 4
 COLUMNS = 2048
@@ -190,9 +190,11 @@ def compare(percent: int):
 
 
 def grouped(classes: DataFrame) -> DataFrame:
-    """Classes with ``grp``: the least shingle, split by a hash so that a group has about ``GROUP`` members."""
-    n = classes.groupBy("least").agg(F.count("*").alias("_n"))
-    return classes.join(n, "least").withColumn("_parts", F.ceil(F.col("_n") / GROUP)).withColumn(
+    """Classes with ``grp``: the least shingle, split by a hash so that a group has about ``GROUP`` members, and fewer if
+    their tokens are more than ``GROUP_BYTES``."""
+    n = classes.groupBy("least").agg(F.count("*").alias("_n"), F.sum(F.octet_length("tokens")).alias("_b"))
+    parts = F.least("_n", F.greatest(F.ceil(F.col("_n") / GROUP), F.ceil(F.col("_b") / GROUP_BYTES)))
+    return classes.join(n, "least").withColumn("_parts", parts).drop("_b").withColumn(
         "grp", F.when(F.col("_parts") == 1, F.xxhash64("least")).otherwise(F.xxhash64("least", "_parts", F.pmod(F.xxhash64("cls"), F.col("_parts")))))
 
 

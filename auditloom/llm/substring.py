@@ -6,8 +6,8 @@ holds a whole block of the other document. Every rolling run of ``BLOCK`` words
 hits a block of another document, and the block itself, are anchors. Anchors are extended to all windows around them;
 the windows' hashes are matched (round 2), and runs of matching windows are the maximal repeats.
 
-Documents are dealt into chunks of neighbouring ids (see ``chunks``), so a window has a smaller source if it occurs in an
-earlier chunk, or in its own chunk with a smaller id. Words are compared by 64-bit hashes of their bytes.
+Documents are dealt into chunks of neighbouring ids (see ``chunks``), so a window has a smaller source if it occurs in a
+chunk of an earlier range of ids, or in its own chunk with a smaller id (chunks of one range hold one id). Words are compared by 64-bit hashes of their bytes.
 
 Defined results: a null text has no words; a document shorter than a window keeps all words; rows with equal ids do not
 remove one another's words, whether repeated or not; a null id is larger than all others; other columns are not read; an
@@ -27,7 +27,7 @@ WINDOW = 13
 #: Two blocks less one word fit in a window, so a window holds a whole block wherever blocks begin.
 BLOCK = (WINDOW + 1) // 2
 PROBES = "_chunk int, bucket int, keys binary, blocks binary, several binary"
-WINDOWS = "_chunk int, bucket int, keys binary"
+WINDOWS = "_chunk int, _range int, bucket int, keys binary"
 LAST = np.iinfo(np.int64).max
 
 
@@ -35,7 +35,7 @@ class Chunk:
     """Words and windows of a chunk's documents."""
 
     def __init__(self, table: pa.Table):
-        self.number = table.column("_chunk")[0].as_py()
+        self.number, self.range = (table.column(c)[0].as_py() for c in ("_chunk", "_range"))
         self.body, self.at = C.bytes_of(table)
         ids = table.column("doc_id")
         self.ids = ids.fill_null(0).to_numpy()
@@ -117,24 +117,25 @@ def replies(table: pa.Table, at: np.ndarray, bit: np.ndarray, which: int) -> pa.
 def ask_windows(bits: int):
     def ask(table: pa.Table, replies_: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"_chunk": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "keys": pa.array([], pa.binary())})
+            return pa.table({n: pa.array([], pa.binary() if n == "keys" else pa.int32()) for n in ("_chunk", "_range", "bucket", "keys")})
         c = Chunk(table)
         probes, at, _ = c.probes()
         _, keys, _ = c.candidates(C.answers(replies_, 1, probes, bits), at)
         cuts = C.dealt(keys, bits)
-        return pa.table({"_chunk": pa.array([c.number] * len(cuts), pa.int32()), "bucket": pa.array([b for b, _, _ in cuts], pa.int32()),
+        return pa.table({"_chunk": pa.array([c.number] * len(cuts), pa.int32()), "_range": pa.array([c.range] * len(cuts), pa.int32()),
+                         "bucket": pa.array([b for b, _, _ in cuts], pa.int32()),
                          "keys": pa.array([keys[s:e].astype("<u8").tobytes() for _, s, e in cuts], pa.binary())})
     return ask
 
 
 def match_windows(table: pa.Table) -> pa.Table:
-    """The bit of a window is set if an earlier chunk has it."""
+    """The bit of a window is set if a chunk of an earlier range of ids has it."""
     sets = [np.frombuffer(k.as_py(), "<u8") for k in table.column("keys")]
     keys, place, _ = merged(sets)
-    chunk = np.repeat(table.column("_chunk").to_numpy(), list(map(len, sets)))
+    range_ = np.repeat(table.column("_range").to_numpy(), list(map(len, sets)))
     first = np.full(len(keys), np.iinfo(np.int64).max)
-    np.minimum.at(first, place, chunk)
-    return replies(table, np.cumsum([0, *map(len, sets)]), chunk > first[place], 2)
+    np.minimum.at(first, place, range_)
+    return replies(table, np.cumsum([0, *map(len, sets)]), range_ > first[place], 2)
 
 
 def remove(bits: int):

@@ -70,6 +70,51 @@ def test_byte_repeats(spark, chunk_bytes, hot):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got), key=key) == sorted(byte_repeats(rows), key=key)
 
 
+def uneven(seed=9):
+    """Ids whose texts are long in one place, one id and no id with many rows."""
+    r = random.Random(seed)
+    voc = ["".join(r.choice("abcde") for _ in range(r.randrange(2, 6))) for _ in range(80)]
+
+    def text(n):
+        return " ".join(r.choice(voc) for _ in range(n))
+    rows = [(i, text(10)) for i in range(400)] + [(i, text(300)) for i in range(400, 440)] + [(i, text(10)) for i in range(440, 800)]
+    rows += [(600, text(60)) for _ in range(200)] + [(None, text(60)) for _ in range(200)]
+    rows += [(i, rows[k][1]) for i, k in ((600, 900), (601, 901), (100, 902), (None, 1100), (600, 1101), (5, 405))]
+    r.shuffle(rows)
+    return rows
+
+
+def test_chunks_are_bounded_by_bytes(spark):
+    most = 8000
+    texts, size = chunks.chunked(frame(spark, uneven()), most)
+    got = [(r._chunk, r._range, r.doc_id, len(r.text)) for r in texts.collect()]
+    held, ids = Counter(), defaultdict(set)
+    for c, k, i, n in got:
+        held[c] += n
+        ids[k].add(float("inf") if i is None else i)
+    assert size == sum(held.values()) and max(held.values()) < 2 * most
+    order = [ids[k] for k in sorted(ids)]
+    assert all(max(a) < min(b) for a, b in zip(order, order[1:]))
+    assert all(len(ids[k]) == 1 for k in ids if len({c for c, x, _, _ in got if x == k}) > 1)
+
+
+def test_repeats_in_split_ids(spark):
+    rows = uneven()
+    got = substring.without_repeats(frame(spark, rows), 8000).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, sha(r.kept.encode())) for r in got), key=key) == sorted(word_repeats(rows), key=key)
+    got = suffixes.without_repeats(frame(spark, rows), 8000).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in got), key=key) == sorted(byte_repeats(rows), key=key)
+
+
+def test_groups_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "GROUP_BYTES", 1000)
+    classes = spark.range(40).selectExpr("id AS cls", "7L AS least", "cast(repeat('x', 400) AS binary) AS tokens")
+    assert jaccard.grouped(classes).select("grp").distinct().count() >= 10
+    rows = families(5)
+    got = jaccard.linked_documents(frame(spark, rows), chunk_bytes=3000).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(shingle_components(rows), key=key)
+
+
 def test_anchors_fill_their_buckets_evenly():
     body = np.random.default_rng(6).integers(97, 123, 1 << 20).astype(np.uint8)
     keys = np.unique(suffixes.Occurrences.of(body, np.array([0, len(body)])).anchor)
