@@ -2,8 +2,9 @@
 
 Features are hashed n-grams of one to three lower-cased code points (anything but letters counts as a space). Document
 frequencies come from every document that may be learnt from. Weights are learnt by follow-the-regularised-leader with elastic-net
-penalties on a bounded sample of labelled documents; a part of the sample that the weights did not see sets the
-temperature that makes scores probabilities. Prediction reads whole texts: term frequency is relative, so a score is a
+penalties on a bounded sample of labelled documents, in which every language has some; offsets are corrected for the true
+shares of the languages. A part of the sample that the weights did not see sets the temperature that makes scores
+probabilities. Prediction reads whole texts: term frequency is relative, so a score is a
 sum over all places of a text.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; with no labelled document every text with
@@ -21,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditloom.llm.common import fold, slices, spread_sample, texts
+from auditloom.llm.common import fold, slices, texts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Labelled documents that the model is fitted on, at most about so many.
-FIT_DOCS = 3000
+#: Labelled documents that the model is fitted on, about so many, and more if a language would have less than ``LEAST_DOCS``.
+FIT_DOCS, LEAST_DOCS = 3000, 100
 SCALE = 30.0
 
 
@@ -156,13 +157,28 @@ def follow_leader(bag: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, c
     return w[:-1], w[-1]
 
 
-def temperature_of(z: np.ndarray, label: np.ndarray) -> float:
-    """The temperature with the least log loss, by a search over a grid."""
+def temperature_of(z: np.ndarray, label: np.ndarray, shift: np.ndarray) -> float:
+    """The temperature with the least log loss, by a search over a grid; ``shift``: logarithm of a class's share of all rows over
+    its share of the sample."""
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 80))
-    loss = [-np.log(np.maximum(softmax(z / t)[np.arange(len(z)), label], 1e-12)).mean() for t in grid]
+    weight = np.exp(shift)[label]
+    loss = [-(weight * np.log(np.maximum(softmax(z / t + shift)[np.arange(len(z)), label], 1e-12))).mean() for t in grid]
     return float(grid[int(np.argmin(loss))])
 
 
+def language_sample(labelled: DataFrame, most: int) -> tuple[DataFrame, dict[str, int]]:
+    """About ``most`` rows, chosen by a hash, and about ``LEAST_DOCS`` of each language that would have less (all, if it has
+    no more); the rows of every language."""
+    seen = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    part = most / max(1, sum(seen.values()))
+    if part >= 1:
+        return labelled, seen
+    own = {x: min(1.0, max(part, LEAST_DOCS / n)) for x, n in seen.items()}
+    low = labelled.sparkSession.createDataFrame([(x, int(2**62 * p)) for x, p in own.items()], "lang string, _low long")
+    rows = labelled.join(F.broadcast(low), "lang")
+    return rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(7), "doc_id", "text"), 2) < F.col("_low")).drop("_low"), seen
+
+
 def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_DOCS) -> LanguageModel:
     """Model from ``labelled`` (doc_id, text, lang); document frequencies are those of all ``docs``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,7 +187,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_DOCS) -> LanguageM
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array([x for x, _ in own], pa.list_(pa.int32())),
                                               pa.array([x for _, x in own], pa.list_(pa.float32()))], ["doc_id", "lang", "ids", "tf"])
 
-    sample = spread_sample(labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null"), "doc_id", most)
+    sample, seen = language_sample(labelled.select("doc_id", "text", "lang").where("lang is not null and text is not null"), most)
     got = sample.mapInArrow(run, "doc_id bigint, lang string, ids array<int>, tf array<float>").toArrow().sort_by("doc_id")
     lang = got["lang"].to_pylist()
     langs = sorted(set(lang))
@@ -181,10 +197,16 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = FIT_DOCS) -> LanguageM
     idf = np.log((1 + n) / (1 + df)) + 1.0
     bag = [(np.asarray(i.values), np.asarray(t.values)) for i, t in zip(got["ids"], got["tf"])]
     label = np.array([langs.index(x) for x in lang])
-    tune = np.arange(len(bag)) % 5 == 4
+    # Every fifth document of a language, so that no language is only in the part that the weights do not see.
+    tune = np.zeros(len(bag), bool)
+    for k in range(len(langs)):
+        tune[np.flatnonzero(label == k)[4::5]] = True
     w, b = follow_leader([x for x, t in zip(bag, tune) if not t], label[~tune], len(langs), idf)
     z = np.array([SCALE * (tf * idf[ids]) @ w[ids] + b for (ids, tf), t in zip(bag, tune) if t])
-    return LanguageModel(langs, w * idf[:, None], b, temperature_of(z, label[tune]) if len(z) else 1.0)
+    true = np.array([seen[x] for x in langs], float)
+    shift = np.log(true / true.sum()) - np.log(np.bincount(label) / len(label))
+    t = temperature_of(z, label[tune], shift) if len(z) else 1.0
+    return LanguageModel(langs, w * idf[:, None], b + t * shift, t)
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -34,6 +34,17 @@ def test_language(spark):
     assert len(rows) == 1000 and np.mean([r.lang_pred == lang[r.doc_id] for r in rows if r.held_out]) > 0.98
 
 
+def test_rare_languages_are_learnt(spark):
+    rows = [(k, f"the house and the road number {k} of the town", "en") for k in range(2000)]
+    rows += [(2000 + k, f"das Haus und die Straße Nummer {k} der Stadt", "de") for k in range(1500)]
+    rows += [(4000 + k, f"το σπίτι και ο δρόμος αριθμός {k} της πόλης", "el") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, docs, most=50)
+    assert model.langs == ["de", "el", "en"]
+    got, _ = model.predict(["ο δρόμος της πόλης και το σπίτι", "the road of the town", "die Straße der Stadt"])
+    assert got == ["el", "en", "de"]
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(i, t, "de", "x", "y") for i, t in ODD], "doc_id long, text string, lang string, n string, _found string")
     marks = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (4, None, 1), (None, 1, 1), (3, 0, None), (77, 1, 1)], "doc_id long, quality int, toxic int")
