@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from auditloom.llm import arc, bpe, decontaminate, jaccard, langid, quality, sampling, substring, suffixes, toxicity
+from auditloom.llm import arc, bpe, chat, collocations, decontaminate, jaccard, langid, pivots, quality, sampling, substring, suffixes, toxicity
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -62,8 +62,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.clusters(table(spark, sf_dir, "embeddings"))
+
+
+def op12_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.read_back(chat.formatted(chat.planted(table(spark, sf_dir, "conversations"))))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, QueryFn] = {f.__name__: f for f in (
-    op1_bpe, op2_quality, op3_jaccard, op4_suffixes, op5_language, op6_toxicity, op7_fingerprints, op8_substrings, op9_decontamination, op10_warc)}
+    op1_bpe, op2_quality, op3_jaccard, op4_suffixes, op5_language, op6_toxicity, op7_fingerprints, op8_substrings, op9_decontamination, op10_warc,
+    op11_centroids, op12_chat, op13_collocations)}
 
 SQL: dict[str, str] = {
     "op10_warc": """
@@ -74,4 +87,7 @@ SELECT d.page_id, CAST(d.n AS BIGINT) AS payload_bytes, d.h AS payload_digest,
        CASE WHEN f.first_id < d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN f.first_id < d.page_id THEN f.first_id END AS refers_to
 FROM d LEFT JOIN f ON d.h = f.h AND d.n >= 100""",
+    "op11_centroids": pivots.sql(),
+    "op12_chat": chat.SQL,
+    "op13_collocations": collocations.SQL,
 }
