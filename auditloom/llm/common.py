@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +59,14 @@ def spread_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.shiftrightunsigned(F.xxhash64(F.lit(7), F.col(key)), 2) < low)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with more underscores if ``df`` has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit values spread over the whole range (xor-shift and multiply rounds)."""
     x = x.astype(np.uint64, copy=True)
@@ -67,3 +76,30 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xD6E8FEB86659FD93)
     x ^= x >> np.uint64(32)
     return x
+
+
+def give_back() -> None:
+    """Return unused memory of Arrow's pool and of the C heap to the system: a worker is reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries have no such call
+        pass
+
+
+def per_group(step: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """The function of one group, which leaves no unused memory in its worker."""
+    def run(table):
+        done = step(table)
+        give_back()
+        return done
+    return run
+
+
+def per_pair(step: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The same for a function of two co-grouped tables."""
+    def run(left, right):
+        done = step(left, right)
+        give_back()
+        return done
+    return run

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import slices, texts
+from auditloom.llm.common import slices, texts, unused
 
 K1, B = 1.2, 0.75
 SHARD_ITEMS, SHARD_BYTES = 4000, 4 << 20
@@ -193,8 +193,8 @@ def frequencies(items: DataFrame, rows: list[tuple[int, str]]) -> dict[str, int]
     return dict(zip(got["word"].to_pylist(), got["n"].to_pylist()))
 
 
-def searched(docs: DataFrame, index: Index) -> DataFrame:
-    """``docs`` with the findings of one shard as a list of structs, ``_found``."""
+def searched(docs: DataFrame, index: Index, name: str = "_found") -> DataFrame:
+    """``docs`` with the findings of one shard as a list of structs, under the given name."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
     kind = pa.list_(pa.struct([("item", pa.int64()), ("passage", pa.int64()), ("score", pa.float64()),
                                ("question_overlap", pa.float64()), ("answer_overlap", pa.float64())]))
@@ -203,9 +203,9 @@ def searched(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             got = [[dict(zip(names, r)) for r in own] for own in shared.value.search(texts(b.column("text")))]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], [*b.schema.names, "_found"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, kind)], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_found", T.ArrayType(T._parse_datatype_string(FOUND)))]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T._parse_datatype_string(FOUND)))]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -224,5 +224,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without any verified finding, with their columns."""
     for index in indexes(benchmark):
-        docs = searched(docs, index).where(F.size("_found") == 0).drop("_found")
+        name = unused(docs, "_found")
+        docs = searched(docs, index, name).where(F.size(name) == 0).drop(name)
     return docs

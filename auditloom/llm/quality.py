@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from auditloom.llm.common import flat, fold, slices, spread_sample
+from auditloom.llm.common import flat, fold, slices, spread_sample, unused
 
 #: Labelled documents of each kind that the model is fitted on, at most about so many.
 FIT_DOCS = 1500
@@ -173,8 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_DOCS) -> QualityMode
     return fit_bags(x, np.r_[0, np.cumsum(got["n"].to_numpy())], y, weight / weight.mean())
 
 
-def score(docs: DataFrame, model: QualityModel, passed_on: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns to be passed on, ``text`` among them) and score of every row."""
+def score(docs: DataFrame, model: QualityModel, passed_on: list[str] | None = None, name: str = "_score") -> DataFrame:
+    """doc_id (or the columns to be passed on, ``text`` among them) and score, under the given name, of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = passed_on or ["doc_id"]
     source = docs.select(*dict.fromkeys([*kept, "text"]))
@@ -182,10 +183,9 @@ def score(docs: DataFrame, model: QualityModel, passed_on: list[str] | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             p = shared.value.score(*flat(b.column("text"))) if b.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p.astype(np.float64))], [*kept, "_score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p.astype(np.float64))], [*kept, name])
 
-    fields = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in kept)
-    return source.mapInArrow(run, f"{fields}, _score double")
+    return source.mapInArrow(run, T.StructType([*(source.schema[c] for c in kept), T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -198,4 +198,5 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataF
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     model = fit(docs, labels.where(fold("doc_id", 3) != 1))
-    return score(docs, model, docs.columns).where(F.col("_score") >= threshold).drop("_score")
+    name = unused(docs, "_score")
+    return score(docs, model, docs.columns, name).where(F.col(name) >= threshold).drop(name)
