@@ -25,31 +25,59 @@ def _mark(df: DataFrame, hits: DataFrame, keys: list[str], flag: str) -> DataFra
     return df.join(small, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
+@dataclass(frozen=True)
+class Known:
+    """What rules over several rows find: windows of concurrent logins and of many tables (user, window_start), attacking
+    addresses (client_ip), rows that jumped between places (event_id)."""
+
+    logins: DataFrame
+    tables: DataFrame
+    attackers: DataFrame
+    jumps: DataFrame | None = None
+
+
+def found_in(df: DataFrame, cfg: RuleConfig, geo_ranges: DataFrame | None = None) -> Known:
+    """The same from the rows of a whole log."""
+    slim = df.select("event_id", "user", "client_ip", "timestamp")
+    jumps = None if geo_ranges is None else R.impossible_travel(slim, geo_ranges, cfg).select("event_id")
+    return Known(R.concurrent_login_windows(df, cfg), R.multi_table_windows(df, cfg), R.brute_force_addresses(df, cfg), jumps)
+
+
+def login_window(cfg: RuleConfig) -> Column:
+    return F.window("timestamp", cfg.concurrent_window).getField("start")
+
+
+def table_window(cfg: RuleConfig) -> Column:
+    return F.window("timestamp", f"{cfg.multi_table_window_minutes} minutes").getField("start")
+
+
+def is_connect(cfg: RuleConfig) -> Column:
+    return (F.col("error_code") == 0) & F.col("event_name").isin(*cfg.connect_events)
+
+
+def reads_tables() -> Column:
+    return F.coalesce(F.col("query").rlike("(?i)SELECT|SHOW|DESCRIBE") & (F.size(text.touched_tables(F.col("query"))) > 0), F.lit(False))
+
+
 def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
-             geo_ranges: DataFrame | None = None, attackers: DataFrame | None = None) -> DataFrame:
-    """Every rule r01..r30 as a boolean column. ``event_id`` must identify a row; ``attackers`` (client_ip) are known before.
+             geo_ranges: DataFrame | None = None, known: Known | None = None) -> DataFrame:
+    """Every rule r01..r30 as a boolean column. ``event_id`` must identify a row; ``known`` replaces what is found in ``df``.
 
     What joins back to the log is always the rare side: windows and addresses that were hit, rows a
     ticket excuses, jumps between places. Late-night rows, which are many, stay an expression.
     """
     base = R.with_entropy(df)
+    known = known or found_in(base, cfg, geo_ranges)
     out = R.with_row_rules(base, cfg)
-    start = F.window("timestamp", cfg.concurrent_window).getField("start")
-    out = _mark(out.withColumn("window_start", start), R.concurrent_login_windows(base, cfg),
-                ["user", "window_start"], "r01").drop("window_start")
-    connect = (F.col("error_code") == 0) & F.col("event_name").isin(*cfg.connect_events)
-    hostile = R.brute_force_addresses(base, cfg)
-    out = _mark(out, hostile if attackers is None else hostile.unionByName(attackers.select("client_ip")), ["client_ip"], "r02").withColumn("r02", F.col("r02") & connect)
-    out = _mark_rows(out, base, cfg, overtime, geo_ranges)
-    slot = F.window("timestamp", f"{cfg.multi_table_window_minutes} minutes").getField("start")
-    out = _mark(out.withColumn("window_start", slot), R.multi_table_windows(base, cfg),
-                ["user", "window_start"], "r30").drop("window_start")
-    reads = F.col("query").rlike("(?i)SELECT|SHOW|DESCRIBE") & (F.size(text.touched_tables(F.col("query"))) > 0)
-    return out.withColumn("r30", F.col("r30") & F.coalesce(reads, F.lit(False)))
+    out = _mark(out.withColumn("window_start", login_window(cfg)), known.logins, ["user", "window_start"], "r01").drop("window_start")
+    out = _mark(out, known.attackers, ["client_ip"], "r02").withColumn("r02", F.col("r02") & is_connect(cfg))
+    out = _mark_rows(out, base, cfg, overtime, known.jumps)
+    out = _mark(out.withColumn("window_start", table_window(cfg)), known.tables, ["user", "window_start"], "r30").drop("window_start")
+    return out.withColumn("r30", F.col("r30") & reads_tables())
 
 
 def _mark_rows(out: DataFrame, base: DataFrame, cfg: RuleConfig, overtime: DataFrame | None,
-               geo_ranges: DataFrame | None) -> DataFrame:
+               jumps: DataFrame | None) -> DataFrame:
     """r03, r04 and r07 with one join on the row key."""
     slim = base.select("event_id", "user", "client_ip", "timestamp")
     found = []
@@ -58,8 +86,8 @@ def _mark_rows(out: DataFrame, base: DataFrame, cfg: RuleConfig, overtime: DataF
         if cfg.service_accounts:
             found.append(R.with_ticket(slim.where(R.service_wrong_hour(cfg)), overtime, False).select(
                 "event_id", F.lit("s").alias("_k")))
-    if geo_ranges is not None:
-        found.append(R.impossible_travel(slim, geo_ranges, cfg).select("event_id", F.lit("t").alias("_k")))
+    if jumps is not None:
+        found.append(jumps.select("event_id", F.lit("t").alias("_k")))
     excused_night = excused_hour = travel = F.lit(False)
     if found:
         ids = found[0]
@@ -93,15 +121,18 @@ def label_groups(flags: DataFrame) -> DataFrame:
 
 
 def apply_profile(labelled: DataFrame, profile: DataFrame | None, cfg: RuleConfig) -> DataFrame:
-    """Rare-hour flag, only on rows without access, insider or technical hits."""
+    """Rare-hour flag, only on rows without access, insider or technical hits; ``rare_hour`` is the flag without that."""
     if profile is None:
-        return labelled.withColumn(f"hit_{R.PROFILE}", F.lit(False))
-    eligible = ~(F.col(f"hit_{R.ACCESS}") | F.col(f"hit_{R.INSIDER}") | F.col(f"hit_{R.TECHNICAL}"))
+        return labelled.withColumns({"rare_hour": F.lit(False), f"hit_{R.PROFILE}": F.lit(False)})
     p = measured(profile.select("user", F.col("hour").alias("_h"), F.col("cnt").alias("_cnt")))
     hour = F.hour("timestamp")
     return (labelled.withColumn("_h", hour).join(p, ["user", "_h"], "left")
-            .withColumn(f"hit_{R.PROFILE}", eligible & (F.coalesce("_cnt", F.lit(0)) < cfg.min_occurrences_threshold))
-            .drop("_h", "_cnt"))
+            .withColumn("rare_hour", F.coalesce("_cnt", F.lit(0)) < cfg.min_occurrences_threshold)
+            .withColumn(f"hit_{R.PROFILE}", profile_hit()).drop("_h", "_cnt"))
+
+
+def profile_hit() -> Column:
+    return F.col("rare_hour") & ~(F.col(f"hit_{R.ACCESS}") | F.col(f"hit_{R.INSIDER}") | F.col(f"hit_{R.TECHNICAL}"))
 
 
 def apply_ml(df: DataFrame, scored: DataFrame | None) -> DataFrame:
@@ -171,12 +202,12 @@ class Detection:
 
 
 def detect(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None, geo_ranges: DataFrame | None = None,
-           profile: DataFrame | None = None, scored: DataFrame | None = None, attackers: DataFrame | None = None) -> Detection:
+           profile: DataFrame | None = None, scored: DataFrame | None = None, known: Known | None = None) -> Detection:
     """Audit records to a full detection result; the same for a batch and a micro-batch.
 
     The small sides of the window, address and ticket rules are written and counted when this is called.
     """
-    labelled = label_groups(flag_all(df, cfg, overtime, geo_ranges, attackers))
+    labelled = label_groups(flag_all(df, cfg, overtime, geo_ranges, known))
     return Detection(finalize(apply_ml(apply_profile(labelled, profile, cfg), scored), cfg), cfg)
 
 
@@ -205,7 +236,7 @@ def event_anomalies(logs: DataFrame, cfg: RuleConfig) -> DataFrame:
         safe_long(F.col("rows_affected")).alias("rows_affected")))
 
 
-def _session_start(cfg: RuleConfig) -> Column:
+def session_start(cfg: RuleConfig) -> Column:
     return F.window("timestamp", f"{cfg.session_window_minutes} minutes").getField("start")
 
 
@@ -216,7 +247,7 @@ def multi_table_sessions(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
     ``session_evidence``.
     """
     keys = ["user", "session_start"]
-    base = rows.withColumn("session_start", _session_start(cfg))
+    base = rows.withColumn("session_start", session_start(cfg))
     facts = base.groupBy(*keys).agg(
         F.min_by("client_ip", F.struct("timestamp", "event_id")).alias("client_ip"), F.min("timestamp").alias("start_time"),
         F.max("timestamp").alias("end_time"), F.count(F.lit(1)).alias("query_count"))
@@ -229,7 +260,7 @@ def multi_table_sessions(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
 
 def session_evidence(rows: DataFrame, cfg: RuleConfig) -> DataFrame:
     """The statements of each session, one per row, keyed like the session."""
-    return rows.select("user", _session_start(cfg).alias("session_start"), "timestamp", "event_id", "query")
+    return rows.select("user", session_start(cfg).alias("session_start"), "timestamp", "event_id", "query")
 
 
 def session_anomalies(sessions: DataFrame) -> DataFrame:

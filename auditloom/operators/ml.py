@@ -133,19 +133,20 @@ def flag_scores(scored: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFram
     return scored.withColumn("is_ml", F.col("ml_anomaly_score") >= limit)
 
 
-def with_scores(found: D.Detection, cfg: ModelConfig = ModelConfig()) -> D.Detection:
+def with_scores(found: D.Detection, cfg: ModelConfig = ModelConfig(), model: PipelineModel | None = None) -> D.Detection:
     """A detection result with the learnt score of the rows that no rule caught.
 
-    The model is trained on the newest of these rows; while there are too few, nothing is added.
+    Without a stored model, one is trained on the newest of these rows; while there are too few, nothing is added. Only these
+    rows are written and scored; all others are passed on as they are.
     """
-    clean = found.clean.select(*AUDIT_SCHEMA.names)
-    rows = enrich(clean)
-    model = train(training_buffer(rows, cfg), cfg)
+    clean = written(found.clean)
+    rows = enrich(clean.select(*AUDIT_SCHEMA.names))
+    model = model or train(training_buffer(rows, cfg), cfg)
     if model is None:
         return found
     scored = written(flag_scores(score(model, rows).select("event_id", "ml_anomaly_score"), cfg))
-    logs = D.apply_ml(found.logs.drop("ml_anomaly_score", f"hit_{R.ML}"), scored)
-    return D.Detection(D.finalize(logs, found.cfg), found.cfg)
+    done = D.finalize(D.apply_ml(clean.drop("ml_anomaly_score", f"hit_{R.ML}"), scored), found.cfg)
+    return D.Detection(found.logs.where(D.caught_by_rule()).unionByName(done), found.cfg)
 
 
 def save_model(model: PipelineModel, spark: SparkSession, path: str, features: Sequence[str], stamp: str) -> str:

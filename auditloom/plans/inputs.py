@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from auditloom import fixtures as X
 from auditloom.operators import detect as D
+from auditloom.operators import ml as M
 from auditloom.operators import rules as R
 from auditloom.session import checkpoint_dir
 
 CFG = X.FIXTURE_CONFIG
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str], D.Detection] = {}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,14 +32,14 @@ def detection(spark: SparkSession, sf_dir: str) -> D.Detection:
 
 
 def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
-    """The detection result as a written table, so read-outs do not detect again.
+    """The detection result, learnt score included, as a written table, so read-outs do not detect again.
 
-    It is written once per session into the shared checkpoint folder, by day.
+    It is written once per session into the shared checkpoint folder, by day; the rows that no rule caught are scored from there.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         path = f"{checkpoint_dir(spark)}/detected-{uuid.uuid4().hex}"
         logs = detection(spark, sf_dir).logs.withColumn("event_date", F.to_date("timestamp"))
         logs.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(path)
-        _written[key] = path
-    return D.Detection(spark.read.parquet(_written[key]), CFG)
+        _written[key] = M.with_scores(D.Detection(spark.read.parquet(path), CFG))
+    return _written[key]

@@ -176,7 +176,7 @@ def _detection(cat: Catalog) -> None:
     cat.add("d05_violations_and_locks", lambda sp, sf: detection(sp, sf).locks, S.sql("sessions", "SELECT * FROM locks", viol))
     cat.add("d06_safe_locks", lambda sp, sf: D.safe_locks(stored(sp, sf).locks, CFG),
             S.sql("sessions", """SELECT *, 'Automatic response: ' || lock_reason AS reason FROM locks WHERE "user" <> 'user_5'""", viol))
-    cat.add("d07_final_reason", lambda sp, sf: detection(sp, sf).logs.where("is_anomaly").select(
+    cat.add("d07_final_reason", lambda sp, sf: stored(sp, sf).logs.where("is_anomaly").select(
         "event_id", "unusual_activity_reason", "behavior_group"),
         S.sql("det", "SELECT event_id, reason AS unusual_activity_reason, behavior_group FROM final WHERE reason IS NOT NULL"))
 

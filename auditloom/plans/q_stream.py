@@ -18,7 +18,9 @@ from auditloom.plans.q_monitor import ACCOUNT, INFRA, SRC, chain_sql, infra
 from auditloom.plans.q_status import THREATS, threats
 from auditloom.plans.q_tables import STATEMENTS, fresh, ingested, log_lines
 from auditloom.sources.files import stream_text
+from auditloom.streaming import habits as H
 from auditloom.streaming import jobs as J
+from auditloom.streaming.detection import DetectionJob
 
 FEEDS = 3
 
@@ -63,16 +65,14 @@ def register(cat: Catalog) -> None:
 
 
 def detected_stream(sp, sf):
-    out = fresh(sp, "stream-detect")
-    job = J.DetectionJob(out, lambda: CFG, X.overtime(sp, sf), X.geo_ranges(sp, sf))
+    """The log as the stream reported and corrected it."""
+    job = DetectionJob(fresh(sp, "stream-detect"), lambda: CFG, X.overtime(sp, sf), X.geo_ranges(sp, sf))
     drain(sp, X.audit_log_raw(sp, sf), "timestamp", job, "detect")
-    job.finish(sp, FEEDS)
-    return J.written(sp, f"{out}/logs")
+    return job.logs(sp)
 
 
 def _streams(cat: Catalog) -> None:
-    # Every rule but r02: which addresses have attacked is known to the stream only from then on.
-    keys = [f"r{k:02d}" for k in range(1, 31) if k != 2]
+    keys = [f"r{k:02d}" for k in range(1, 31)]
     cat.add("x01_micro_batch_detection", lambda sp, sf: detected_stream(sp, sf).select("event_id", F.concat_ws(";", *[F.when(F.col(r), r) for r in keys]).alias("hits")),
             S.sql("flags", "SELECT event_id, concat_ws(';', " + ", ".join(f"CASE WHEN {r} THEN '{r}' END" for r in keys) + ") AS hits FROM flags"))
     for minutes in (1, 4, 5):
@@ -89,11 +89,15 @@ def _streams(cat: Catalog) -> None:
              WINDOW w AS (PARTITION BY "user" ORDER BY epoch_us("timestamp") RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW)"""), big=("total_rows_5m",))
 
     def learnt(sp, sf):
-        out = fresh(sp, "stream-profile")
-        job = J.DetectionJob(out, lambda: CFG)
-        drain(sp, X.audit_log_raw(sp, sf), "timestamp", job, "profile")
-        job.finish(sp, FEEDS)
-        return job.profile(sp, FEEDS + 1)
+        """Habits kept by the engine from what each batch of detection adds."""
+        job, state = DetectionJob(fresh(sp, "stream-profile"), lambda: CFG), fresh(sp, "habits-ckpt")
+
+        def learning(batch, batch_id):
+            job(batch, batch_id)
+            H.keep(sp, f"{job.out}/learnt", state, CFG.profile_ttl_days, available_now=True).awaitTermination()
+        drain(sp, X.audit_log_raw(sp, sf), "timestamp", learning, "profile")
+        newest = audit(sp, sf).agg(F.max("timestamp")).scalar()
+        return H.habits(sp, state, newest, CFG.profile_ttl_days)
     cat.add("x04_profile_state", learnt, S.sql("det", """SELECT "user", hour("timestamp") AS hour, count(*) AS cnt, max("timestamp") AS last_seen FROM det WHERE NOT h_tec GROUP BY 1, 2
              QUALIFY max(max("timestamp")) OVER (PARTITION BY "user") > (SELECT max("timestamp") FROM audit) - INTERVAL 30 DAY"""), ts=("last_seen",), ints=("hour",))
 
@@ -209,13 +213,14 @@ def _ml(cat: Catalog) -> None:
             S.sql("audit", "SELECT event_id, true AS scored FROM audit"))
 
     def learnt_hits(sp, sf):
-        """Every log row with what the learnt score may say of it: nothing of rows that a rule caught."""
-        done = M.with_scores(stored(sp, sf)).logs
+        """Every log row with what the learnt score may say of it: nothing of rows that a rule caught, or with too few rows."""
+        done = stored(sp, sf).logs
         by_rule, hit = D.caught_by_rule(), F.col(f"hit_{R.ML}")
         return done.select("event_id", by_rule.alias("by_rule"), (~hit | (~by_rule & (F.col("ml_anomaly_score") >= 0.75))).alias("sound"),
                            (F.col("unusual_activity_reason").isNotNull() == (by_rule | hit)).alias("reasoned"),
-                           (F.col("ml_anomaly_score").isNotNull() == ~by_rule).alias("scored"))
-    cat.add("k02_learnt_set", learnt_hits, S.sql("det", "SELECT event_id, (h_acc OR h_ins OR h_tec OR h_des OR h_mul OR h_pro) AS by_rule, true AS sound, true AS reasoned, true AS scored FROM det"))
+                           F.col("ml_anomaly_score").isNotNull().alias("scored"))
+    cat.add("k02_learnt_set", learnt_hits, S.sql("det", "SELECT event_id, by_rule, true AS sound, true AS reasoned, NOT by_rule AND count(*) FILTER (NOT by_rule) OVER () >= 100 AS scored FROM caught",
+        "caught AS (SELECT event_id, (h_acc OR h_ins OR h_tec OR h_des OR h_mul OR h_pro) AS by_rule FROM det)"))
 
     def flagged(sp, sf):
         return M.flag_scores(audit(sp, sf).select("event_id", (F.col("value") / F.lit(600.0)).alias("ml_anomaly_score")))

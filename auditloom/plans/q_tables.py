@@ -308,7 +308,7 @@ def _sinks(cat: Catalog) -> None:
          CAST(count(*) OVER (PARTITION BY "user" ORDER BY epoch_us("timestamp") RANGE BETWEEN 299999999 PRECEDING AND CURRENT ROW) AS DOUBLE) AS query_count_5m,
          execution_time_ms, behavior_group, CAST(len(regexp_extract_all(query, '\\bJOIN\\b')) AS BIGINT) AS num_joins, CAST(CAST("timestamp" AS DATE) AS VARCHAR) AS event_date FROM final"""),
         ts=("timestamp",), rnd={"execution_time_ms": 4})
-    cat.add("k02_event_anomalies", lambda sp, sf: detection(sp, sf).anomalies.select(
+    cat.add("k02_event_anomalies", lambda sp, sf: stored(sp, sf).anomalies.select(
         "event_id", "timestamp", "user", "anomaly_type", "behavior_group", "score", "reason", "status", "execution_time_ms", "rows_returned", "rows_affected"),
         S.sql("anomalies", """SELECT event_id, "timestamp", "user", anomaly_type, behavior_group, score, reason, status, execution_time_ms, rows_returned, rows_affected FROM anomalies"""),
         ts=("timestamp",), rnd={"execution_time_ms": 4})

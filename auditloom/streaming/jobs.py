@@ -1,4 +1,7 @@
-"""Structured Streaming jobs. Each batch runs the batch operators; a repeated batch writes the same files again."""
+"""Structured Streaming jobs. Each batch runs the batch operators; a repeated batch writes the same files again.
+
+Detection is in ``detection``, learnt habits are in ``habits``.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from auditloom.config import RuleConfig
 from auditloom.functions.chains import keep_spaced
-from auditloom.operators import detect as D
 from auditloom.operators import features as FE
-from auditloom.operators import rules as R
 from auditloom.schema import conform
 from auditloom.sources import general_log as GL
-from auditloom.sources.geo import locate
+from auditloom.streaming.batches import before, forget, write_batch, written
 
 WATERMARK = "10 seconds"
 
@@ -28,110 +28,6 @@ def run(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint:
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime=interval)).start()
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Idempotent write: a batch owns its folder."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-
-def written(spark: SparkSession, path: str) -> DataFrame | None:
-    """What all batches wrote; None if nothing yet."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(p) or not any(s.getPath().getName().startswith("batch_id=") for s in fs.listStatus(p)):
-        return None
-    return spark.read.option("basePath", path).parquet(path)
-
-
-def before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What the batch before wrote; None for the first batch."""
-    return None if batch_id == 0 else spark.read.parquet(f"{path}/batch_id={batch_id - 1}")
-
-
-@dataclass
-class DetectionJob:
-    """Micro-batch detection that finds what one batch over the whole log finds.
-
-    A row is checked once, when all windows that it lies in have ended; until then it is held back for the next batch.
-    Rows that are done but share a window with a held one stay for one batch as context, which is checked again without
-    being written again, and so does the last located row of each user. The addresses that attacked and the learnt habits
-    are one small table per batch, which only the next batch reads. ``finish`` checks what is still held after the last
-    batch. A row that comes later than its windows is checked at once, with what context there is.
-
-    ``settings`` is called for every batch, so changed settings apply without a restart.
-    """
-
-    out: str
-    settings: Callable[[], RuleConfig]
-    overtime: DataFrame | None = None
-    geo_ranges: DataFrame | None = None
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        rows, held = conform(batch), before(batch.sparkSession, f"{self.out}/held", batch_id)
-        write_batch(rows if held is None else held.unionByName(rows, allowMissingColumns=True), f"{self.out}/raw", batch_id)
-        self._check(batch.sparkSession, batch_id, last=False)
-
-    def finish(self, spark: SparkSession, batch_id: int) -> None:
-        """Check the rows of windows that are still open; ``batch_id`` follows the last batch."""
-        write_batch(before(spark, f"{self.out}/held", batch_id), f"{self.out}/raw", batch_id)
-        self._check(spark, batch_id, last=True)
-
-    def _check(self, spark: SparkSession, batch_id: int, last: bool) -> None:
-        cfg = self.settings()
-        rows, us = spark.read.parquet(f"{self.out}/raw/batch_id={batch_id}"), F.unix_micros("timestamp")
-        widths = [F.unix_micros(F.lit("1970-01-01 00:00:00").cast("timestamp") + F.expr(f"INTERVAL {w}")) for w in (
-            cfg.concurrent_window, cfg.brute_force_window, f"{cfg.multi_table_window_minutes} minutes", f"{cfg.session_window_minutes} minutes")]
-        newest = rows.agg(F.max("timestamp")).scalar()
-        ends = F.greatest(*[us - F.pmod(us, w) + w for w in widths])
-        is_open = F.lit(False) if last else F.coalesce(ends > F.unix_micros(newest), F.lit(False))
-        write_batch(rows.where(is_open), f"{self.out}/held", batch_id)
-        ready = rows.where(~is_open).withColumn("_carried", F.lit(False))
-        context = before(spark, f"{self.out}/context", batch_id)
-        if context is not None:
-            ready = ready.unionByName(context.withColumn("_carried", F.lit(True)), allowMissingColumns=True)
-            located = before(spark, f"{self.out}/located", batch_id).join(context.select("event_id"), "event_id", "left_anti")
-            ready = ready.unionByName(located.withColumn("_carried", F.lit(True)), allowMissingColumns=True)
-        earliest = spark.read.parquet(f"{self.out}/held/batch_id={batch_id}").agg(F.min("timestamp")).scalar()
-        reach = F.unix_micros(earliest) - F.greatest(*widths)
-        write_batch(ready.drop("_carried").where(us >= reach), f"{self.out}/context", batch_id)
-        attackers = before(spark, f"{self.out}/attackers", batch_id)
-        profile = self.profile(spark, batch_id)
-        # Held rows of the same windows are context too.
-        ready = ready.unionByName(rows.where(is_open).withColumn("_carried", F.lit(True)), allowMissingColumns=True)
-        det = D.detect(ready, cfg, self.overtime, self.geo_ranges, profile, attackers=attackers)
-        write_batch(det.logs.where(~F.col("_carried")).drop("_carried"), f"{self.out}/logs", batch_id)
-        logs = spark.read.parquet(f"{self.out}/logs/batch_id={batch_id}")
-        done = D.Detection(logs, cfg)
-        write_batch(done.anomalies, f"{self.out}/anomalies", batch_id)
-        write_batch(D.session_anomalies(done.sessions), f"{self.out}/sessions", batch_id)
-        write_batch(done.session_evidence, f"{self.out}/evidence", batch_id)
-        write_batch(done.locks, f"{self.out}/locks", batch_id)
-        write_batch(done.alerts, f"{self.out}/alerts", batch_id)
-        self._carry(cfg, batch_id, ready.where(~is_open), logs, attackers, profile)
-
-    def _carry(self, cfg: RuleConfig, batch_id: int, ready: DataFrame, logs: DataFrame,
-               attackers: DataFrame | None, profile: DataFrame) -> None:
-        if self.geo_ranges is not None:
-            slim = ready.select("event_id", "user", "client_ip", "timestamp")
-            last = locate(slim, self.geo_ranges).where("lat is not null").groupBy("user").agg(
-                F.max_by(F.struct("event_id", "client_ip", "timestamp"), F.struct("timestamp", "event_id")).alias("r"))
-            write_batch(last.select("user", "r.*"), f"{self.out}/located", batch_id)
-        else:
-            write_batch(ready.select("user", "event_id", "client_ip", "timestamp").limit(0), f"{self.out}/located", batch_id)
-        hostile = R.brute_force_addresses(logs, cfg)
-        write_batch(hostile if attackers is None else hostile.unionByName(attackers).distinct(), f"{self.out}/attackers", batch_id)
-        # Habits are learnt after the check, from rows without technical hits; users unseen for the TTL drop out.
-        learnt = R.learn_profile(logs.where(~F.col(f"hit_{R.TECHNICAL}")))
-        newest = logs.agg(F.max("timestamp")).scalar()
-        write_batch(R.merge_profile(profile, learnt, F.coalesce(newest, F.lit("1970-01-01").cast("timestamp")), cfg.profile_ttl_days),
-                    f"{self.out}/profile", batch_id)
-
-    def profile(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        """Habits known before a batch."""
-        old = before(spark, f"{self.out}/profile", batch_id)
-        return spark.createDataFrame([], "user string, hour int, cnt bigint, last_seen timestamp") if old is None else old
-
-
 @dataclass
 class RollingJob:
     """Rolling features per batch; the newest rows of the batches before enter, so that no frame is cut at an edge."""
@@ -149,6 +45,7 @@ class RollingJob:
         write_batch(FE.rolling_5m(both).where("_own").drop("_own"), f"{self.out}/features", batch_id)
         newest = both.agg(F.max("timestamp")).scalar()
         write_batch(both.where(F.col("timestamp") > newest - F.expr(f"INTERVAL {self.lookback}")).drop("_own"), f"{self.out}/tail", batch_id)
+        forget(spark, [f"{self.out}/rows", f"{self.out}/tail"], batch_id)
 
 
 @dataclass
@@ -176,6 +73,7 @@ class LogSessionJob:
         write_batch(ready, f"{self.out}/statements", batch_id)
         write_batch(waiting, f"{self.out}/open", batch_id)
         write_batch(GL.session_state(full, self.filter_user), f"{self.out}/sessions", batch_id)
+        forget(spark, [f"{self.out}/{s}" for s in ("lines", "open", "sessions")], batch_id)
 
     def _last(self, spark: SparkSession, name: str, batch_id: int) -> DataFrame | None:
         return None if batch_id == 0 else spark.read.parquet(f"{self.out}/{name}/batch_id={batch_id - 1}")
@@ -231,6 +129,7 @@ class SuppressionJob:
         write_batch(kept, f"{self.out}/kept", batch_id)
         done = spark.read.parquet(f"{self.out}/kept/batch_id={batch_id}")
         write_batch(done.groupBy(*keys).agg(F.max("timestamp").alias("timestamp")), f"{self.out}/last", batch_id)
+        forget(spark, [f"{self.out}/rows", f"{self.out}/last"], batch_id)
 
     def alerts(self, spark: SparkSession) -> DataFrame:
         return written(spark, f"{self.out}/kept").where("event_id <> -1")

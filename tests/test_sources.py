@@ -150,35 +150,6 @@ def test_variations_against_all_pairs(spark):
     assert got == want
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    """Batches that cut windows, pauses between a user's places and sessions find what one batch run finds."""
-    from auditloom.operators import detect as D
-    from auditloom.schema import conform
-    texts = ("SELECT * FROM hr_db.a -- x", "SELECT 1 FROM b", "SELECT 1 FROM c JOIN d ON 1 = 1", "SELECT 1 FROM e.f JOIN g ON 1 = 1")
-    start = dt.datetime(2024, 1, 1, 3, 0)
-    rows = [(i, start + dt.timedelta(seconds=37 * i), f"u{i // 9 % 3}", f"10.0.{i % 2}.{i % 4}", texts[i % 4]) for i in range(120)]
-    df = spark.createDataFrame(rows, "event_id long, timestamp timestamp, user string, client_ip string, query string")
-    places = spark.createDataFrame([(167772160 + k * 256, 167772160 + k * 256 + 255, 50.0 * k, 10.0) for k in range(2)],
-                                   "start_num long, end_num long, lat double, lon double")
-    job = J.DetectionJob(str(tmp_path / "out"), RuleConfig, geo_ranges=places)
-    for k, (lo, hi) in enumerate(((0, 31), (31, 32), (32, 90), (90, 120))):
-        job(df.where(f"event_id >= {lo} AND event_id < {hi}"), k)
-    job.finish(spark, 4)
-    batch = D.detect(conform(df), RuleConfig(), geo_ranges=places)
-    keep = [f"r{k:02d}" for k in range(1, 31)]
-    got = {tuple(r) for r in J.written(spark, f"{job.out}/logs").select("event_id", *keep).collect()}
-    want = {tuple(r) for r in batch.logs.select("event_id", *keep).collect()}
-    assert got == want and len(got) == 120
-    hits = {k: sum(r[1 + n] for r in want) for n, k in enumerate(keep)}
-    assert hits["r01"] and hits["r03"] and hits["r30"]
-    sessions = {(r.user, r.start_time, r.end_time) for r in J.written(spark, f"{job.out}/sessions").collect()}
-    assert sessions == {(r.user, r.start_time, r.end_time) for r in batch.sessions.collect()} and sessions
-    assert J.written(spark, f"{job.out}/alerts").count() and J.written(spark, f"{job.out}/evidence").count() == batch.session_evidence.count()
-    learnt = {(r.user, r.hour, r.cnt) for r in job.profile(spark, 5).collect()}
-    from auditloom.operators import rules as R
-    assert learnt == {(r.user, r.hour, r.cnt) for r in R.learn_profile(batch.logs.where("NOT hit_TECHNICAL_ATTACK")).collect()}
-
-
 def test_cursor_loses_no_ties(spark):
     from auditloom.sources.statements import incremental_by
     df = spark.createDataFrame([(i, i // 3) for i in range(30)], "event_id long, timer long")
