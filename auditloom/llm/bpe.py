@@ -6,7 +6,8 @@ the symbols of all new pieces lie in one flat array, every neighbouring pair is
 sorted pair keys, and each round merges the lowest-rank pair of every piece, until no piece has a known pair.
 
 Defined results: a null text is an empty text; an empty text has no tokens and decodes to an empty text; special-token
-strings in a text become their single id; rows may repeat, other columns are passed on untouched, an empty table gives
+strings in a text become their single id; rows may repeat, other columns are passed on untouched
+(one with the name of a new column is replaced), an empty table gives
 an empty table, and the length of a text is not limited.
 """
 
@@ -28,8 +29,8 @@ from auditloom.llm.common import SLICE_BYTES, slices, texts
 
 # Fixed value: the byte-level splitting pattern that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Cuts that a task remembers before it starts afresh.
-REMEMBERED = 500_000
+#: Bytes of cuts and ids that a task remembers before it starts afresh, and what an entry takes besides.
+REMEMBERED, ENTRY = 64 << 20, 160
 NONE = np.iinfo(np.int64).max
 #: A space between two other signs; a space at an end or beside white space.
 SINGLE_SPACE, BESIDE_SPACE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\A | \s|\s | \Z")
@@ -56,6 +57,7 @@ class Vocabulary:
     special: dict[str, int]
     span: int
     known: dict[str, bytes] = field(default_factory=dict, repr=False)
+    size: int = field(default=0, repr=False)
 
     @classmethod
     def from_file(cls, path: str) -> Vocabulary:
@@ -152,11 +154,13 @@ class Vocabulary:
                     cuts.append(SINGLE_SPACE.split(x) if BESIDE_SPACE.search(x) else x.split(" "))
             layouts.append(layout)
         wanted = {w for c in cuts for w in c[1:]}
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.known.clear()
+            self.size = 0
         new = list(wanted - self.known.keys())
         ids = self.ids_of([c[0] for c in cuts] + [" " + w for w in new])
         self.known.update(zip(new, ids[len(cuts):]))
+        self.size += sum(map(len, new)) + sum(map(len, ids[len(cuts):])) + ENTRY * len(new)
         known = self.known.__getitem__
         return [b"".join(int(self.special[x]).to_bytes(4, "little") if isinstance(x, str)
                          else ids[x] + b"".join(map(known, cuts[x][1:])) for x in layout) for layout in layouts]
@@ -167,7 +171,7 @@ class Vocabulary:
 
 
 def _mapped(df: DataFrame, source: str, target: T.StructField, step) -> DataFrame:
-    """``df`` with one more column, computed from ``source`` in bounded pieces."""
+    """``df`` with one more column, computed from ``source`` in bounded pieces; a column of that name is replaced."""
     if target.name in df.columns:
         df = df.drop(target.name)
     kind = pa.large_string() if isinstance(target.dataType, T.StringType) else pa.large_binary()

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.llm.common import flat, mixed
+from auditloom.llm.common import flat, mixed, per_group, per_pair
 
 #: Average text bytes of a chunk, and average packed bytes of a bucket.
 CHUNK_BYTES, BUCKET_BYTES = 6 << 20, 8 << 20
@@ -108,12 +108,12 @@ def answers(table: pa.Table, which: int, keys: np.ndarray, bits: int) -> np.ndar
 
 def asked(texts: DataFrame, schema: str, ask: Callable[[pa.Table], pa.Table]) -> DataFrame:
     """What every chunk asks, from its rows alone."""
-    return texts.groupBy("_chunk").applyInArrow(ask, schema)
+    return texts.groupBy("_chunk").applyInArrow(per_group(ask), schema)
 
 
 def told(texts: DataFrame, replies: DataFrame, schema: str, use: Callable[[pa.Table, pa.Table], pa.Table]) -> DataFrame:
     """What every chunk makes of its rows and the answers to it."""
-    return texts.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(use, schema)
+    return texts.groupBy("_chunk").cogroup(replies.groupBy("_chunk")).applyInArrow(per_pair(use), schema)
 
 
 def bytes_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

@@ -31,9 +31,11 @@ from pyspark.sql import functions as F
 
 from auditloom.functions.cut import written
 from auditloom.llm import chunks as C
-from auditloom.llm.common import mixed
+from auditloom.llm.common import mixed, per_group, unused
 
 WIDTH, PERCENT = 4, 85
+#: Average text bytes of a chunk: a task holds about twenty bytes per byte of text.
+CHUNK_BYTES = 3 << 20
 #: Classes of a group and, about, bytes of their tokens; a task compares two groups at most.
 GROUP, GROUP_BYTES = 256, 16 << 20
 #: Classes of a component that ask first, about so many.
@@ -53,7 +55,8 @@ class Chunk:
         self.number = table.column("_chunk")[0].as_py()
         self.ids = table.column("doc_id").combine_chunks()
         body, at = C.bytes_of(table)
-        word, row, _, _ = C.words(LOWER[body], at)
+        word, row = C.words(LOWER[body], at)[:2]
+        del body
         n_words = np.bincount(row, minlength=table.num_rows)
         h, ok = C.windows(word, row, width)
         hashes, rows = [h[ok]], [row[:len(h)][ok]]
@@ -65,8 +68,11 @@ class Chunk:
                 x = x * C.STEP + word[first[which] + j]
             hashes.append(mixed(x))
             rows.append(which)
+        del h, ok, word, row
         self.keys, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        del hashes
         pair = np.unique(np.concatenate(rows) * max(1, len(self.keys)) + place)
+        del place, rows
         self.row, self.key = np.divmod(pair, max(1, len(self.keys)))
         self.size = np.bincount(self.row, minlength=table.num_rows)
 
@@ -220,7 +226,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 def sets_of(docs: DataFrame, width: int, percent: int, chunk_bytes: int) -> DataFrame:
     texts, size = C.chunked(docs, chunk_bytes)
     bits = C.bucket_bits(size)
-    counts = C.asked(texts, KEYS, ask_counts(bits, width)).groupBy("bucket").applyInArrow(total_counts, C.ANSWER)
+    counts = C.asked(texts, KEYS, ask_counts(bits, width)).groupBy("bucket").applyInArrow(per_group(total_counts), C.ANSWER)
     return written(C.told(texts, counts, SETS, describe(bits, width, percent)))
 
 
@@ -247,13 +253,13 @@ def links_of(classes: DataFrame, percent: int, rounds: int = 4) -> DataFrame:
     run = compare(percent)
     one = F.lit(0).alias("side")
     members = written(grouped(classes).select("cls", "n", "least", "grp", "_n", "_parts", "firsts", "tokens"))
-    links = written(members.where("_n > 1").select("cls", "n", "tokens", "grp", one).groupBy("grp").applyInArrow(run, LINKS))
+    links = written(members.where("_n > 1").select("cls", "n", "tokens", "grp", one).groupBy("grp").applyInArrow(per_group(run), LINKS))
     # The parts of split groups meet through their roots; all of a family becomes one component without further pairs.
     roots = members.where("_parts > 1").select("cls", "n", "least", "tokens")
     for _ in range(rounds):
         roots = roots.join(links, roots["cls"] == links["a"], "left_anti")
         again = written(grouped(roots).select("cls", "n", "least", "tokens", "grp", "_parts"))
-        more = written(again.select("cls", "n", "tokens", "grp", one).groupBy("grp").applyInArrow(run, LINKS))
+        more = written(again.select("cls", "n", "tokens", "grp", one).groupBy("grp").applyInArrow(per_group(run), LINKS))
         found, open_ = more.count(), again.where("_parts > 1").limit(1).count()
         links = written(links.unionByName(more))
         roots = again.where("_parts > 1").select("cls", "n", "least", "tokens")
@@ -280,10 +286,10 @@ def across(members: DataFrame, root: DataFrame, run) -> DataFrame:
                                                     F.struct(F.col("y").alias("grp"), F.lit(1).alias("side")))).alias("e")).select("x", "y", "e.*")
     meets = ends.join(placed, "grp").select("x", "y", "cls", "side")
     opened = meets.join(members.select("cls", "n", "tokens"), "cls")
-    return written(opened.groupBy("x", "y").applyInArrow(run, LINKS))
+    return written(opened.groupBy("x", "y").applyInArrow(per_group(run), LINKS))
 
 
-def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def linked_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) of every row, class_id (equal sets; null if
     nothing can be linked) and text_md5."""
     sets = sets_of(docs, width, percent, chunk_bytes)
@@ -307,7 +313,8 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame
 
     Different texts under the least id of a component, and texts without an id in components without ids, all stay.
     """
-    keep = linked_documents(docs, width, percent).where("component_id <=> doc_id").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"))
-    marked = docs.withColumn("_sum", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    return marked.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_sum") == F.col("_md5")), "left_semi") \
-        .dropDuplicates(["doc_id", "_sum"]).drop("_sum")
+    name = unused(docs, "_sum")
+    keep = linked_documents(docs.select("doc_id", "text"), width, percent).where("component_id <=> doc_id").select("doc_id", F.col("text_md5").alias(name))
+    marked = docs.withColumn(name, F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    return marked.join(keep, marked["doc_id"].eqNullSafe(keep["doc_id"]) & (marked[name] == keep[name]), "left_semi") \
+        .dropDuplicates(["doc_id", name]).drop(name)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import chunks as C
+from auditloom.llm.common import per_group
 
 WINDOW = 13
 #: Two blocks less one word fit in a window, so a window holds a whole block wherever blocks begin.
@@ -175,8 +176,8 @@ def without_repeats(docs: DataFrame, chunk_bytes: int = C.CHUNK_BYTES) -> DataFr
     """doc_id, n_words, n_removed and kept (the remaining words, joined by one space) of every row."""
     texts, size = C.chunked(docs, chunk_bytes)
     bits = C.bucket_bits(size)  # about one word, and one packed key, per six bytes of text
-    blocks = C.asked(texts, PROBES, ask_blocks(bits)).groupBy("bucket").applyInArrow(match_blocks, C.ANSWER)
-    windows = C.told(texts, blocks, WINDOWS, ask_windows(bits)).groupBy("bucket").applyInArrow(match_windows, C.ANSWER)
+    blocks = C.asked(texts, PROBES, ask_blocks(bits)).groupBy("bucket").applyInArrow(per_group(match_blocks), C.ANSWER)
+    windows = C.told(texts, blocks, WINDOWS, ask_windows(bits)).groupBy("bucket").applyInArrow(per_group(match_windows), C.ANSWER)
     return C.told(texts, blocks.unionByName(windows), "doc_id long, n_words long, n_removed long, kept string", remove(bits))
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.llm import chunks as C
-from auditloom.llm.common import mixed
+from auditloom.llm.common import mixed, per_group
 
 LENGTH, GRAM = 200, 32
 REACH = LENGTH - GRAM + 1
@@ -410,9 +410,9 @@ def without_repeats(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, passed_on:
     """
     texts, size = C.chunked(docs, chunk_bytes, passed_on)
     bits = C.bucket_bits(2 * size)
-    anchors = C.asked(texts, ANCHORS, ask_anchors(bits)).groupBy("bucket").applyInArrow(match_anchors(hot), C.ANSWER)
-    spans = C.told(texts, anchors, SPANS, ask_spans(bits)).groupBy("bucket").applyInArrow(match_spans, C.ANSWER)
-    windows = C.told(texts, anchors, WINDOWS, ask_windows(bits)).groupBy("bucket").applyInArrow(match_windows, C.ANSWER)
+    anchors = C.asked(texts, ANCHORS, ask_anchors(bits)).groupBy("bucket").applyInArrow(per_group(match_anchors(hot)), C.ANSWER)
+    spans = C.told(texts, anchors, SPANS, ask_spans(bits)).groupBy("bucket").applyInArrow(per_group(match_spans), C.ANSWER)
+    windows = C.told(texts, anchors, WINDOWS, ask_windows(bits)).groupBy("bucket").applyInArrow(per_group(match_windows), C.ANSWER)
     schema = KEPT
     if passed_on:
         more = ", ".join(f"_p{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(passed_on))
