@@ -46,11 +46,18 @@ def found_all(content: Column, regexes: Sequence[str], lowered: Column) -> Colum
     return F.array_distinct(F.flatten(F.array(*pieces)))
 
 
-def attack_matches(events: DataFrame, library: Sequence[L.AttackPattern] = L.ATTACK_PATTERNS) -> DataFrame:
-    """One row per event, content field, pattern and distinct matched piece."""
+def content_rows(events: DataFrame) -> DataFrame:
+    """One row per event and content field of at least five characters."""
     contents = F.array(*[F.struct(F.lit(k).alias("content_type"), detail(k).alias("content")) for k in CONTENT_KEYS])
-    c = explode_kept(events, "_c", F.filter(contents, lambda s: F.length(s["content"]) >= 5)).select(
-        *events.columns, "_c.content_type", "_c.content", F.lower("_c.content").alias("_low"))
+    return explode_kept(events, "_c", F.filter(contents, lambda s: F.length(s["content"]) >= 5)).select(*events.columns, "_c.content_type", "_c.content")
+
+
+def attack_matches(events: DataFrame, library: Sequence[L.AttackPattern] = L.ATTACK_PATTERNS) -> DataFrame:
+    """One row per event, content field, pattern and distinct matched piece, for a short list of patterns.
+
+    ``search.attack_matches`` does the same for a table of patterns.
+    """
+    c = content_rows(events).withColumn("_low", F.lower("content"))
     tries = F.array(*[F.struct(F.lit(p.pattern_id).alias("pattern_id"), F.lit(p.attack_type).alias("attack_type"),
                                F.lit(p.weight).alias("weight"), found_all(F.col("content"), p.regexes, F.col("_low")).alias("m")) for p in library])
     out = explode_kept(c, "_p", F.filter(tries, lambda p: F.size(p["m"]) > 0))

@@ -276,18 +276,3 @@ def event_key() -> Column:
 def drop_repeats(events: DataFrame, ttl_sec: int) -> DataFrame:
     """Events of the same kind, place and account within the TTL of a kept one are dropped."""
     return keep_spaced(events.withColumn("event_key", event_key()), ["event_key"], "timestamp", ttl_sec * 1_000_000, tie="event_id")
-
-
-#: Patterns in one array expression.
-PATTERNS_AT_ONCE = 200
-
-
-def keyword_search(df: DataFrame, patterns: DataFrame, q: str = "query") -> DataFrame:
-    """Patterns (pattern_id, keyword, regex) a text matches; the cheap keyword test runs first."""
-    low = F.lower(F.col(q))
-    # Patterns are settings: they become expressions, in arrays of bounded size, however many there are.
-    hits = [F.when(low.contains(p.keyword.lower()), F.when(F.col(q).rlike(f"(?i){p.regex}") if p.regex else F.lit(True), F.lit(p.pattern_id)))
-            for p in patterns.toLocalIterator()]
-    parts = [F.array_compact(F.array(*hits[k:k + PATTERNS_AT_ONCE])) for k in range(0, len(hits), PATTERNS_AT_ONCE)]
-    found = F.flatten(F.array(*parts)) if parts else F.lit(None).cast("array<string>")
-    return df.withColumn("pattern_ids", F.array_sort(F.array_distinct(found))).where(F.size("pattern_ids") > 0)

@@ -8,6 +8,7 @@ from auditloom.functions.joins import spread
 from auditloom.monitor import library as L
 from auditloom.monitor import patterns as P
 from auditloom.monitor import risk as R
+from auditloom.monitor import search as K
 from auditloom.operators import features as FE
 from auditloom.plans import sqlbase as S
 from auditloom.plans.catalog import Catalog
@@ -223,7 +224,7 @@ def _risk(cat: Catalog) -> None:
         return X.read_table(sp, sf, "nation").selectExpr("concat('p', n_nationkey) AS pattern_id",
             "element_at(array('schema', 'grant', 'sleep', 'audit', 'select'), CAST(n_nationkey % 5 + 1 AS INT)) AS keyword",
             "element_at(array('from\\\\s+\\\\w+', 'to\\\\s+x', 'sleep\\\\s*', '', 'where'), CAST(n_nationkey % 5 + 1 AS INT)) AS regex")
-    cat.add("t15_keyword_search", lambda sp, sf: R.keyword_search(probes(sp, sf), keyword_patterns(sp, sf)).select("id", "pattern_ids"),
+    cat.add("t15_keyword_search", lambda sp, sf: K.keyword_search(probes(sp, sf), keyword_patterns(sp, sf)).select("id", "pattern_ids"),
             "WITH " + PROBES + r""", pt AS (SELECT 'p' || CAST(n_nationkey AS VARCHAR) AS pid, (['schema', 'grant', 'sleep', 'audit', 'select'])[n_nationkey % 5 + 1] AS kw,
              (['from\s+\w+', 'to\s+x', 'sleep\s*', '', 'where'])[n_nationkey % 5 + 1] AS rx FROM nation)
              SELECT id, list_sort(list(DISTINCT pid)) AS pattern_ids FROM probes JOIN pt ON contains(lower(query), kw) AND regexp_matches(query, '(?i)' || rx) GROUP BY id""", arr=("pattern_ids",))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from auditloom import fixtures as X
 from auditloom.monitor import library as L
 from auditloom.monitor import patterns as P
+from auditloom.monitor import search as K
 from auditloom.operators import detect as D
 from auditloom.operators import features as FE
 from auditloom.operators import ml as M
@@ -14,7 +15,7 @@ from auditloom.operators import rules as R
 from auditloom.plans import sqlbase as S
 from auditloom.plans.catalog import Catalog
 from auditloom.plans.inputs import CFG, audit, stored
-from auditloom.plans.q_monitor import ACCOUNT, INFRA, SRC, chain_sql, infra
+from auditloom.plans.q_monitor import INFRA, MATCHES, SRC, chain_sql, infra
 from auditloom.plans.q_status import THREATS, threats
 from auditloom.plans.q_tables import STATEMENTS, fresh, ingested, log_lines
 from auditloom.sources.files import stream_text
@@ -150,12 +151,18 @@ def _streams(cat: Catalog) -> None:
             chain_sql("audit", [THREATS, """al AS (SELECT *, threat_type || '|' || array_to_string(list_sort(comps), '|') AS key FROM thr)"""], "event_id, threat_type", 43_200_000_000))
 
     def extra(sp, sf):
-        """A pattern table derived from the nations: new patterns and a changed weight."""
+        """A pattern table derived from the nations: new patterns, and two of the library with another weight or expression."""
         return X.read_table(sp, sf, "nation").selectExpr(
-            "concat('dyn_', n_nationkey) AS pattern_id", "'sql_injection' AS attack_type", "0.75D AS weight", "concat('(?i)id = ', n_nationkey, '\\\\d') AS regex")
-    cat.add("p01_pattern_update", lambda sp, sf: P.attack_matches(infra(sp, sf), J.patterns_from_table(extra(sp, sf), L.ATTACK_PATTERNS)).where("pattern_id like 'dyn%'").select("event_id", "pattern_id", "weight", "matched"),
-            S.sql("audit", r"""SELECT event_id, 'dyn_' || CAST(n_nationkey AS VARCHAR) AS pattern_id, 0.75::DOUBLE AS weight, regexp_extract(c, '(?i)id = ' || CAST(n_nationkey AS VARCHAR) || '\d') AS matched
-             FROM src JOIN nation ON regexp_matches(c, '(?i)id = ' || CAST(n_nationkey AS VARCHAR) || '\d')""", INFRA, SRC), rnd={"weight": 6})
+            "CASE n_nationkey WHEN 0 THEN 'privesc_003' WHEN 1 THEN 'lateral_001' ELSE concat('dyn_', n_nationkey) END AS pattern_id",
+            "'sql_injection' AS attack_type", "0.75D AS weight", "CASE n_nationkey WHEN 0 THEN '(?i)set\\\\s+global' ELSE concat('(?i)id = ', n_nationkey, '\\\\d') END AS regex")
+
+    def updated(sp, sf):
+        return K.attack_matches(P.content_rows(infra(sp, sf)), K.merged_library(K.library_table(sp, L.ATTACK_PATTERNS), extra(sp, sf)))
+    cat.add("p01_pattern_update", lambda sp, sf: updated(sp, sf).select("event_id", "content_type", "pattern_id", "attack_type", "weight", "matched"),
+            S.sql("audit", r"""SELECT event_id, content_type, pattern_id, attack_type, weight, matched FROM matches WHERE pattern_id NOT IN ('privesc_003', 'lateral_001')
+             UNION ALL SELECT DISTINCT event_id, content_type, pid, 'sql_injection', 0.75::DOUBLE, unnest(list_distinct(regexp_extract_all(c, rx))) FROM src JOIN extra ON regexp_matches(c, rx)""", INFRA, SRC, MATCHES,
+                  r"""extra AS (SELECT CASE n_nationkey WHEN 0 THEN 'privesc_003' WHEN 1 THEN 'lateral_001' ELSE 'dyn_' || CAST(n_nationkey AS VARCHAR) END AS pid,
+                   CASE n_nationkey WHEN 0 THEN '(?i)set\s+global' ELSE '(?i)id = ' || CAST(n_nationkey AS VARCHAR) || '\d' END AS rx FROM nation)"""), rnd={"weight": 6})
 
     def reconfigured(sp, sf):
         from auditloom.operators import rules as R

@@ -133,16 +133,3 @@ class SuppressionJob:
 
     def alerts(self, spark: SparkSession) -> DataFrame:
         return written(spark, f"{self.out}/kept").where("event_id <> -1")
-
-
-def patterns_from_table(patterns: DataFrame, base: tuple = ()) -> tuple:
-    """Attack patterns of a table (pattern_id, attack_type, weight, regex) added to a library.
-
-    A pattern id the library already has is replaced. Read again for every batch, so updates apply.
-    """
-    from auditloom.monitor.library import AttackPattern
-    grouped: dict[str, AttackPattern] = {}
-    for r in sorted(patterns.toLocalIterator(), key=lambda r: (r.pattern_id, r.regex)):
-        old = grouped.get(r.pattern_id)
-        grouped[r.pattern_id] = AttackPattern(r.pattern_id, r.attack_type, r.weight, (*(old.regexes if old else ()), r.regex))
-    return tuple(p for p in base if p.pattern_id not in grouped) + tuple(grouped.values())
