@@ -122,6 +122,10 @@ STATEMENT_SHAPES = (
     "concat('/* c */ UPDATE `fin`.`acc` SET x = ''abc''   WHERE id = ', k, ' AND y = 2 -- tail')",
     "'ALTER USER root IDENTIFIED BY \"pw1\"'",
     "concat('note without a verb ', k)",
+    # Words in literals and comments, and nested sub-queries.
+    "'SELECT ''x JOIN y WHERE (SELECT'' AS a, \"AND\" FROM t1 /* JOIN t9 ( */ -- WHERE (SELECT FROM t8'",
+    "concat('SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE d = (SELECT max(e) FROM (SELECT ', k, ' AS e) v)) AND f(1, (2)) = (SELECT 3) LIMIT 5')",
+    "concat('SELECT `limit`, count(*) FROM/* x */`big`.orders o JOIN ( SELECT 1) p WHERE n = ''it''''s AND JOIN'' OR m > ', k, ' GROUP BY n, m ORDER BY 1 # LIMIT')",
 )
 
 

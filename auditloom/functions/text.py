@@ -39,6 +39,42 @@ ANY_TABLE_PATTERN = (r"(?i)(?:\bFROM\b|\bJOIN\b|\bUPDATE\b|\bINTO\b)\s+"
                      r"([`'\"]?\w+[`'\"]?(?:\.[`'\"]?\w+[`'\"]?)?)")
 
 
+# Pieces of a statement that are no code: literals (an open one runs to the end) and comments. Repetitions give nothing back,
+# so that long literals need no stack.
+_STRING = r"'[^'\\]*+(?:(?:\\.|'')[^'\\]*+)*+(?:'|\z)"
+_QUOTED = r'"[^"\\]*+(?:(?:\\.|"")[^"\\]*+)*+(?:"|\z)'
+_TICKED = r"`[^`]*+(?:`|\z)"
+_COMMENT = r"--[^\n]*+|#[^\n]*+|/\*.*?(?:\*/|\z)"
+PIECES = f"(?s){_STRING}|{_QUOTED}|{_TICKED}|{_COMMENT}|[^'\"`#/-]++|."
+NOT_CODE = r"['\"`#]|--|/\*"
+
+
+def code(q: Column, names: bool = False) -> Column:
+    """The statement without comments, and with a question mark for every literal; names in backticks stay with ``names``."""
+    def kept(p: Column) -> Column:
+        quote, two = F.left(p, F.lit(1)), F.left(p, F.lit(2))
+        literal_ = quote.isin("'", '"') if names else quote.isin("'", '"', "`")
+        return F.when(literal_, "?").when((quote == "#") | two.isin("--", "/*"), " ").otherwise(p)
+    return F.when(q.rlike(NOT_CODE), F.array_join(F.transform(F.regexp_extract_all(q, F.lit(PIECES), F.lit(0)), kept), "")).otherwise(q)
+
+
+def subquery_depth(plain: Column, most: int = 10) -> Column:
+    """How deep sub-queries are nested in code without literals and comments, at most ``most``.
+
+    One pass over the parentheses: ``open`` holds one sign for each that is open, S if a sub-query began there.
+    """
+    signs = F.regexp_extract_all(plain, F.lit(r"(?i)\(\s*SELECT\b|\(|\)"), F.lit(0))
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("depth"), F.lit(0).alias("most"))
+
+    def step(s: Column, sign: Column) -> Column:
+        closes, deeper = sign == ")", F.length(sign) > 1
+        inner = F.when(closes, s["depth"] - F.when(F.right(s["open"], F.lit(1)) == "S", 1).otherwise(0)).otherwise(s["depth"] + deeper.cast("int"))
+        left = F.when(closes, F.left(s["open"], F.greatest(F.length(s["open"]) - 1, F.lit(0)))).otherwise(
+            F.concat(s["open"], F.when(deeper, "S").otherwise("-")))
+        return F.struct(left.alias("open"), inner.alias("depth"), F.greatest(s["most"], inner).alias("most"))
+    return F.when(plain.rlike(r"(?i)\(\s*SELECT\b"), F.least(F.aggregate(signs, start, step, lambda s: s["most"]), F.lit(most))).otherwise(0)
+
+
 def literal(words) -> str:
     """Case-insensitive alternation that matches any of the words literally (Java regex)."""
     return "(?i)" + "|".join(re.escape(w).replace("\\ ", " ") for w in words)
@@ -100,7 +136,11 @@ def _plogp(p: Column) -> Column:
 
 
 def read_tables(q: Column) -> Column:
-    """Distinct lower-cased tables after FROM or JOIN, with their schema if one is written."""
+    """Distinct lower-cased tables after FROM or JOIN in code, with their schema if one is written."""
+    return F.element_at(F.transform(F.array(code(q, names=True)), _read_tables_of), 1)
+
+
+def _read_tables_of(q: Column) -> Column:
     dbs = F.regexp_extract_all(q, F.lit(READ_TABLE_PATTERN), F.lit(1))
     names = F.regexp_extract_all(q, F.lit(READ_TABLE_PATTERN), F.lit(2))
     return F.array_distinct(F.zip_with(

@@ -57,16 +57,25 @@ def publisher_flags(q: Column) -> dict[str, Column]:
             "pub_has_comment": text.flag(text.contains_any(q, ("--", "/*")))}
 
 
+def _of_code(q: Column, features) -> dict[str, Column]:
+    """Features of the code of a statement, which is told from literals and comments once for all of them."""
+    row = F.element_at(F.transform(F.array(text.code(q)), lambda c: F.struct(*[v.alias(k) for k, v in features(c).items()])), 1)
+    return {k: row[k] for k in features(q)}
+
+
 def shape_features(q: Column) -> dict[str, Column]:
-    """Structure counts taken from the text."""
-    return {"num_tables": F.size("accessed_tables").cast("int"),
-            "num_joins": text.count_of(q, r"(?i)\bJOIN\b"),
-            "num_where_conditions": text.count_of(q, r"(?i)\bWHERE\b"),
-            "subquery_depth": F.least(text.count_of(q, r"(?i)\(\s*SELECT\b"), F.lit(10)),
-            "is_parse_failed": text.parse_failed(q)}
+    """Structure counts; words in literals, quoted names and comments do not count."""
+    return {"num_tables": F.size("accessed_tables").cast("int"), **_of_code(q, lambda c: {
+        "num_joins": text.count_of(c, r"(?i)\bJOIN\b"), "num_where_conditions": text.count_of(c, r"(?i)\bWHERE\b"),
+        "subquery_depth": text.subquery_depth(c)}), "is_parse_failed": text.parse_failed(q)}
 
 
 def shape_features_detailed(q: Column) -> dict[str, Column]:
+    """The second set of structure counts, by the same rule."""
+    return _of_code(q, _detailed)
+
+
+def _detailed(q: Column) -> dict[str, Column]:
     where = F.regexp_extract(q, r"(?is)\bWHERE\b(.*)", 1)
     has_where = q.rlike(r"(?i)\bWHERE\b")
     return {"num_joins": text.count_of(q, r"(?i)\bJOIN\b"),

@@ -42,8 +42,18 @@ VERBS = ", ".join(q(v) for v in text.SQL_VERBS)
 COMMAND = (f"CASE WHEN {FIRST} IN ({VERBS}) THEN {FIRST} WHEN contains(upper(query), 'SELECT') THEN 'SELECT' "
            "WHEN contains(upper(query), 'INSERT') THEN 'INSERT' WHEN contains(upper(query), 'UPDATE') THEN 'UPDATE' "
            "WHEN contains(upper(query), 'DELETE') THEN 'DELETE' ELSE 'UNKNOWN' END")
-READ_TABLES = (f"list_distinct(list_transform(list_zip(regexp_extract_all(query, {q(text.READ_TABLE_PATTERN)}, 1), "
-               f"regexp_extract_all(query, {q(text.READ_TABLE_PATTERN)}, 2)), "
+# Code without literals and comments, in the words of the check's own regular expressions.
+PIECES = (r"(?s)'(?:[^'\\]|\\.|'')*(?:'|\z)|" + r'"(?:[^"\\]|\\.|"")*(?:"|\z)' + r"|`[^`]*(?:`|\z)|--[^\n]*|#[^\n]*|/\*.*?(?:\*/|\z)|[^'" + '"' + r"`#/-]+|.")
+
+
+def code_sql(quotes: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all(query, {q(PIECES)}), lambda p: CASE WHEN p[1] IN ({quotes}) THEN '?' "
+            "WHEN p[1] = '#' OR p[1:2] IN ('--', '/*') THEN ' ' ELSE p END), '')")
+
+
+CODE, NAMED = code_sql("'''', '\"', '`'"), code_sql("'''', '\"'")
+READ_TABLES = (f"list_distinct(list_transform(list_zip(regexp_extract_all({NAMED}, {q(text.READ_TABLE_PATTERN)}, 1), "
+               f"regexp_extract_all({NAMED}, {q(text.READ_TABLE_PATTERN)}, 2)), "
                "lambda p: lower(CASE WHEN coalesce(p[1], '') = '' THEN p[2] ELSE p[1] || '.' || p[2] END)))")
 DB_FROM_SQL = "lower(coalesce(" + ", ".join(
     f"nullif(regexp_extract(query, {q('(?i)' + p)}, 1), '')" for p in text.DATABASE_PATTERNS) + "))"
@@ -131,20 +141,25 @@ def register(cat: Catalog) -> None:
          FROM (SELECT *, {COMMAND} AS cmd, {two} AS two FROM stmts)"""))
     cat.add("f19_shape_counts", lambda sp, sf: stmts(sp, sf).withColumn("accessed_tables", text.read_tables(F.col("query"))).select(
         "id", *[c.alias(n) for n, c in FE.shape_features(F.col("query")).items()]),
-        stm(f"""SELECT id, CAST(len({READ_TABLES}) AS INTEGER) AS num_tables, {count_sql(r'(?i)\bJOIN\b')} AS num_joins,
-         {count_sql(r'(?i)\bWHERE\b')} AS num_where_conditions, CAST(least({count_sql(r'(?i)\(\s*SELECT\b')}, 10) AS INTEGER) AS subquery_depth,
-         CASE WHEN {FIRST} IN ({VERBS}) THEN 0 ELSE 1 END AS is_parse_failed FROM stmts"""))
-    where = r"regexp_extract(query, '(?is)\bWHERE\b(.*)', 1)"
+        # Depth by walking the parentheses one by one.
+        stm(f"""SELECT id, CAST(len({READ_TABLES}) AS INTEGER) AS num_tables, {count_sql(r'(?i)\bJOIN\b', CODE)} AS num_joins,
+         {count_sql(r'(?i)\bWHERE\b', CODE)} AS num_where_conditions, CAST(least(depth, 10) AS INTEGER) AS subquery_depth,
+         CASE WHEN {FIRST} IN ({VERBS}) THEN 0 ELSE 1 END AS is_parse_failed FROM stmts JOIN deepest USING (query)""",
+            rf"""signs AS (SELECT DISTINCT query, regexp_extract_all({CODE}, '(?i)\(\s*SELECT\b|\(|\)') AS s FROM stmts),
+            walk AS (SELECT query, s, 0 AS i, '' AS opened FROM signs UNION ALL SELECT query, s, i + 1,
+             CASE WHEN s[i + 1] = ')' THEN left(opened, greatest(length(opened) - 1, 0)) WHEN s[i + 1] = '(' THEN opened || '-' ELSE opened || 'S' END FROM walk WHERE i < len(s)),
+            deepest AS (SELECT query, max(length(replace(opened, '-', ''))) AS depth FROM walk GROUP BY query)""").replace("WITH ", "WITH RECURSIVE ", 1))
+    where = r"regexp_extract(code, '(?is)\bWHERE\b(.*)', 1)"
 
     def clause(word):
-        body = rf"regexp_extract(query, '(?is)\b{word}\s+BY\s+(.*?)(?:\bHAVING\b|\bORDER\s+BY\b|\bLIMIT\b|\)|;|$)', 1)"
+        body = rf"regexp_extract(code, '(?is)\b{word}\s+BY\s+(.*?)(?:\bHAVING\b|\bORDER\s+BY\b|\bLIMIT\b|\)|;|$)', 1)"
         return f"CAST(CASE WHEN {body} = '' THEN 0 ELSE len(string_split({body}, ',')) END AS INTEGER)"
     cat.add("f20_shape_detailed", lambda sp, sf: stmts(sp, sf).select(
         "id", *[c.alias(n) for n, c in FE.shape_features_detailed(F.col("query")).items()]),
-        stm(f"""SELECT id, {count_sql(r'(?i)\bJOIN\b')} AS num_joins,
-         CAST(CASE WHEN regexp_matches(query, '(?i)\\bWHERE\\b') THEN {count_sql(r'(?i)\b(?:AND|OR)\b', where)} + 1 ELSE 0 END AS INTEGER) AS num_where_conditions,
-         {clause('GROUP')} AS num_group_by_cols, {clause('ORDER')} AS num_order_by_cols, {has_sql(r'(?i)\bLIMIT\b')} AS has_limit,
-         {has_sql(r'(?i)\(\s*SELECT\b')} AS has_subquery, {has_sql(r'(?i)\bUNION\b')} AS has_union, {has_sql(r'(?i)\bWHERE\b')} AS has_where FROM stmts"""))
+        stm(f"""SELECT id, {count_sql(r'(?i)\bJOIN\b', 'code')} AS num_joins,
+         CAST(CASE WHEN regexp_matches(code, '(?i)\\bWHERE\\b') THEN {count_sql(r'(?i)\b(?:AND|OR)\b', where)} + 1 ELSE 0 END AS INTEGER) AS num_where_conditions,
+         {clause('GROUP')} AS num_group_by_cols, {clause('ORDER')} AS num_order_by_cols, {has_sql(r'(?i)\bLIMIT\b', 'code')} AS has_limit,
+         {has_sql(r'(?i)\(\s*SELECT\b', 'code')} AS has_subquery, {has_sql(r'(?i)\bUNION\b', 'code')} AS has_union, {has_sql(r'(?i)\bWHERE\b', 'code')} AS has_where FROM (SELECT id, {CODE} AS code FROM stmts)"""))
     sens = ", ".join(q(t) for t in text.SENSITIVE_TABLES)
     syss = ", ".join(q(t) for t in text.SYSTEM_SCHEMAS)
     acc = ("is_sensitive_access", "is_system_access")
