@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.functions.chains import keep_spaced
+from auditloom.functions.joins import measured
 from auditloom.functions.segmented import micros
 from auditloom.monitor import library as L
 
@@ -60,19 +61,33 @@ def count_by_priority(alerts: DataFrame) -> DataFrame:
 
 
 def matching_rules(alerts: DataFrame, rules: DataFrame) -> DataFrame:
-    """Notification rules (rule_id, enabled, min_priority, components, tags) each alert meets; null lists allow all.
+    """Notification rules (rule_id, enabled, min_priority, components, tags) each alert meets; null or empty lists allow all.
 
-    A rule has one row per priority that it is for, so any number of rules joins on the priority.
+    Rules are found by postings: those with components by the components of an alert, those with tags alone by its tags;
+    only rules without lists meet all alerts of their priority, which are matches. A pair that shares several entries comes
+    once, by the least of them, so nothing has to be made distinct. Rules are broadcast while they are measured to be
+    small; beyond that a hot component is split by the adaptive join.
     """
-    highest = max(PRIORITY.values())
-    rows = rules.where((F.col("enabled")) & (F.col("min_priority") <= highest)).select(
-        "rule_id", F.col("components").alias("_components"), F.col("tags").alias("_tags"),
-        F.explode(F.sequence(F.greatest(F.col("min_priority"), F.lit(min(PRIORITY.values()))), F.lit(highest))).alias("priority"))
-
-    def allows(wanted: str, own: str) -> Column:
-        return F.col(wanted).isNull() | (F.size(wanted) == 0) | F.arrays_overlap(own, wanted)
-
-    return alerts.join(rows, "priority").where(allows("_components", "affected_components") & allows("_tags", "tags")).drop("_components", "_tags")
+    highest, lowest = max(PRIORITY.values()), min(PRIORITY.values())
+    empty = F.array().cast("array<string>")
+    live = measured(rules.where(F.col("enabled") & (F.col("min_priority") <= highest)).select(
+        "rule_id", F.col("min_priority").alias("_least"), F.coalesce("components", empty).alias("_components"), F.coalesce("tags", empty).alias("_tags")))
+    enough = F.col("priority") >= F.col("_least")
+
+    def allowed(wanted: str, own: str) -> Column:
+        return (F.size(wanted) == 0) | F.coalesce(F.arrays_overlap(own, wanted), F.lit(False))
+
+    def posted(own: str, wanted: str, kind: Column) -> DataFrame:
+        """Pairs that share an entry of the two lists; ``kind`` says which rules are looked up by it."""
+        entries = alerts.withColumn("_entry", F.explode(F.array_distinct(own)))
+        return entries.join(live.where(kind).withColumn("_entry", F.explode(F.array_distinct(wanted))), "_entry").where(
+            F.col("_entry") == F.array_min(F.array_intersect(own, wanted))).drop("_entry")
+
+    by_component = posted("affected_components", "_components", F.size("_components") > 0).where(enough & allowed("_tags", "tags"))
+    by_tag = posted("tags", "_tags", (F.size("_components") == 0) & (F.size("_tags") > 0)).where(enough)
+    for_all = alerts.join(live.where((F.size("_components") == 0) & (F.size("_tags") == 0)).withColumn(
+        "priority", F.explode(F.sequence(F.greatest(F.col("_least"), F.lit(lowest)), F.lit(highest)))), "priority")
+    return by_component.unionByName(by_tag).unionByName(for_all).drop("_components", "_tags", "_least")
 
 
 def escalations_due(alerts: DataFrame, now: Column, after_min: int = 30, most: int = 3, min_priority: str = "high") -> DataFrame:
