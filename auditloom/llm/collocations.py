@@ -11,8 +11,9 @@ counted exactly. The table has a fixed size however many phrases there are; it i
 
 A task counts the phrases of its rows (bounded pieces, merged before they leave) and deals sorted keys with counts to key
 buckets, packed. A bucket adds them to its open counts, keeps complete frequent phrases and carries the open ones on to the
-next scan. A frequent word pair is one entry per task. When all are complete, one more scan reads the words of frequent phrases,
-and cuts, scores and ranks are joins and aggregates on phrases.
+next scan. A frequent word pair is one entry per task. When all are complete, the words of frequent phrases are read in parts of
+rising size, each only for phrases that the parts before did not have, so that common phrases do not come from every task. Cuts,
+scores and ranks are joins and aggregates on phrases.
 
 Defined results: a null text has no words, a null language is ``und``; counts are over all rows, repeated ones too; no
 document id is needed; other columns are not read; an empty table, or one without frequent phrases, gives no rows. Phrases are
@@ -34,14 +35,18 @@ from pyspark.sql import functions as F
 from auditloom.functions.cut import written
 from auditloom.functions.joins import measured
 from auditloom.llm import chunks as C
-from auditloom.llm.common import flat, mixed, slices
+from auditloom.llm.common import flat, mixed, per_group, per_pair, slices
 from auditloom.session import checkpoint_dir
 
 LENGTHS, LEAST, SHARE, FACTOR, FIRST = 4, 30, 80, 2_000_000, 2000
 #: Scans of a full cycle, leading key bits of the table of cells (one byte a cell).
 SHARDS, CELL_BITS = 3, 24
 #: Text bytes counted at a time, counted phrases that a task holds before it sends them, average bytes of text per bucket.
-SLICE, HELD, BUCKET_TEXT = 4 << 20, 6_000_000, 16 << 20
+SLICE, HELD, BUCKET_TEXT = 4 << 20, 3_000_000, 16 << 20
+#: Of every 32 tasks that write the shards, the first of those whose rows are in part 0, 1 and 2.
+PARTS = (0, 1, 8)
+#: Places of a task's memory of keys that it has told.
+TOLD = 1 << 21
 #: Parts that are ranked on their own before the best of each meet.
 RANK_PARTS = 64
 COUNTS = "bucket int, length int, start int, keys binary, counts binary"
@@ -139,7 +144,8 @@ def count_rows(length: int, start: int, keys: np.ndarray, counts: np.ndarray, bi
 
 COUNT_TYPES = pa.schema([("bucket", pa.int32()), ("length", pa.int32()), ("start", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 MERGE_TYPES = pa.schema([("kind", pa.string()), *COUNT_TYPES])
-PHRASE_TYPES = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("f", pa.int64())])
+PHRASE_TYPES = pa.schema([("lang", pa.string()), ("length", pa.int32()), ("phrase", pa.string()), ("f", pa.int64()),
+                          ("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("bits", pa.binary())])
 
 
 def scan(shard: DataFrame, cells: Broadcast, step: int, shards: int, bits: int, most: int = HELD) -> DataFrame:
@@ -197,62 +203,81 @@ def merged(counts: DataFrame, step: int, shards: int, least: int, bits: int, cel
                              "keys": pack_keys(keys[kept]), "counts": pack(total[kept])})
         rows += [{"kind": "cells", "bucket": bucket, "length": n, "start": step, "keys": C.packed(bit), "counts": None} for n, bit in seen.items() if bit.any()]
         return pa.Table.from_pylist(rows, MERGE_TYPES)
-    return counts.groupBy("bucket").applyInArrow(merge, "kind string, " + COUNTS)
+    return counts.groupBy("bucket").applyInArrow(per_group(merge), "kind string, " + COUNTS)
 
 
-def witnesses(shards: DataFrame, cells: Broadcast, bits: int) -> DataFrame:
-    """Words of the phrases whose cell says frequent, once per task and phrase; rows of length 0 are word counts of languages."""
+def witnesses(rows: DataFrame, cells: Broadcast, bits: int) -> DataFrame:
+    """Words of the phrases whose cell is set, about once per task and phrase; rows of length 0 are word counts of languages."""
     schema = pa.schema([("bucket", pa.int32()), ("length", pa.int32()), ("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, int] = {}
-        told, cell_bits = np.zeros(0, np.uint64), len(cells.value).bit_length() - 1
+        cell_bits = len(cells.value).bit_length() - 1
+        told = np.zeros(TOLD, np.uint64)  # by low bits; a phrase told twice does no harm
         for b in slices(batches, "text", SLICE):
             words = Words(b.column("text"), b.column("lang"))
             for lang, n in zip(words.langs.tolist(), np.bincount(words.lang, minlength=len(words.langs)).tolist()):
                 total[lang] = total.get(lang, 0) + n
             for n, keys, whole in words.phrases():
-                at = np.flatnonzero(whole & (cells.value[cell(keys, cell_bits)] > 0))
+                at = np.flatnonzero(whole & cells.value[cell(keys, cell_bits)])
                 one, first = np.unique(keys[at], return_index=True)
-                # The keys that were told last are remembered, to a bound; a phrase told twice does no harm.
-                new = ~np.isin(one, told, assume_unique=True)
+                new = told[one & np.uint64(TOLD - 1)] != one
                 one, at = one[new], at[first[new]]
-                told = np.union1d(told, one) if len(told) < HELD // 2 else one
-                phrase = [GAP.sub(" ", words.body[i:j].tobytes().decode())
-                          for i, j in zip(words.begin[at].tolist(), words.end[at + n - 1].tolist())]
-                bucket = (one >> np.uint64(64 - bits)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(one), n, np.int32)), pa.array(one.view(np.int64)),
-                                                  pa.array(words.langs[words.lang[at]].tolist(), pa.string()), pa.array(phrase, pa.string()),
-                                                  pa.nulls(len(one), pa.int64())], schema=schema)
+                told[one & np.uint64(TOLD - 1)] = one
+                phrase = [GAP.sub(" ", words.body[i:j].tobytes().decode()) for i, j in zip(words.begin[at].tolist(), words.end[at + n - 1].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array((one >> np.uint64(64 - bits)).astype(np.int32)), pa.array(np.full(len(one), n, np.int32)),
+                                                  pa.array(one.view(np.int64)), pa.array(words.langs[words.lang[at]].tolist(), pa.string()),
+                                                  pa.array(phrase, pa.string()), pa.nulls(len(one), pa.int64())], schema=schema)
         yield pa.RecordBatch.from_pylist([{"bucket": -1 - _key_of(x) % 1024, "length": 0, "lang": x, "n": n} for x, n in total.items()], schema)
-    return shards.mapInArrow(read, "bucket int, length int, key long, lang string, phrase string, n long")
+    return rows.mapInArrow(read, "bucket int, length int, key long, lang string, phrase string, n long")
 
 
-def named(done: DataFrame, read: DataFrame) -> DataFrame:
-    """lang, length, phrase, f of the frequent phrases; rows of length 0 hold the word counts of languages."""
+def named(done: DataFrame, read: DataFrame, bits: int, cell_bits: int) -> DataFrame:
+    """lang, length, phrase, f of frequent phrases; rows of length 0 hold word counts of languages, and rows of length -1 the
+    counts that are still without words, with the bits of their cells."""
+    width = 1 << (cell_bits - bits)
 
     def match(counted: pa.Table, told: pa.Table) -> pa.Table:
-        lang, length, phrase, key, n = (told.column(c) for c in ("lang", "length", "phrase", "key", "n"))
+        lang, length, phrase, key = (told.column(c) for c in ("lang", "length", "phrase", "key"))
         if told.num_rows and told.column("bucket")[0].as_py() < 0:
             total = told.group_by("lang").aggregate([("n", "sum")])
-            return pa.table([total.column("lang"), pa.array([0] * total.num_rows, pa.int32()), pa.nulls(total.num_rows, pa.string()), total.column("n_sum")], schema=PHRASE_TYPES)
+            return pa.Table.from_pylist([{"lang": x, "length": 0, "f": n} for x, n in zip(total.column("lang").to_pylist(), total.column("n_sum").to_pylist())], PHRASE_TYPES)
         rows = counted.num_rows
         keys, f = added([unpack_keys(counted.column("keys")[i].as_py()) for i in range(rows)] or [np.zeros(0, np.uint64)],
                         [unpack(counted.column("counts")[i].as_py()).astype(np.int64) for i in range(rows)] or [np.zeros(0, np.int64)])
         asked, first = np.unique(key.to_numpy().view(np.uint64), return_index=True) if told.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         hit = np.isin(asked, keys, assume_unique=True)
         at = pa.array(first[hit])
-        return pa.table([lang.take(at), length.take(at), phrase.take(at), pa.array(f[np.searchsorted(keys, asked[hit])])], schema=PHRASE_TYPES)
-    return done.groupBy("bucket").cogroup(read.groupBy("bucket")).applyInArrow(match, "lang string, length int, phrase string, f long")
+        out = pa.table([lang.take(at), length.take(at), phrase.take(at), pa.array(f[np.searchsorted(keys, asked[hit])]),
+                        *(pa.nulls(len(at), PHRASE_TYPES.field(c).type) for c in ("bucket", "keys", "counts", "bits"))], schema=PHRASE_TYPES)
+        rest = ~np.isin(keys, asked[hit], assume_unique=True)
+        if not rest.any():
+            return out
+        bit = np.zeros(width, bool)
+        bit[cell(keys[rest], cell_bits) & (width - 1)] = True
+        return pa.concat_tables([out, pa.Table.from_pylist([{"length": -1, "bucket": counted.column("bucket")[0].as_py(), "keys": pack_keys(keys[rest]),
+                                                             "counts": pack(f[rest]), "bits": C.packed(bit)}], PHRASE_TYPES)])
+    return done.groupBy("bucket").cogroup(read.groupBy("bucket")).applyInArrow(
+        per_pair(match), "lang string, length int, phrase string, f long, bucket int, keys binary, counts binary, bits binary")
+
+
+def set_bits(rows: DataFrame, name: str, cell_bits: int, bits: int) -> np.ndarray:
+    """The cells that rows of (bucket, bits) set: one bit per cell comes to the driver."""
+    out, width = np.zeros(1 << cell_bits, bool), 1 << (cell_bits - bits)
+    for r in rows.select("bucket", name).toLocalIterator():
+        out[r["bucket"] * width:(r["bucket"] + 1) * width] |= C.unpacked(bytes(r[name]), width)
+    return out
 
 
 def in_shards(docs: DataFrame, shards: int) -> DataFrame:
-    """lang, text and shard, written by shard; repeated rows spread over all shards."""
+    """lang, text, shard and part, written by these; repeated rows spread over all shards."""
     spark = docs.sparkSession
     path = f"{checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
-    docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast(
-        "int").alias("shard")).write.partitionBy("shard").parquet(path)
-    return spark.read.schema("lang string, text string, shard int").parquet(path)
+    task = F.spark_partition_id() % 32
+    docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"),
+                F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard"),
+                F.when(task < PARTS[1], 0).when(task < PARTS[2], 1).otherwise(2).alias("part")).write.partitionBy("shard", "part").parquet(path)
+    return spark.read.schema("lang string, text string, shard int, part int").parquet(path)
 
 
 def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, cell_bits: int = CELL_BITS, held: int = HELD) -> DataFrame:
@@ -261,7 +286,7 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, cell_bit
     rows = in_shards(docs, shards)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     bits = min(cell_bits - 3, max(4, int(np.ceil(np.log2(max(1, size / BUCKET_TEXT))))))
-    cells, longest = np.zeros(1 << cell_bits, np.uint8), np.zeros(1 << cell_bits, bool)
+    cells, often = np.zeros(1 << cell_bits, np.uint8), np.zeros(1 << cell_bits, bool)
     done, carried, step, last = [], None, 0, 0
     while step < max(shards, last + shards):
         step += 1
@@ -269,23 +294,28 @@ def frequent(docs: DataFrame, least: int = LEAST, shards: int = SHARDS, cell_bit
         counts = scan(rows.where(F.col("shard") == (step - 1) % shards).select("lang", "text"), known, step, shards, bits, held)
         out = written(merged(counts if carried is None else counts.unionByName(carried), step, shards, least, bits, cell_bits))
         known.destroy()
-        done.append(out.where("kind = 'done'").drop("kind"))
+        done.append(out.where("kind = 'done'").select("bucket", "keys", "counts"))
         carried = out.where("kind = 'open'").drop("kind")
-        # At most one bit per cell and kind of length comes to the driver.
-        width, cells = 1 << (cell_bits - bits), cells.copy()
-        for r in out.where("kind = 'cells'").select("bucket", "length", "keys").toLocalIterator():
-            at = slice(r["bucket"] * width, (r["bucket"] + 1) * width)
-            bit = C.unpacked(bytes(r["keys"]), width)
-            if r["length"] == LENGTHS:
-                longest[at] |= bit
-            elif (bit & (cells[at] == 0)).any():
-                cells[at][bit & (cells[at] == 0)] = step
-                last = step
-    every = done[0]
+        marks = out.where("kind = 'cells'")
+        found = set_bits(marks.where(F.col("length") < LENGTHS), "keys", cell_bits, bits)
+        often |= found | set_bits(marks.where(F.col("length") == LENGTHS), "keys", cell_bits, bits)
+        if (new := found & (cells == 0)).any():
+            cells, last = np.where(new, np.uint8(step), cells), step
+    asked = done[0]
     for d in done[1:]:
-        every = every.unionByName(d)
-    shared = spark.sparkContext.broadcast((cells > 0) | longest)
-    return written(named(every, witnesses(rows.select("lang", "text"), shared, bits)))
+        asked = asked.unionByName(d)
+    names = None
+    for part in range(len(PARTS)):
+        shared = spark.sparkContext.broadcast(often)
+        out = written(named(asked, witnesses(rows.where(F.col("part") == part).select("lang", "text"), shared, bits), bits, cell_bits))
+        shared.destroy()
+        told = out.where("length >= 0").select("lang", "length", "phrase", "f")
+        names = told if names is None else names.unionByName(told)
+        asked = out.where("length = -1").select("bucket", "keys", "counts")
+        often = set_bits(out.where("length = -1"), "bits", cell_bits, bits)
+    if often.any():
+        raise RuntimeError("the words of a counted phrase were not found again: the shards have changed")
+    return names
 
 
 def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, first: int = FIRST, shards: int = SHARDS) -> DataFrame:
