@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.functions.cut import written_sized
@@ -21,6 +26,13 @@ def measured(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(kept) if size <= max_bytes else kept
 
 
+def together(spark: SparkSession, *calls: Callable[[], Any]) -> list:
+    """The results of calls that each run jobs of their own, started at the same time: small jobs fill the cores that
+    the tail of another leaves free."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Rows over all cores when the scan gives fewer partitions, as for one small file.
 

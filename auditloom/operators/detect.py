@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from auditloom.config import RuleConfig
 from auditloom.functions import text
-from auditloom.functions.joins import measured
+from auditloom.functions.cut import written
+from auditloom.functions.joins import measured, together
 from auditloom.operators import rules as R
 from auditloom.schema import safe_double, safe_long
 
@@ -19,16 +20,15 @@ SET_NAMES = {R.ACCESS: "rule_access", R.INSIDER: "rule_insider", R.TECHNICAL: "r
              R.DESTRUCTION: "rule_destruction", R.PROFILE: "rule_behavior_profile", R.ML: "anomalies_ml"}
 
 
-def _mark(df: DataFrame, hits: DataFrame, keys: list[str], flag: str) -> DataFrame:
+def _mark(df: DataFrame, small: DataFrame, keys: list[str], flag: str) -> DataFrame:
     """Left join of unique hit keys as a boolean."""
-    small = measured(hits.select(*keys).distinct()).withColumn(flag, F.lit(True))
-    return df.join(small, keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    return df.join(small.withColumn(flag, F.lit(True)), keys, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 @dataclass(frozen=True)
 class Known:
-    """What rules over several rows find: windows of concurrent logins and of many tables (user, window_start), attacking
-    addresses (client_ip), rows that jumped between places (event_id)."""
+    """What rules over several rows find, as small sides: windows of concurrent logins and of many tables (user,
+    window_start), attacking addresses (client_ip), rows that jumped between places (event_id)."""
 
     logins: DataFrame
     tables: DataFrame
@@ -36,13 +36,6 @@ class Known:
     jumps: DataFrame | None = None
 
 
-def found_in(df: DataFrame, cfg: RuleConfig, geo_ranges: DataFrame | None = None) -> Known:
-    """The same from the rows of a whole log."""
-    slim = df.select("event_id", "user", "client_ip", "timestamp")
-    jumps = None if geo_ranges is None else R.impossible_travel(slim, geo_ranges, cfg).select("event_id")
-    return Known(R.concurrent_login_windows(df, cfg), R.multi_table_windows(df, cfg), R.brute_force_addresses(df, cfg), jumps)
-
-
 def login_window(cfg: RuleConfig) -> Column:
     return F.window("timestamp", cfg.concurrent_window).getField("start")
 
@@ -55,8 +48,12 @@ def is_connect(cfg: RuleConfig) -> Column:
     return (F.col("error_code") == 0) & F.col("event_name").isin(*cfg.connect_events)
 
 
+def _reads() -> Column:
+    return F.coalesce(F.col("query").rlike("(?i)SELECT|SHOW|DESCRIBE"), F.lit(False))
+
+
 def reads_tables() -> Column:
-    return F.coalesce(F.col("query").rlike("(?i)SELECT|SHOW|DESCRIBE") & (F.size(text.touched_tables(F.col("query"))) > 0), F.lit(False))
+    return _reads() & F.coalesce(F.size(text.touched_tables(F.col("query"))) > 0, F.lit(False))
 
 
 def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
@@ -64,22 +61,36 @@ def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
     """Every rule r01..r30 as a boolean column. ``event_id`` must identify a row; ``known`` replaces what is found in ``df``.
 
     What joins back to the log is always the rare side: windows and addresses that were hit, rows a
-    ticket excuses, jumps between places. Late-night rows, which are many, stay an expression.
+    ticket excuses, jumps between places. Late-night rows, which are many, stay an expression. The sides are found side by
+    side, all from one slim table that is written once: texts are parsed for it once, and the log is not read again.
     """
     base = R.with_entropy(df)
-    known = known or found_in(base, cfg, geo_ranges)
+    slim = base.select("event_id", "user", "client_ip", "timestamp", "error_code",
+                       *([] if known else [F.when(_reads(), text.touched_tables(F.col("query"))).otherwise(F.array().cast("array<string>")).alias("tables")]))
+    slim = slim if known else written(slim)
+
+    def side(rows: DataFrame, *keys: str) -> DataFrame:
+        return measured(rows.select(*keys).distinct())
+    if known is None:
+        logins, tables, attackers, rare = together(
+            df.sparkSession,
+            lambda: side(R.concurrent_login_windows(slim, cfg), "user", "window_start"),
+            lambda: side(R.multi_table_windows(slim, cfg), "user", "window_start"),
+            lambda: side(R.brute_force_addresses(slim, cfg), "client_ip"),
+            lambda: _row_keys(slim, cfg, overtime, None if geo_ranges is None else R.impossible_travel(slim.drop("tables"), geo_ranges, cfg).select("event_id")))
+    else:
+        logins, tables, attackers, rare = known.logins, known.tables, known.attackers, _row_keys(slim, cfg, overtime, known.jumps)
     out = R.with_row_rules(base, cfg)
-    out = _mark(out.withColumn("window_start", login_window(cfg)), known.logins, ["user", "window_start"], "r01").drop("window_start")
-    out = _mark(out, known.attackers, ["client_ip"], "r02").withColumn("r02", F.col("r02") & is_connect(cfg))
-    out = _mark_rows(out, base, cfg, overtime, known.jumps)
-    out = _mark(out.withColumn("window_start", table_window(cfg)), known.tables, ["user", "window_start"], "r30").drop("window_start")
+    out = _mark(out.withColumn("window_start", login_window(cfg)), logins, ["user", "window_start"], "r01").drop("window_start")
+    out = _mark(out, attackers, ["client_ip"], "r02").withColumn("r02", F.col("r02") & is_connect(cfg))
+    out = _mark_rows(out, cfg, rare)
+    out = _mark(out.withColumn("window_start", table_window(cfg)), tables, ["user", "window_start"], "r30").drop("window_start")
     return out.withColumn("r30", F.col("r30") & reads_tables())
 
 
-def _mark_rows(out: DataFrame, base: DataFrame, cfg: RuleConfig, overtime: DataFrame | None,
-               jumps: DataFrame | None) -> DataFrame:
-    """r03, r04 and r07 with one join on the row key."""
-    slim = base.select("event_id", "user", "client_ip", "timestamp")
+def _row_keys(slim: DataFrame, cfg: RuleConfig, overtime: DataFrame | None, jumps: DataFrame | None) -> DataFrame | None:
+    """Rows that r03, r04 and r07 need to know of: event_id with flags t (jump), s and n (excused by a ticket)."""
+    slim = slim.select("event_id", "user", "client_ip", "timestamp")
     found = []
     if overtime is not None:
         found.append(R.with_ticket(slim.where(R.is_night(cfg)), overtime, True).select("event_id", F.lit("n").alias("_k")))
@@ -88,13 +99,19 @@ def _mark_rows(out: DataFrame, base: DataFrame, cfg: RuleConfig, overtime: DataF
                 "event_id", F.lit("s").alias("_k")))
     if jumps is not None:
         found.append(jumps.select("event_id", F.lit("t").alias("_k")))
+    if not found:
+        return None
+    ids = found[0]
+    for f in found[1:]:
+        ids = ids.unionByName(f)
+    return measured(ids.groupBy("event_id").agg(*[F.max(F.col("_k") == k).alias(f"_{k}") for k in "nst"]))
+
+
+def _mark_rows(out: DataFrame, cfg: RuleConfig, rare: DataFrame | None) -> DataFrame:
+    """r03, r04 and r07 with one join on the row key."""
     excused_night = excused_hour = travel = F.lit(False)
-    if found:
-        ids = found[0]
-        for f in found[1:]:
-            ids = ids.unionByName(f)
-        kinds = ids.groupBy("event_id").agg(*[F.max(F.col("_k") == k).alias(f"_{k}") for k in "nst"])
-        out = out.join(measured(kinds), "event_id", "left")
+    if rare is not None:
+        out = out.join(rare, "event_id", "left")
         excused_night, excused_hour, travel = (F.coalesce(f"_{k}", F.lit(False)) for k in "nst")
     return out.withColumns({
         "r03": travel, "r07": R.is_night(cfg) & ~excused_night,
@@ -124,7 +141,7 @@ def apply_profile(labelled: DataFrame, profile: DataFrame | None, cfg: RuleConfi
     """Rare-hour flag, only on rows without access, insider or technical hits; ``rare_hour`` is the flag without that."""
     if profile is None:
         return labelled.withColumns({"rare_hour": F.lit(False), f"hit_{R.PROFILE}": F.lit(False)})
-    p = measured(profile.select("user", F.col("hour").alias("_h"), F.col("cnt").alias("_cnt")))
+    p = profile.select("user", F.col("hour").alias("_h"), F.col("cnt").alias("_cnt"))
     hour = F.hour("timestamp")
     return (labelled.withColumn("_h", hour).join(p, ["user", "_h"], "left")
             .withColumn("rare_hour", F.coalesce("_cnt", F.lit(0)) < cfg.min_occurrences_threshold)
@@ -207,7 +224,8 @@ def detect(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None, ge
 
     The small sides of the window, address and ticket rules are written and counted when this is called.
     """
-    labelled = label_groups(flag_all(df, cfg, overtime, geo_ranges, known))
+    flags, profile = together(df.sparkSession, lambda: flag_all(df, cfg, overtime, geo_ranges, known), lambda: None if profile is None else measured(profile))
+    labelled = label_groups(flags)
     return Detection(finalize(apply_ml(apply_profile(labelled, profile, cfg), scored), cfg), cfg)
 
 

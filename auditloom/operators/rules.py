@@ -224,6 +224,9 @@ def late_night(df: DataFrame, overtime: DataFrame, cfg: RuleConfig) -> DataFrame
 
 
 def multi_table_candidates(df: DataFrame) -> DataFrame:
+    """Rows that read tables, with these; a column ``tables`` that is there already is taken."""
+    if "tables" in df.columns:
+        return df.where(F.size("tables") > 0)
     rows = df.where(_q().rlike("(?i)SELECT|SHOW|DESCRIBE"))
     return keep_where(rows, {"tables": text.touched_tables(_q())}, lambda r: F.size(r["tables"]) > 0)
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.config import RuleConfig
-from auditloom.functions.joins import measured
+from auditloom.functions.joins import measured, together
 from auditloom.operators import detect as D
 from auditloom.operators import rules as R
 from auditloom.schema import conform
@@ -63,14 +63,12 @@ class DetectionJob:
         write_batch(rows.withColumn("quarantined", odd), f"{self.out}/raw", batch_id)
         rows = spark.read.parquet(f"{self.out}/raw/batch_id={batch_id}")
         good = rows.where("NOT quarantined")
-        windows, hostile = self._facts(spark, good, cfg, batch_id)
-        jumps = self._places(spark, good, cfg, batch_id)
+        (windows, hostile), jumps = together(spark, lambda: self._facts(spark, good, cfg, batch_id), lambda: self._places(spark, good, cfg, batch_id))
         known = D.Known(*(windows.where(F.col("kind") == k).select("user", "window_start") for k in ("login", "table")),
                         hostile, jumps.where("jump").select("event_id"))
         logs = self._logs(spark, rows, known, cfg, batch_id)
         fixed = self._corrections(spark, windows.where("fresh"), hostile.where("fresh"), jumps, cfg, batch_id)
         self._report(spark, logs, fixed, cfg, batch_id)
-        write_batch(H.learn(logs.where(~F.col(f"hit_{R.TECHNICAL}") & ~F.col("quarantined"))), f"{self.out}/learnt", batch_id)
         forget(spark, [f"{self.out}/{s}" for s in STATE], batch_id)
 
     # --- facts that rules over several rows need ------------------------------------------------------------------
@@ -105,7 +103,7 @@ class DetectionJob:
         now = every.where((F.col("kind") == "fail") & (F.col("n") > cfg.brute_force_attempts)).select(F.col("value").alias("client_ip")).distinct()
         both = known.withColumn("old", F.lit(True)).unionByName(now.withColumn("old", F.lit(False))).groupBy("client_ip").agg((~F.max("old")).alias("fresh"))
         write_batch(both, f"{self.out}/attackers", batch_id)
-        return measured(windows), spark.read.parquet(f"{self.out}/attackers/batch_id={batch_id}")
+        return measured(windows), measured(spark.read.parquet(f"{self.out}/attackers/batch_id={batch_id}"))
 
     def _places(self, spark: SparkSession, good: DataFrame, cfg: RuleConfig, batch_id: int) -> DataFrame:
         """Located rows of this batch and the recent ones of the same users: event_id, jump, was (before), at_batch."""
@@ -142,7 +140,7 @@ class DetectionJob:
         # Windows hold no rows with doubtful times.
         sure = ~F.col("quarantined")
         flags = flags.withColumns({r: F.col(r) & sure for r in ("r01", "r30")})
-        det = D.Detection(D.finalize(D.apply_ml(D.apply_profile(D.label_groups(flags), profile, cfg), None), cfg), cfg)
+        det = D.Detection(D.finalize(D.apply_ml(D.apply_profile(D.label_groups(flags), measured(profile), cfg), None), cfg), cfg)
         model = self.model() if self.model is not None else None
         if model is not None:
             from auditloom.operators import ml as M
@@ -187,12 +185,16 @@ class DetectionJob:
         return spark.read.parquet(f"{self.out}/corrections/batch_id={batch_id}")
 
     def _report(self, spark: SparkSession, logs: DataFrame, fixed: DataFrame | None, cfg: RuleConfig, batch_id: int) -> None:
-        """Anomalies, evidence, lock decisions, alerts and sessions that this batch adds or changes."""
+        """Anomalies, evidence, lock decisions, alerts, sessions and habits that this batch adds or changes."""
         changed = D.Detection(logs if fixed is None else logs.unionByName(fixed), cfg)
-        write_batch(changed.anomalies, f"{self.out}/anomalies", batch_id)
-        write_batch(changed.session_evidence, f"{self.out}/evidence", batch_id)
-        write_batch(changed.locks, f"{self.out}/locks", batch_id)
-        write_batch(changed.alerts, f"{self.out}/alerts", batch_id)
+        together(spark, lambda: write_batch(changed.anomalies, f"{self.out}/anomalies", batch_id),
+                 lambda: write_batch(changed.session_evidence, f"{self.out}/evidence", batch_id),
+                 lambda: write_batch(changed.locks, f"{self.out}/locks", batch_id),
+                 lambda: write_batch(changed.alerts, f"{self.out}/alerts", batch_id),
+                 lambda: self._sessions(spark, changed, cfg, batch_id),
+                 lambda: write_batch(H.learn(logs.where(~F.col(f"hit_{R.TECHNICAL}") & ~F.col("quarantined"))), f"{self.out}/learnt", batch_id))
+
+    def _sessions(self, spark: SparkSession, changed: D.Detection, cfg: RuleConfig, batch_id: int) -> None:
         # A session is reported again, whole, whenever one of its rows is.
         touched = measured(changed.session_evidence.select("user", "session_start").distinct())
         first = spark.read.parquet(f"{self.out}/facts/batch_id={batch_id}").where("kind = 'table'").join(
