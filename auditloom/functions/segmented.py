@@ -120,3 +120,9 @@ def range_totals(df: DataFrame, keys: Sequence[str], ts: str, totals: dict[str,
 def _floor_div(name: str, width: int) -> Column:
     """Floor division of a whole number that may be negative."""
     return F.expr(f"({name} - pmod({name}, {width}L)) div {width}L")
+
+
+def tumbling(ts: str, width: str) -> Column:
+    """Start of the tumbling window of a time, null without one; the window function would drop such rows."""
+    us, step = F.unix_micros(ts), F.unix_micros(F.timestamp_micros(F.lit(0)) + F.expr(f"INTERVAL {width}"))
+    return F.timestamp_micros(us - F.pmod(us, step))

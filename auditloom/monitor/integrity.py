@@ -13,15 +13,22 @@ from auditloom.functions.once import keep_where
 from auditloom.sources.files import TRAIL_SCHEMA
 
 
-def hmac_sha256(message: Column, key: str) -> Column:
-    """HMAC-SHA256 of a text as hex, with built-in hash functions only."""
+def with_key(df: DataFrame, key: str) -> DataFrame:
+    """``df`` with the padded key as ``_inner`` and ``_outer``.
+
+    The pads are values of a one-row table, which plans and event logs name but do not print; as literals they would tell the key.
+    """
     k = key.encode()
     k = hashlib.sha256(k).digest() if len(k) > 64 else k
     k = k.ljust(64, b"\0")
-    inner = F.unhex(F.lit(bytes(b ^ 0x36 for b in k).hex()))
-    outer = F.unhex(F.lit(bytes(b ^ 0x5C for b in k).hex()))
-    digest = F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 256))
-    return F.sha2(F.concat(outer, digest), 256)
+    pads = df.sparkSession.createDataFrame([(bytes(b ^ 0x36 for b in k), bytes(b ^ 0x5C for b in k))], "i binary, o binary")
+    return df.withColumns({"_inner": pads.select("i").scalar(), "_outer": pads.select("o").scalar()})
+
+
+def hmac_sha256(message: Column) -> Column:
+    """HMAC-SHA256 of a text as hex, with built-in hash functions only, for rows ``with_key``."""
+    digest = F.unhex(F.sha2(F.concat("_inner", F.encode(message, "UTF-8")), 256))
+    return F.sha2(F.concat("_outer", digest), 256)
 
 
 def canonical_json(columns: Sequence[str]) -> Column:
@@ -30,7 +37,7 @@ def canonical_json(columns: Sequence[str]) -> Column:
 
 
 def sign(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
-    return df.withColumn("integrity_hash", hmac_sha256(canonical_json(columns), key))
+    return with_key(df, key).withColumn("integrity_hash", hmac_sha256(canonical_json(columns))).drop("_inner", "_outer")
 
 
 def signed_lines(df: DataFrame, columns: Sequence[str], key: str) -> DataFrame:
@@ -49,8 +56,8 @@ def verify_trail(lines: DataFrame, columns: Sequence[str], key: str, number: str
     no = F.col(number).cast("string")
     error = (F.when(F.col("_bad").isNotNull(), F.concat(F.lit("Corrupted entry at line "), no))
              .when(F.coalesce("integrity_hash", F.lit("")) == "", F.concat(F.lit("Missing integrity hash at line "), no))
-             .when(hmac_sha256(canonical_json(columns), key) != F.col("integrity_hash"), F.concat(F.lit("Integrity verification failed at line "), no)))
-    return keep_where(e, {"error": error}, lambda r: r["error"].isNotNull()).select(number, "error")
+             .when(hmac_sha256(canonical_json(columns)) != F.col("integrity_hash"), F.concat(F.lit("Integrity verification failed at line "), no)))
+    return keep_where(with_key(e, key), {"error": error}, lambda r: r["error"].isNotNull()).select(number, "error")
 
 
 def file_checksums(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:

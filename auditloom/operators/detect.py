@@ -11,6 +11,7 @@ from auditloom.config import RuleConfig
 from auditloom.functions import text
 from auditloom.functions.cut import written
 from auditloom.functions.joins import measured, together
+from auditloom.functions.segmented import tumbling
 from auditloom.operators import rules as R
 from auditloom.schema import safe_double, safe_long
 
@@ -37,11 +38,11 @@ class Known:
 
 
 def login_window(cfg: RuleConfig) -> Column:
-    return F.window("timestamp", cfg.concurrent_window).getField("start")
+    return tumbling("timestamp", cfg.concurrent_window)
 
 
 def table_window(cfg: RuleConfig) -> Column:
-    return F.window("timestamp", f"{cfg.multi_table_window_minutes} minutes").getField("start")
+    return tumbling("timestamp", f"{cfg.multi_table_window_minutes} minutes")
 
 
 def is_connect(cfg: RuleConfig) -> Column:

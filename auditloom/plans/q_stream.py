@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from auditloom import fixtures as X
+from auditloom.functions.ordinals import coded as coded_by
 from auditloom.monitor import library as L
 from auditloom.monitor import patterns as P
 from auditloom.monitor import search as K
@@ -22,6 +23,7 @@ from auditloom.sources.files import stream_text
 from auditloom.streaming import habits as H
 from auditloom.streaming import jobs as J
 from auditloom.streaming.detection import DetectionJob
+from auditloom.streaming.windows import WindowCounts
 
 FEEDS = 3
 
@@ -129,17 +131,21 @@ def _streams(cat: Catalog) -> None:
     def late(sp, sf):
         """The last feed also brings rows five seconds older than the feed before it, and rows days older."""
         a = audit(sp, sf).select("event_id", "timestamp", "user")
-        borders = [d * 86_400_000_000 + 1_704_067_200_000_000 for d in (5, 10)]  # 6 and 11 January 2024
         newest = a.where("timestamp < '2024-01-11'").agg(F.max("timestamp")).scalar()
         second = a.where("timestamp >= '2024-01-11'")
         tardy = second.where("event_id % 7 = 0").withColumn("timestamp", newest - F.expr("INTERVAL 5 SECONDS"))
         lost = second.where("event_id % 7 = 1").withColumn("timestamp", newest - F.expr("INTERVAL 8 DAYS"))
         feeds = a.withColumn("fed", F.col("timestamp")).unionByName(tardy.unionByName(lost).withColumn("fed", F.lit("2024-01-12").cast("timestamp")))
-        return collect_stream(sp, feeds, "fed", lambda s: J.tumbling_counts(s, 5), "late", borders)
-    cat.add("x07_late_data", lambda sp, sf: late(sp, sf).groupBy().agg(F.sum("n").alias("counted")),
-            S.sql("audit", """SELECT CAST(sum(n) AS BIGINT) AS counted FROM (SELECT "user", time_bucket(INTERVAL 5 MINUTE, t) AS w, count(*) AS n FROM rows GROUP BY 1, 2) WHERE w + INTERVAL 5 MINUTE <= (SELECT max("timestamp") FROM audit) - INTERVAL 10 SECOND""",
+        job, ckpt = WindowCounts(fresh(sp, "late-out")), fresh(sp, "late-ckpt")
+        borders = [d * 86_400_000_000 + 1_704_067_200_000_000 for d in (5, 10)]  # 6 and 11 January 2024
+        feed(sp, feeds, "fed", "late-in", lambda stream: J.run(stream, job, ckpt, available_now=True), borders)
+        return job.windows(sp)
+    cat.add("x07_late_data", late,
+            S.sql("audit", """SELECT "user", time_bucket(INTERVAL 5 MINUTE, t) AS window_start, count(*) AS n, CAST(sum(late) AS BIGINT) AS late FROM rows GROUP BY 1, 2""",
                   """m AS (SELECT max("timestamp") AS t FROM audit WHERE "timestamp" < TIMESTAMP '2024-01-11'),
-                  rows AS (SELECT "user", "timestamp" AS t FROM audit UNION ALL SELECT "user", (SELECT t FROM m) - INTERVAL 5 SECOND FROM audit WHERE "timestamp" >= TIMESTAMP '2024-01-11' AND event_id % 7 = 0)"""))
+                  rows AS (SELECT "user", "timestamp" AS t, 0 AS late FROM audit
+                   UNION ALL SELECT "user", (SELECT t FROM m) - INTERVAL 5 SECOND, 0 FROM audit WHERE "timestamp" >= TIMESTAMP '2024-01-11' AND event_id % 7 = 0
+                   UNION ALL SELECT "user", (SELECT t FROM m) - INTERVAL 8 DAY, 1 FROM audit WHERE "timestamp" >= TIMESTAMP '2024-01-11' AND event_id % 7 = 1)"""), ts=("window_start",))
 
     def suppressed(sp, sf):
         from auditloom.monitor.alerts import component_key
@@ -206,10 +212,9 @@ def _ml(cat: Catalog) -> None:
     cat.add("m02_feature_columns", chosen, "SELECT count(*) AS total, 'execution_time_ms,rows_returned,rows_examined,lock_time_ms,query_length,hour_sin,hour_cos' AS numeric, 'user,client_ip,database,command_type' AS categorical FROM events")
 
     def coded(sp, sf):
-        from pyspark.ml import Pipeline
         a = audit(sp, sf)
         known = a.where("user <> 'user_7'")
-        return Pipeline(stages=M.indexers(["user", "database"])).fit(known).transform(a).select("event_id", "user_code", "database_code")
+        return coded_by(coded_by(a.select("event_id", "user", "database"), known, "user"), known, "database").select("event_id", "user_code", "database_code")
     cat.add("m03_category_codes", coded, S.sql("audit", """SELECT event_id, CAST(substr("user", 6) AS DOUBLE) AS user_code, CASE "database" WHEN 'hr_db' THEN 0.0::DOUBLE WHEN 'mysql' THEN 1.0 ELSE 2.0 END AS database_code FROM audit"""))
     cat.add("m04_standardize", lambda sp, sf: M.standardize(audit(sp, sf), M.scaling(audit(sp, sf), NUMERIC)).select("event_id", *[f"{c}_std" for c in NUMERIC]),
             S.sql("audit", "SELECT event_id, " + ", ".join(f"({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS {c}_std" for c in NUMERIC) + " FROM audit"), rnd={f"{c}_std": 4 for c in NUMERIC})

@@ -350,6 +350,15 @@ def _sinks(cat: Catalog) -> None:
             S.sql("audit", """SELECT event_id // 5000 AS run, count(*) AS rows_inserted, (epoch_us(max("timestamp")) - epoch_us(min("timestamp"))) / 1000.0::DOUBLE AS duration_ms FROM audit GROUP BY 1"""),
             rnd={"duration_ms": 3})
 
+    def observed(sp, sf):
+        """Three real writes, with what each counted itself."""
+        path = fresh(sp, "metered")
+        rows = audit(sp, sf)
+        runs = [K.metered(rows.where(F.col("event_id") % 3 == k), lambda d, k=k: d.write.parquet(f"{path}/{k}"), f"run_{k}") for k in range(3)]
+        return sp.createDataFrame([tuple(r.values()) for r in runs], K.METERED)
+    cat.add("k07_observed_writes", lambda sp, sf: observed(sp, sf).select("run", "rows_inserted", (F.col("duration_ms") > 0).alias("timed"), "error"),
+            S.sql("audit", "SELECT 'run_' || CAST(event_id % 3 AS VARCHAR) AS run, count(*) AS rows_inserted, true AS timed, CAST(NULL AS VARCHAR) AS error FROM audit GROUP BY 1"))
+
     def payload(sp, sf):
         logs = stored(sp, sf).logs.where("is_anomaly").withColumns({
             "command_type": F.lit("X"), "is_late_night": F.hour("timestamp") < 6, "error_count_5m": F.lit(0)})
