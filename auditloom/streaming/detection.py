@@ -35,9 +35,9 @@ class DetectionJob:
     corrections: an upsert by ``event_id``, the highest ``batch_id`` counts. ``result`` reads the log that way; it is what one
     batch over all rows finds.
 
-    Only a row's own clock says when it happened, and clocks may be wrong. Rows from beyond ``allowance`` after the arrival,
-    or without a time, are checked by the rules on single rows and marked ``quarantined``; they take part in no window, and
-    move no clock. Facts go once they are older than ``lateness`` behind the newest time and were not touched for
+    Only a row's own clock says when it happened, and clocks may be wrong. Rows from beyond ``allowance`` after the arrival
+    are checked by the rules on single rows and marked ``quarantined``; they take part in no window, and move no clock. Rows
+    without a readable time are no audit records (``conform``). Facts go once they are older than ``lateness`` behind the newest time and were not touched for
     ``keep_batches`` batches; a row that comes later still opens its window anew.
 
     ``settings`` is called for every batch, so changed settings apply without a restart; ``model`` gives the stored model

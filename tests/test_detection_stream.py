@@ -101,13 +101,6 @@ def test_attack_found_late_corrects_earlier_logins(spark, tmp_path):
     assert [(r.event_id, r.batch_id) for r in written(spark, f"{job.out}/corrections").collect()] == [(1, 2)]
 
 
-def test_rows_without_a_time_are_checked(spark, tmp_path):
-    job = DetectionJob(str(tmp_path / "out"), RuleConfig)
-    job(frame(spark, [(1, None, "u", "10.0.0.1", "SELECT 1 UNION SELECT 2"), (2, 0, "u", "10.0.0.2")]), 0)
-    row = job.result(spark).logs.where("event_id = 1").first()
-    assert row.quarantined and row.r11 and not row.r01 and job.result(spark).logs.count() == 2
-
-
 def test_empty_batches(spark, tmp_path):
     job = DetectionJob(str(tmp_path / "out"), RuleConfig)
     for k in range(3):
