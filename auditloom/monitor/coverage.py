@@ -69,6 +69,7 @@ def events_by_component(events: DataFrame) -> DataFrame:
 
 def threat_timeline(events: DataFrame, corr: DataFrame) -> DataFrame:
     """High-risk events and correlations in time order."""
+    # Types and descriptions.
     e = events.where("risk_score > 0.7").select("timestamp", F.lit("high_risk_event").alias("type"),
         F.concat("event_type", F.lit(" on "), "target_component").alias("description"), F.col("risk_score").alias("score"))
     c = corr.select(F.col("bucket").alias("timestamp"), F.lit("correlation").alias("type"),
@@ -79,6 +80,7 @@ def threat_timeline(events: DataFrame, corr: DataFrame) -> DataFrame:
 
 def recommendations(status: DataFrame) -> DataFrame:
     """``status``: one row with overall_status, average_coverage, blind_spots, active_alerts, high_risk_events."""
+    # The texts of the recommendations.
     return status.withColumn("recommendations", F.array_compact(F.array(
         F.when(F.col("overall_status") != "healthy", "Investigate and resolve unhealthy monitoring components"),
         F.when(F.col("average_coverage") < 0.8, "Improve monitoring coverage - current average below 80%"),

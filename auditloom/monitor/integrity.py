@@ -54,6 +54,7 @@ def verify_trail(lines: DataFrame, columns: Sequence[str], key: str, number: str
     e = parsed.select(number, F.col("e._bad").alias("_bad"), F.col("e.integrity_hash").alias("integrity_hash"),
                       *[F.col(f"e.{c}").alias(c) for c in columns])
     no = F.col(number).cast("string")
+    # The texts of findings.
     error = (F.when(F.col("_bad").isNotNull(), F.concat(F.lit("Corrupted entry at line "), no))
              .when(F.coalesce("integrity_hash", F.lit("")) == "", F.concat(F.lit("Missing integrity hash at line "), no))
              .when(hmac_sha256(canonical_json(columns)) != F.col("integrity_hash"), F.concat(F.lit("Integrity verification failed at line "), no)))

@@ -309,6 +309,7 @@ def lock_decisions(violations: DataFrame, cfg: RuleConfig) -> DataFrame:
     count = F.col("total_violation_count").cast("string")
     return violations.where((F.col("total_violation_count") >= cfg.max_violation_threshold) | F.col("critical")).select(
         "user", "total_violation_count",
+        # The texts of lock reasons.
         F.when(F.col("critical"), F.concat(F.lit("CRITICAL VIOLATION (Zero Tolerance) - Count: "), count))
         .otherwise(F.concat(F.lit("Threshold Exceeded - Count: "), count)).alias("lock_reason"))
 
