@@ -99,15 +99,15 @@ def reconstruction_labels(df: DataFrame, cols: Sequence[str], cfg: ModelConfig =
 
 def train(buffer: DataFrame, cfg: ModelConfig = ModelConfig()) -> PipelineModel | None:
     """Boosted trees on pseudo labels; None while the buffer is too small."""
-    # The buffer is small by definition; written once, the training passes do not compute features again.
-    buffer = written(buffer)
+    # The buffer is small by definition; written once, as one part, its many short passes have one task each.
+    buffer = written(buffer.coalesce(1))
     if buffer.limit(cfg.min_train_size).count() < cfg.min_train_size:
         return None
     num, cat = feature_columns(buffer)
     coded = Pipeline(stages=indexers(cat)).fit(buffer)
     labelled = reconstruction_labels(coded.transform(buffer), [*num, *[f"{c}_code" for c in cat]], cfg)
     weighted = labelled.withColumn("_w", F.when(F.col("label") == 1.0, cfg.positive_weight).otherwise(1.0))
-    filled = written(weighted.fillna(0, subset=num))
+    filled = written(weighted.fillna(0, subset=num).coalesce(1))
     codes = [s.getOutputCol() for s in coded.stages]
     stages = [VectorAssembler(inputCols=[*num, *codes], outputCol="features", handleInvalid="keep"),
               GBTClassifier(featuresCol="features", labelCol="label", weightCol="_w", maxIter=cfg.trees, stepSize=cfg.learning_rate,

@@ -11,10 +11,13 @@ from auditloom import fixtures as X
 from auditloom.operators import detect as D
 from auditloom.operators import ml as M
 from auditloom.operators import rules as R
+from auditloom.operators.features import enrich
+from auditloom.schema import AUDIT_SCHEMA
 from auditloom.session import checkpoint_dir
 
 CFG = X.FIXTURE_CONFIG
 _written: dict[tuple[str, str], D.Detection] = {}
+_models: dict[tuple[str, str], object] = {}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,18 @@ def detection(spark: SparkSession, sf_dir: str) -> D.Detection:
                     history_profile(spark, sf_dir))
 
 
+def model(spark: SparkSession, sf_dir: str):
+    """The learnt score's model, trained once per session by a detection run of its own; None while too few rows are clean.
+
+    Training is a job beside detection, which scores with the model that is there.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _models:
+        clean = detection(spark, sf_dir).clean.select(*AUDIT_SCHEMA.names)
+        _models[key] = M.train(M.training_buffer(enrich(clean)))
+    return _models[key]
+
+
 def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
     """The detection result, learnt score included, as a written table, so read-outs do not detect again.
 
@@ -41,5 +56,6 @@ def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
         path = f"{checkpoint_dir(spark)}/detected-{uuid.uuid4().hex}"
         logs = detection(spark, sf_dir).logs.withColumn("event_date", F.to_date("timestamp"))
         logs.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(path)
-        _written[key] = M.with_scores(D.Detection(spark.read.parquet(path), CFG))
+        found, scorer = D.Detection(spark.read.parquet(path), CFG), model(spark, sf_dir)
+        _written[key] = found if scorer is None else M.with_scores(found, model=scorer)
     return _written[key]
