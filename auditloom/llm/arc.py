@@ -6,10 +6,14 @@ lengths and writes equivalent WARC records: identifiers derived from place and c
 response, resource, revisit) and SHA-256 digests. Archives are size-bounded text-writer files below the session's shared
 folder, read again with the ``binaryFile`` source; one archive is one row of a task, and nothing passes the driver.
 
+Files may be plain, one gzip member, or a member for every record; bodies are bytes of any kind and are never decoded.
+
 Defined results: a null page is an empty payload and a null or empty url is ``NO_URL`` in ARC, none in WARC; white space in urls is
 percent-encoded; dates shorter than 14 digits are completed with the start of the period; a body that ends before its
-declared length is marked truncated; anything that is no header line where one must be raises ``ValueError``. Of records
-with equal payloads of at least ``REVISIT_BYTES`` those with the smallest page_id are responses (repeated rows share it),
+declared length, or a compressed member that ends early, is marked truncated. What stands where a header line must be,
+and is none, is kept up to the next header line as a record marked bad (a ``metadata`` record in WARC), so one bad line
+costs no other record; a file that is no ARC file at all is one such record. ``arc_records`` itself raises ``ValueError``
+there unless told otherwise. Of records with equal payloads of at least ``REVISIT_BYTES`` those with the smallest page_id are responses (repeated rows share it),
 the others revisits; records without a page_id are never referred to. Extra columns are not read; an empty table gives
 no archive and no row.
 """
@@ -17,6 +21,7 @@ no archive and no row.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -31,6 +36,8 @@ from auditloom.session import checkpoint_dir
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 4 << 20
+#: Bytes that a header line may have.
+HEADER_BYTES = 1 << 16
 #: Stands in ARC header lines for a url that is not known.
 NO_URL = "http:-"
 # Field names of the two kinds of ARC header lines.
@@ -52,6 +59,7 @@ class Record:
     status: str
     body: bytes
     truncated: bool
+    bad: bool = False
 
     def split(self) -> tuple[bytes, bytes]:
         """Protocol headers (none for what is no HTTP response) and payload."""
@@ -69,51 +77,83 @@ def header_value(head: bytes, name: bytes) -> str | None:
     return None
 
 
-def arc_archive(name: str, version: int, pages: list[tuple[int | None, str | None, bytes]], date: str) -> str:
-    """Text of an ARC file with an HTTP response for every page."""
-    block = f"{version} 0 auditloom\n{V1_FIELDS if version == 1 else V2_FIELDS}\n"
+def page_number(told: str | None) -> int | None:
+    return int(told) if told and re.fullmatch("-?[0-9]{1,18}", told) else None
+
+
+def arc_archive(name: str, version: int, pages: list[tuple[int | None, str | None, bytes]], date: str) -> bytes:
+    """An ARC file with an HTTP response for every page."""
+    block = f"{version} 0 auditloom\n{V1_FIELDS if version == 1 else V2_FIELDS}\n".encode()
     parts, at = [], 0
 
-    def add(url: str, mime: str, body: str, size: int) -> None:
+    def add(url: str, mime: str, *body: bytes) -> None:
         nonlocal at
+        size = sum(map(len, body))
         extra = "" if version == 1 else f" 200 - - {at} {name}"
-        line = f"{url} 0.0.0.0 {date} {mime}{extra} {size}\n"
-        parts.append(line + body + "\n")
-        at += len(line.encode()) + size + 1
+        line = f"{url} 0.0.0.0 {date} {mime}{extra} {size}\n".encode()
+        parts.extend((line, *body, b"\n"))
+        at += len(line) + size + 1
 
-    add(f"filedesc://{name}", "text/plain", block, len(block))
+    add(f"filedesc://{name}", "text/plain", block)
     for page_id, url, payload in pages:
         head = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n"
-                + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "") + "\r\n")
-        add(quote(url, safe="%:/?#[]@!$&'()*+,;=~-._") if url else NO_URL, "text/html", head + payload.decode(), len(head) + len(payload))
-    return "".join(parts)[:-1]  # the writer ends the file with the last line end
-
+                + (f"X-Page-Id: {page_id}\r\n" if page_id is not None else "") + "\r\n").encode()
+        add(quote(url, safe="%:/?#[]@!$&'()*+,;=~-._") if url else NO_URL, "text/html", head, payload)
+    return b"".join(parts)[:-1]  # the writer ends the file with the last line end
+
+
+def header_fields(data: bytes, at: int, fields: list[str]) -> tuple[dict[str, str], int] | None:
+    """Fields of the header line at a byte and the first byte behind it; None if it is no header line."""
+    eol = data.find(b"\n", at, at + HEADER_BYTES)
+    if eol < 0:
+        return None
+    # Urls of old archives may hold spaces, the other fields do not.
+    line = data[at:eol].rstrip(b"\r").decode("utf-8", "replace").rsplit(" ", len(fields) - 1)
+    got = dict(zip(fields, line))
+    date, size = got.get("Archive-date", ""), got.get("Archive-length", "")
+    if len(line) != len(fields) or not re.fullmatch("[0-9]{4,14}", date) or not re.fullmatch("[0-9]+", size):
+        return None
+    return got, eol + 1
+
+
+def next_header(data: bytes, at: int, fields: list[str]) -> int:
+    """The next byte behind ``at`` where a header line begins, or the end."""
+    for m in re.compile(rb"\n+(?=[A-Za-z][A-Za-z0-9+.-]*:)").finditer(data, at):
+        if header_fields(data, m.end(), fields):
+            return m.end()
+    return len(data)
+
+
+def arc_records(data: bytes, name: str = "", strict: bool = True) -> Iterator[Record]:
+    """Records of an ARC file, the version block first. Not ``strict``: what is no record is one marked bad."""
+    def bad(start: int, end: int, why: str) -> Record:
+        if strict:
+            raise ValueError(f"{name}: {why} at byte {start}")
+        return Record(start, "", "", "", "", "-", data[start:end], False, True)
 
-def arc_records(data: bytes, name: str = "") -> Iterator[Record]:
-    """Records of an ARC file, the version block first."""
     at, fields = 0, None
     while at < len(data):
         if data[at:at + 1] in (b"\n", b"\r"):
             at += 1
             continue
-        eol = data.find(b"\n", at)
-        line = data[at:eol if eol >= 0 else len(data)].rstrip(b"\r").decode("utf-8", "replace").split(" ")
-        start = at
         if fields is None:
-            if not line[0].startswith("filedesc://"):
-                raise ValueError(f"{name}: no version block")
+            eol = data.find(b"\n", at, at + HEADER_BYTES)
             version = data[eol + 1:eol + 3].split(b" ")[0]
             fields = {b"1": V1_FIELDS, b"2": V2_FIELDS}.get(version, "").split()
-            if not fields:
-                raise ValueError(f"{name}: unknown version {version!r}")
-        if len(line) != len(fields) or not line[-1].isdigit():
-            raise ValueError(f"{name}: no header line at byte {at}")
-        got = dict(zip(fields, line))
-        at = eol + 1
+            if eol < 0 or not data.startswith(b"filedesc://", at) or not fields:
+                yield bad(at, len(data), "no version block of a known version")
+                return
+        found = header_fields(data, at, fields)
+        if found is None:
+            end = next_header(data, at, fields)
+            yield bad(at, end, "no header line")
+            at = end
+            continue
+        got, body = found
         size = int(got["Archive-length"])
-        yield Record(start, got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], got.get("Result-code", "-"),
-                     data[at:at + size], at + size > len(data))
-        at += size
+        yield Record(at, got["URL"], got["IP-address"], got["Archive-date"], got["Content-type"], got.get("Result-code", "-"),
+                     data[body:body + size], body + size > len(data))
+        at = body + size
 
 
 def iso_date(date: str) -> str:
@@ -135,8 +175,11 @@ def identifier(*parts: object) -> str:
 def warc_archive(name: str, data: bytes, revisits: dict[int, int]) -> bytes:
     """WARC file of an ARC file; ``revisits``: offset of a record to the page_id that it repeats."""
     out = []
-    for r in arc_records(data, name):
+    for r in arc_records(data, name, strict=False):
         key, date = identifier(r.url, r.date, name, r.offset), iso_date(r.date)
+        if r.bad:  # the archive tells no date for it
+            out.append(warc_record("metadata", key, iso_date("1970"), r.body, "application/octet-stream", [("X-Bad-Header-Line", str(r.offset))]))
+            continue
         more = [("WARC-Truncated", "length")] if r.truncated else []
         if r.url.startswith("filedesc://"):
             out.append(warc_record("warcinfo", key, date, r.body, "application/warc-fields", [("WARC-Filename", r.url[11:])]))
@@ -171,12 +214,23 @@ def warc_records(data: bytes, name: str = "") -> Iterator[tuple[dict[str, str],
 
 
 def plain(content: bytes) -> bytes:
-    return zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content
+    """An archive without its compression: every gzip member, as many as there are; what follows them stays as it is."""
+    parts = []
+    while content[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(31)
+        try:
+            parts.append(member.decompress(content))
+        except zlib.error:
+            break
+        content = member.unused_data
+        if not member.eof:  # the file ends inside a member: what there is counts
+            break
+    return b"".join([*parts, content])
 
 
 def saved(archives: DataFrame, path: str) -> None:
-    """One file per row, compressed; the text writer adds the last line end."""
-    archives.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
+    """One file per row (``value`` binary), compressed; the text writer adds the last line end and does not look at the bytes."""
+    archives.select(F.col("value").cast("string")).write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 1).text(path)
 
 
 def opened(spark: SparkSession, path: str) -> DataFrame:
@@ -192,7 +246,7 @@ def write_arc(pages: DataFrame, path: str, date: str = "20000101000000") -> None
 
         def archive() -> pa.RecordBatch:
             name = f"{identifier(made, *(p[0] for p in own[:1]), size)}.arc"
-            return pa.RecordBatch.from_arrays([pa.array([arc_archive(name, 1 + made % 2, own, date)], pa.large_string())], ["value"])
+            return pa.RecordBatch.from_arrays([pa.array([arc_archive(name, 1 + made % 2, own, date)], pa.large_binary())], ["value"])
 
         for b in batches:
             for page_id, url, html in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
@@ -205,26 +259,30 @@ def write_arc(pages: DataFrame, path: str, date: str = "20000101000000") -> None
         if own:
             yield archive()
 
-    saved(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "value string"), path)
+    saved(pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(run, "value binary"), path)
 
 
 def read_arc(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
-    """archive, offset, url, ip, date, mime, status, page_id, payload_bytes, payload_digest and payload of every record."""
+    """archive, offset, url, ip, date, mime, status, page_id, payload_bytes, payload_digest, bad and payload of every
+    record. A bad one has its bytes as payload and nulls elsewhere."""
     schema = ("archive string, offset long, url string, ip string, date string, mime string, status string, page_id long, "
-              "payload_bytes long, payload_digest string" + (", payload binary" if with_payload else ""))
+              "payload_bytes long, payload_digest string, bad boolean" + (", payload binary" if with_payload else ""))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, content in zip(b.column("path").to_pylist(), b.column("content")):
                 rows = []
-                for r in arc_records(plain(content.as_py()), name):
+                for r in arc_records(plain(content.as_py()), name, strict=False):
+                    if r.bad:
+                        rows.append((name, r.offset, *[None] * 6, len(r.body), hashlib.sha256(r.body).hexdigest(), True, *([r.body] if with_payload else [])))
+                        continue
                     if r.url.startswith("filedesc://"):
                         continue
                     head, payload = r.split()
                     page = header_value(head, b"x-page-id")
-                    rows.append((name, r.offset, r.url, r.ip, iso_date(r.date), r.mime, r.status, int(page) if page else None, len(payload),
-                                 hashlib.sha256(payload).hexdigest(), *([payload] if with_payload else [])))
-                kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.int64(), pa.string(), pa.large_binary()]
+                    rows.append((name, r.offset, r.url, r.ip, iso_date(r.date), r.mime, r.status, page_number(page), len(payload),
+                                 hashlib.sha256(payload).hexdigest(), False, *([payload] if with_payload else [])))
+                kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.large_binary()]
                 names = [f.strip().split(" ")[0] for f in schema.split(",")]
                 cols = list(zip(*rows)) if rows else [[] for _ in names]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names)
@@ -237,7 +295,7 @@ def revisits(records: DataFrame) -> DataFrame:
 
     Only digests that occur twice are joined back; a list holds at most the records of one bounded archive.
     """
-    large = records.where(F.col("payload_bytes") >= REVISIT_BYTES).select("archive", "offset", "page_id", "payload_digest")
+    large = records.where(~F.col("bad") & (F.col("payload_bytes") >= REVISIT_BYTES)).select("archive", "offset", "page_id", "payload_digest")
     first = large.groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null")
     again = large.join(first, "payload_digest").where("page_id is null or page_id > first_id")
     return again.groupBy("archive").agg(F.collect_list(F.struct("offset", "first_id")).alias("repeats"))
@@ -252,11 +310,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str) -> None:
             for name, content, again in zip(b.column("path").to_pylist(), b.column("content"), b.column("repeats").to_pylist()):
                 made = warc_archive(name.rsplit("/", 1)[-1], plain(content.as_py()), {r["offset"]: r["first_id"] for r in again or []})
                 if made:  # a task without pages leaves an empty file
-                    yield pa.RecordBatch.from_arrays([pa.array([made.decode()[:-1]], pa.large_string())], ["value"])
+                    yield pa.RecordBatch.from_arrays([pa.array([made[:-1]], pa.large_binary())], ["value"])
 
     archives = opened(spark, arc_path)
     joined = archives.join(decided, archives["path"] == decided["archive"], "left").select("path", "content", "repeats")
-    saved(joined.mapInArrow(run, "value string"), warc_path)
+    saved(joined.mapInArrow(run, "value binary"), warc_path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -279,9 +337,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                         if digest != told:
                             raise ValueError(f"{name}: the payload of {head['warc-record-id']} has another digest")
                     else:
-                        size, digest = int(header_value(top + sep, b"content-length") or 0), told
+                        told_size = header_value(top + sep, b"content-length") or ""
+                        size, digest = int(told_size) if told_size.isdigit() else 0, told
                     refers = head.get("x-refers-to-page-id")
-                    rows.append((int(page) if page else None, size, digest, head["warc-type"], int(refers) if refers else None,
+                    rows.append((page_number(page), size, digest, head["warc-type"], int(refers) if refers else None,
                                  head["warc-record-id"], head.get("warc-target-uri"), head["warc-date"]))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 names = [f.strip().split(" ")[0] for f in schema.split(",")]
