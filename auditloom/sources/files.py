@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditloom.functions.cut import written
 from auditloom.functions.once import keep_where
 from auditloom.schema import AUDIT_SCHEMA, conform
 
@@ -39,56 +35,10 @@ def pg_statements(raw: DataFrame) -> DataFrame:
 
 
 def stream_text(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """New files as they appear, for logs that are closed when they arrive. ``TextTail`` follows files that grow."""
+    """New files as they appear, for logs that are closed when they arrive. ``tail.stream_lines`` follows files that grow."""
     return spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
 
 
-@dataclass
-class TextTail:
-    """Lines that were added to text files since the last poll, found by file size.
-
-    A file that grew is read from where the last poll ended; one that is shorter than what was read (rotated or cut) is
-    read from its start. A last line without a line end waits for the rest. Each poll owns the state it writes, so a
-    repeated poll reads the same lines again as long as the files have only grown. A file that was replaced by one at
-    least as long looks as if it had grown.
-    """
-
-    path: str
-    state: str
-
-    def poll(self, spark: SparkSession, poll_id: int) -> DataFrame:
-        """file, block, pos (byte offset of the line), value of the new lines."""
-        known = spark.createDataFrame([], "file string, done long") if poll_id == 0 else spark.read.parquet(f"{self.state}/poll={poll_id - 1}")
-        # Only names and lengths are read: the content is not among the columns.
-        files = spark.read.format("binaryFile").load(self.path).select(_plain_path(F.col("path")).alias("file"), "length")
-        start = files.join(known, "file", "left").select(
-            "file", "length", F.when(F.col("done").isNull() | (F.col("length") < F.col("done")), 0).otherwise(F.col("done")).alias("done"))
-        changed = [r.file for r in start.where("length > done").select("file").collect()]
-        if not changed:
-            start.select("file", "done").write.mode("overwrite").parquet(f"{self.state}/poll={poll_id}")
-            return spark.createDataFrame([], "file string, block long, pos long, value string")
-        raw = spark.read.option("lineSep", "\n").text(changed).select(
-            "value", _plain_path(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_block_start").alias("block"),
-            F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("at"))
-        # A line belongs to the split that it starts in, so the lengths in the splits before give each split's first offset.
-        lines = raw.withColumn("bytes", F.octet_length("value").cast("long") + 1)
-        order = W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, -1)
-        base = lines.groupBy("file", "block").agg(F.sum("bytes").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(
-            W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        placed = (lines.withColumn("inside", F.coalesce(F.sum("bytes").over(order), F.lit(0)))
-                  .join(base.select("file", "block", "base"), ["file", "block"]).withColumn("pos", F.col("base") + F.col("inside")))
-        whole = written(placed.where(F.col("pos") + F.col("bytes") <= F.col("size")).join(start.select("file", "done"), "file")
-                        .where(F.col("pos") >= F.col("done")).select("file", "block", "pos", "bytes", F.regexp_replace("value", "\r$", "").alias("value")))
-        ends = whole.groupBy("file").agg(F.max(F.col("pos") + F.col("bytes")).alias("end"))
-        start.join(ends, "file", "left").select("file", F.coalesce("end", "done").alias("done")).write.mode("overwrite").parquet(f"{self.state}/poll={poll_id}")
-        return whole.select("file", "block", "pos", "value")
-
-
-def _plain_path(path: Column) -> Column:
-    """One spelling of a file's place, whichever reader names it."""
-    return F.regexp_replace(path, "^([a-z0-9]+):/+(?=[^/])", "$1:/")
-
-
 def stream_staging(spark: SparkSession, path: str, archive: str | None = None, max_files: int = 1000,
                    schema: T.StructType = AUDIT_SCHEMA) -> DataFrame:
     """Staging Parquet as a stream; processed files move to ``archive``."""

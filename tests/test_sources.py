@@ -167,7 +167,7 @@ def test_cursor_loses_no_ties(spark):
 
 
 def test_text_files_that_grow_rotate_and_shrink(spark, tmp_path):
-    from auditloom.sources.files import TextTail
+    from auditloom.sources.tail import TextTail
     logs = tmp_path / "logs"
     logs.mkdir()
     tail = TextTail(str(logs), str(tmp_path / "state"))
