@@ -19,7 +19,9 @@ from auditloom.plans.inputs import CFG, audit, stored
 from auditloom.plans.q_monitor import INFRA, MATCHES, SRC, chain_sql, infra
 from auditloom.plans.q_status import THREATS, threats
 from auditloom.plans.q_tables import STATEMENTS, fresh, ingested, log_lines
+from auditloom.sinks.statements import StatementStore
 from auditloom.sources.files import stream_text
+from auditloom.sources.tail import stream_lines
 from auditloom.streaming import habits as H
 from auditloom.streaming import jobs as J
 from auditloom.streaming.detection import DetectionJob
@@ -126,6 +128,38 @@ def _streams(cat: Catalog) -> None:
             stream_text(sp, path).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(
                 availableNow=True).start().awaitTermination()
         return sp.read.parquet(out)
+    def stored_once(sp, sf):
+        """A feed that delivers a third of its statements again, each round into the store; what it holds at the end."""
+        store, stamped = StatementStore(fresh(sp, "statements")), ingested(sp, sf).select("event_id", "event_ts", "fingerprint")
+        drain(sp, stamped.unionByName(stamped.where("event_id % 3 = 0")), "event_ts", lambda batch, _: store.insert(batch), "insert")
+        drain(sp, stamped.where("event_id % 2 = 0").withColumn("event_id", -F.col("event_id")), "event_ts", lambda batch, _: store.insert(batch), "again")
+        return store.rows(sp).select("event_id", "fingerprint")
+    cat.add("x06_insert_ignore", stored_once, S.sql("audit", "SELECT event_id, fingerprint FROM st", STATEMENTS))
+
+    def grown_files(sp, sf):
+        """Eight log files that grow in four rounds and are renamed before the third; every line, with its place, once."""
+        into, out, ckpt = fresh(sp, "grown-in"), fresh(sp, "grown-out"), fresh(sp, "grown-ckpt")
+        jvm = sp._jvm
+        at = jvm.org.apache.hadoop.fs.Path
+        fs = at(into).getFileSystem(sp._jsc.hadoopConfiguration())
+        fs.mkdirs(at(into))
+        rows = audit(sp, sf).select("event_id", F.concat_ws(" ", F.col("event_id").cast("string"), F.translate("query", "\r\n", "  ")).alias("value"),
+                                    (F.col("event_id") % 8).alias("f"), (F.floor(F.col("event_id") / 8) % 4).alias("part"))
+        for k, have in enumerate(([0], [0, 1], [2], [2, 3])):
+            made = fresh(sp, "grown-made")
+            rows.where(F.col("part").isin(have)).repartition(8, "f").sortWithinPartitions("f", "part", "event_id").select("value", "f").write.partitionBy("f").text(made)
+            for f in range(8):
+                live = at(f"{into}/{f}.log")
+                if k == 2 and fs.exists(live):
+                    fs.rename(live, at(f"{into}/{f}.log.1"))
+                for part in fs.globStatus(at(f"{made}/f={f}/part-*")) or []:
+                    fs.delete(live, False)
+                    fs.rename(part.getPath(), live)
+            stream_lines(sp, into).writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt).trigger(availableNow=True).start().awaitTermination()
+        return sp.read.parquet(out).select(F.regexp_extract("file", r"(\d+\.log)", 1).alias("file"), "pos", "value")
+    cat.add("s13_growing_files", grown_files, S.sql("audit", """SELECT file, CAST(coalesce(sum(strlen(value) + 1) OVER (PARTITION BY file, part // 2 ORDER BY part, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS pos, value FROM (SELECT event_id, CAST(event_id % 8 AS VARCHAR) || '.log' AS file, event_id // 8 % 4 AS part,
+             CAST(event_id AS VARCHAR) || ' ' || translate(query, chr(13) || chr(10), '  ') AS value FROM audit)"""))
     cat.add("s13_incremental_files", discovered, S.sql("audit", "SELECT CAST(event_id AS VARCHAR) || ' ' || query AS value FROM audit"))
 
     def late(sp, sf):
