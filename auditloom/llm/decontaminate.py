@@ -7,7 +7,9 @@ the blocks that remain are scored exactly, and all at or above the threshold are
 question and of the answer (the last sentence) are looked for in the passage.
 
 The index holds at most ``SHARD_ITEMS`` items and ``SHARD_BYTES`` of text at a time and is broadcast; a larger benchmark
-is dealt out over several shards, each of which is searched with all texts. Document frequencies are those of all items.
+is dealt out over several shards, each of which is searched with all texts. Document frequencies, the mean length and the width of
+passages are those of all items, told by one word rule, so results do not depend on the number of shards. Repeated items
+are one entry with a count. Bounds are kept for the blocks in which a word occurs, not for all blocks.
 
 Defined results: items and texts without words (null, empty) match nothing; repeated items or documents give repeated
 findings; among passages of one text the best, then the first, is reported; columns other than doc_id, text, item_id are
@@ -57,12 +59,20 @@ def runs(words: list) -> set[tuple]:
     return {tuple(words[k:k + RUN]) for k in range(max(1, len(words) - RUN + 1))} if words else set()
 
 
+def spans(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All whole numbers of the spans, and the span that each belongs to."""
+    n = stop - start
+    owner = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(owner)) - (np.cumsum(n) - n)[owner] + start[owner], owner
+
+
 @dataclass
 class Index:
     """Inverted index of one shard. Postings of a (word, block) pair lie together."""
 
     vocab: dict[str, int]
     item_ids: list[int]
+    copies: list[int]
     question: list[set[tuple]]
     answer: list[set[tuple]]
     every: list[set[tuple]]
@@ -70,13 +80,16 @@ class Index:
     per_block: int
     post_item: np.ndarray
     post_impact: np.ndarray
-    post_at: np.ndarray      # [word * blocks + block] -> first posting; one more place at the end
-    block_max: np.ndarray    # [word, block]; the last row stands for unknown words
+    pair_at: np.ndarray      # [word] -> first (word, block) pair; unknown words, the last row, have none
+    pair_block: np.ndarray
+    pair_max: np.ndarray
+    pair_post: np.ndarray    # [pair] -> first posting; one more place at the end
+    blocks: int
     word_max: np.ndarray
 
     @classmethod
-    def build(cls, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean_length: float, width: int) -> Index:
-        words = [words_of(t) for _, t in items]
+    def build(cls, items: list[tuple[int, str, int]], df: dict[str, int], n_items: int, mean_length: float, width: int) -> Index:
+        words = [words_of(t) for _, t, _ in items]
         vocab = {w: k for k, w in enumerate(sorted({w for own in words for w in own}))}
         per_block = max(16, -(-len(items) // 64))
         blocks = max(1, -(-len(items) // per_block))
@@ -89,14 +102,16 @@ class Index:
         rows.sort()
         key = np.array([r[0] for r in rows], np.int64)
         impact = np.array([r[2] for r in rows], np.float32)
-        top = np.zeros((len(vocab) + 1) * blocks, np.float32)
-        np.maximum.at(top, key, impact)
-        top = top.reshape(-1, blocks)
-        qa = [parts(t) for _, t in items]
+        pair, first = np.unique(key, return_index=True)
+        pair_max = np.maximum.reduceat(impact, first) if len(key) else impact
+        pair_at = np.searchsorted(pair, np.r_[np.arange(len(vocab) + 1) * blocks, len(vocab) * blocks])
+        word_max = np.zeros(len(vocab) + 1, np.float32)
+        np.maximum.at(word_max, pair // blocks, pair_max)
+        qa = [parts(t) for _, t, _ in items]
         coded = lambda own: [vocab[w] for w in own]
-        return cls(vocab, [i for i, _ in items], [runs(coded(q)) for q, _ in qa], [runs(coded(a)) for _, a in qa],
+        return cls(vocab, [i for i, _, _ in items], [n for _, _, n in items], [runs(coded(q)) for q, _ in qa], [runs(coded(a)) for _, a in qa],
                    [runs(coded(own)) for own in words], width, per_block, np.array([r[1] for r in rows], np.int64), impact,
-                   np.searchsorted(key, np.arange((len(vocab) + 1) * blocks + 1)), top, top.max(axis=1))
+                   pair_at, pair % blocks, pair_max, np.r_[first, len(key)], blocks, word_max)
 
     def search(self, rows: list[str]) -> list[list[tuple[int, int, float, float, float]]]:
         """Per text: item, first word of the passage, score, shares of the question's and of the answer's runs."""
@@ -123,19 +138,18 @@ class Index:
         key = np.sort(key[word[place] != none])
         key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
         passage, term = key // (none + 1), key % (none + 1)
-        blocks = self.block_max.shape[1]
-        edge = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]]) if len(passage) else np.zeros(0, np.int64)
-        if not len(edge):
+        if not len(passage):
             return [[] for _ in rows]
-        top = np.add.reduceat(self.block_max[term], edge, axis=0)
-        row, block = np.nonzero(top >= LEAST_SCORE - 1e-5)
-        stop = np.r_[edge[1:], len(term)]
-        n_terms = (stop - edge)[row]
-        pick = np.arange(n_terms.sum()) - np.repeat(np.cumsum(n_terms) - n_terms, n_terms) + np.repeat(edge[row], n_terms)
-        slot = term[pick] * blocks + np.repeat(block, n_terms)
-        first, n_post = self.post_at[slot], self.post_at[slot + 1] - self.post_at[slot]
-        post = np.arange(n_post.sum()) - np.repeat(np.cumsum(n_post) - n_post, n_post) + np.repeat(first, n_post)
-        pair = np.repeat(np.repeat(np.arange(len(row)), n_terms), n_post)
+        edge = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
+        nth = np.cumsum(np.r_[0, passage[1:] != passage[:-1]])
+        pairs, owner = spans(self.pair_at[term], self.pair_at[term + 1])
+        cell = nth[owner] * self.blocks + self.pair_block[pairs]
+        cells, cell = np.unique(cell, return_inverse=True)
+        open_cells = np.bincount(cell, self.pair_max[pairs], len(cells)) >= LEAST_SCORE - 1e-5
+        pairs, cell = pairs[open_cells[cell]], (np.cumsum(open_cells) - 1)[cell[open_cells[cell]]]
+        row, block = np.divmod(cells[open_cells], self.blocks)
+        post, owner = spans(self.pair_post[pairs], self.pair_post[pairs + 1])
+        pair = cell[owner]
         total = np.bincount(pair * self.per_block + self.post_item[post] % self.per_block, self.post_impact[post], len(row) * self.per_block)
         for x in np.flatnonzero(total >= LEAST_SCORE - 1e-6).tolist():
             k = x // self.per_block
@@ -151,45 +165,57 @@ class Index:
             whole = len(self.every[item] & seen) / len(self.every[item])
             if min(q, a) >= LEAST_OVERLAP or (whole >= LEAST_OVERLAP and len(next(iter(self.every[item]))) == RUN):
                 found[d][item] = (self.item_ids[item], int(begin[p] - at[d]), s, q, a)
-        return [sorted(f.values(), key=lambda r: (r[0] is None, r[0] or 0, r[1])) for f in found]
+        return [sorted((r for item, r in f.items() for _ in range(self.copies[item])), key=lambda r: (r[0] is None, r[0] or 0, r[1])) for f in found]
 
 
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
     """The index of each shard, one after the other."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    word = items.select(F.expr(r"regexp_extract_all(lower(text), '\\w+', 0)").alias("w"), F.octet_length("text").alias("b"))
-    total = word.agg(F.count("*").alias("n"), F.sum("b").alias("b"), F.sum(F.size("w")).alias("w")).first()
-    if not total["n"]:
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(
+        "text is not null").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    # Sums over items with words. Copies count as items, but are kept once.
+    total = measures(items).where("words > 0").agg(
+        F.count(F.lit(1)).alias("kept"), F.sum("copies").alias("n"), F.sum("bytes").alias("b"),
+        F.sum(F.col("words") * F.col("copies")).alias("w"), F.max("words").alias("longest")).first()
+    if not total["kept"]:
         return
-    shards = max(1, -(-total["n"] // SHARD_ITEMS), -(-total["b"] // SHARD_BYTES))
+    shards = max(1, -(-total["kept"] // SHARD_ITEMS), -(-total["b"] // SHARD_BYTES))
     dealt = items.withColumn("_shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    counts: dict[str, int] | None = None
     for k in range(shards):
-        rows = [(r["item_id"], r["text"]) for r in dealt.where(F.col("_shard") == k).orderBy("item_id", "text").collect() if words_of(r["text"])]
+        rows = [(r["item_id"], r["text"], r["copies"]) for r in dealt.where(F.col("_shard") == k).orderBy("item_id", "text").collect() if words_of(r["text"])]
         if not rows:
             continue
         if shards == 1:
-            counts = Counter(w for _, t in rows for w in set(words_of(t)))
-            mean, n = sum(len(words_of(t)) for _, t in rows) / len(rows), len(rows)
+            counts = Counter()
+            for _, t, n in rows:
+                counts.update(dict.fromkeys(words_of(t), n))
         else:
-            mean, n = total["w"] / total["n"], total["n"]
             counts = frequencies(items, rows)
-        longest = max(len(words_of(t)) for _, t in rows)
-        yield Index.build(rows, counts, n, mean, max(32, 2 * longest))
+        yield Index.build(rows, counts, total["n"], total["w"] / total["n"], max(32, 2 * total["longest"]))
+
+
+def measures(items: DataFrame) -> DataFrame:
+    """copies, bytes and words of every item."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = texts(b.column("text"))
+            yield pa.RecordBatch.from_arrays([b.column("copies"), pa.array([len(t.encode()) for t in own], pa.int64()),
+                                              pa.array([len(words_of(t)) for t in own], pa.int64())], ["copies", "bytes", "words"])
+
+    return items.select("text", "copies").mapInArrow(run, "copies long, bytes long, words long")
 
 
-def frequencies(items: DataFrame, rows: list[tuple[int, str]]) -> dict[str, int]:
+def frequencies(items: DataFrame, rows: list[tuple[int, str, int]]) -> dict[str, int]:
     """In how many of all items each word of these rows occurs."""
-    wanted = sorted({w for _, t in rows for w in words_of(t)})
+    wanted = sorted({w for _, t, _ in rows for w in words_of(t)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = set(wanted), Counter()
         for b in batches:
-            for t in texts(b.column("text")):
-                seen.update(own.intersection(words_of(t)))
+            for t, n in zip(texts(b.column("text")), b.column("copies").to_pylist()):
+                seen.update(dict.fromkeys(own.intersection(words_of(t)), n))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-    got = items.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    got = items.select("text", "copies").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     return dict(zip(got["word"].to_pylist(), got["n"].to_pylist()))
 
 

@@ -233,6 +233,22 @@ def test_decontamination_shards(spark, monkeypatch, sf_dir):
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()} == whole
 
 
+def test_decontamination_does_not_depend_on_shards(spark, monkeypatch):
+    """One very long and many short items, Cyrillic ones, items without words and repeated rows, in one shard and in seven."""
+    said = [f"\u0427\u0442\u043e \u0442\u0430\u043a\u043e\u0435 {chr(0x430 + k)}{chr(0x440 + k % 9)} \u043d\u0430 \u0441\u0430\u043c\u043e\u043c \u0434\u0435\u043b\u0435 \u0442\u0443\u0442? \u042d\u0442\u043e \u043e\u0442\u0432\u0435\u0442 {chr(0x430 + k)} \u043d\u0430 \u0432\u043e\u043f\u0440\u043e\u0441 {chr(0x450 - k)}" for k in range(20)]
+    rows = [*enumerate(said), (50, " ".join(f"long{i}" for i in range(200))), (51, "?!"), *[(60, "One item that is there very many times. Yes it is so.")] * 40]
+    items = spark.createDataFrame(rows, "item_id long, text string")
+    filler = " ".join(f"w{i}" for i in range(90))
+    docs = frame(spark, [*((k, f"{filler} {t} {filler}") for k, t in enumerate(said)), (70, filler), (71, f"{filler} one item that is there very many times. yes it is so {filler}")])
+    found = []
+    for most in (4000, 3):
+        monkeypatch.setattr(decontaminate, "SHARD_ITEMS", most)
+        found.append(sorted((r.doc_id, r.item_id, r.passage, round(r.score, 5)) for r in decontaminate.contaminated(docs, items).collect()))
+    assert found[0] == found[1] and {r[:2] for r in found[0]} == {*((k, k) for k in range(20)), (71, 60)}
+    assert sum(r[0] == 71 for r in found[0]) == 40
+    assert max(len(i.item_ids) for i in decontaminate.indexes(items)) < 15
+
+
 def test_decontamination_odd_items(spark):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "Two words"), (3, "Two words"), (4, "What is the name of it? A very odd one.")], "item_id long, text string")
     docs = frame(spark, [(1, None), (2, ""), (3, "here are two words"), (4, "so what is the name of it? a very odd one indeed"), (4, "what is the name")])
