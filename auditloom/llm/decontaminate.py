@@ -144,10 +144,10 @@ class Index:
         nth = np.cumsum(np.r_[0, passage[1:] != passage[:-1]])
         pairs, owner = spans(self.pair_at[term], self.pair_at[term + 1])
         cell = nth[owner] * self.blocks + self.pair_block[pairs]
-        cells, cell = np.unique(cell, return_inverse=True)
-        open_cells = np.bincount(cell, self.pair_max[pairs], len(cells)) >= LEAST_SCORE - 1e-5
-        pairs, cell = pairs[open_cells[cell]], (np.cumsum(open_cells) - 1)[cell[open_cells[cell]]]
-        row, block = np.divmod(cells[open_cells], self.blocks)
+        opened = np.bincount(cell, self.pair_max[pairs], (nth[-1] + 1) * self.blocks) >= LEAST_SCORE - 1e-5
+        rank = np.cumsum(opened) - 1
+        row, block = np.divmod(np.flatnonzero(opened), self.blocks)
+        pairs, cell = pairs[opened[cell]], rank[cell[opened[cell]]]
         post, owner = spans(self.pair_post[pairs], self.pair_post[pairs + 1])
         pair = cell[owner]
         total = np.bincount(pair * self.per_block + self.post_item[post] % self.per_block, self.post_impact[post], len(row) * self.per_block)
