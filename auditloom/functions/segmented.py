@@ -46,6 +46,20 @@ def lag_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: S
     return out
 
 
+def recent_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], slot: Column,
+                depth: int, name: str) -> DataFrame:
+    """The values of the ``depth`` rows before each row of the key, newest first, as one list of structs, exact across
+    slots. One window and one join serve all depths."""
+    keys = list(keys)
+    row = F.struct(*[F.col(v) for v in values])
+    base = df.withColumn("_slot", slot)
+    w = W.partitionBy(*keys, "_slot").orderBy(*order).rowsBetween(-depth, -1)
+    inner = base.withColumn("_near", F.collect_list(row).over(w))
+    joined = inner.join(tail_rows(base, keys, order, values, depth), [*keys, "_slot"], "left")
+    carried = F.coalesce("_carry", F.expr("slice(_near, 1, 0)"))
+    return joined.select(*df.columns, F.slice(F.concat(F.reverse("_near"), carried), 1, depth).alias(name))
+
+
 def tail_rows(base: DataFrame, keys: Sequence[str], order: Sequence[str], values: Sequence[str], depth: int) -> DataFrame:
     """For every (key, slot): the newest ``depth`` rows of all earlier slots, newest first, as ``_carry``."""
     keys = list(keys)

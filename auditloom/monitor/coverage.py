@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from auditloom.functions.onerow import side_by_side
-from auditloom.functions.segmented import HOUR_US, lag_rows, time_slot
+from auditloom.functions.segmented import HOUR_US, lag_rows, recent_rows, time_slot
 from auditloom.monitor import library as L
 
 
@@ -175,13 +175,11 @@ def system_health(health: DataFrame, events: DataFrame) -> DataFrame:
 def health_checks(checks: DataFrame, keys: Sequence[str] = ("component",), slot_us: int = HOUR_US, last: int = 5) -> DataFrame:
     """Threats from the latest ``last`` checks up to each check (timestamp, is_healthy, response_time_ms, check_id)."""
     keys = list(keys)
-    out = checks.withColumns({"_ok": F.col("is_healthy").cast("int"), "_n": F.col("is_healthy").cast("int"), "_t": F.col("response_time_ms")})
-    order = ["timestamp", "check_id"]
-    # The four earlier checks come from fixed-depth lags, which split by time slot.
-    for i in range(1, last):
-        out = lag_rows(out, keys, order, ["_ok", "_t"], time_slot("timestamp", slot_us), prefix=f"_p{i}", depth=i)
-    oks = sum((F.col(f"_p{i}_ok") for i in range(1, last)), F.col("_ok"))
-    mean = sum((F.col(f"_p{i}_t") for i in range(1, last)), F.col("_t")) / F.lit(float(last))
+    slim = checks.select(*keys, "timestamp", "check_id", F.col("is_healthy").cast("int").alias("_ok"), F.col("response_time_ms").alias("_t"))
+    # The earlier checks come as one list per row, which splits by time slot; a null among them leaves the row undecided.
+    out = recent_rows(slim, keys, ["timestamp", "check_id"], ["_ok", "_t"], time_slot("timestamp", slot_us), last - 1, "_before")
+    oks = sum((F.get("_before", F.lit(i))["_ok"] for i in range(last - 1)), F.col("_ok"))
+    mean = sum((F.get("_before", F.lit(i))["_t"] for i in range(last - 1)), F.col("_t")) / F.lit(float(last))
     return out.withColumns({"healthy_count": oks, "avg_response_ms": mean}).where("healthy_count is not null").select(
         *keys, "timestamp", "check_id", "healthy_count", "avg_response_ms",
         F.when(F.col("healthy_count") <= 1, "HIGH").alias("compromise"), F.when(F.col("avg_response_ms") > 5000, "MEDIUM").alias("degradation"))

@@ -207,9 +207,13 @@ def health(sp, sf):
 HEALTH = """health AS (SELECT 'c' || CAST(event_id % 12 AS VARCHAR) AS component, arg_max(k % 4 <> 0, event_id) AS healthy, CASE WHEN min(event_id % 12) < 7 THEN 'monitor' ELSE 'detector' END AS kind FROM audit GROUP BY 1)"""
 
 
+def all_interactions(sp, sf):
+    return infra(sp, sf).select(F.lit("database").alias("source"), F.col("target_component").alias("target"), F.col("event_type").alias("type"), "timestamp")
+
+
 def interactions(sp, sf):
-    return infra(sp, sf).where("event_type <> 'query_executed'").select(F.lit("database").alias("source"), F.col("target_component").alias("target"), F.col("event_type").alias("type"), "timestamp").where(
-        "target not in ('monitoring_service', 'performance_schema')")
+    """What a watcher of some components sees: two components and one kind are missing, which is what blind spots tell."""
+    return all_interactions(sp, sf).where("type <> 'query_executed' AND target not in ('monitoring_service', 'performance_schema')")
 
 
 def runs(sp, sf):
@@ -289,8 +293,8 @@ def _coverage(cat: Catalog) -> None:
     cat.add("c09_overall_coverage", lambda sp, sf: C.overall_coverage(cov(sp, sf)), S.sql("audit", "SELECT round(avg(coverage), 9) AS overall_coverage FROM cov", INFRA, COVERAGE), rnd={"overall_coverage": 6})
     cat.add("c10_blind_spots", lambda sp, sf: C.blind_spots(cov(sp, sf), interactions(sp, sf), C.analysis_gaps(runs(sp, sf))),
             S.sql("audit", "SELECT * FROM bs", INFRA, THREATS, HEALTH, COVERAGE, blind), rnd={"gap_percentage": 4})
-    cat.add("c11_interaction_patterns", lambda sp, sf: C.interaction_patterns(interactions(sp, sf)),
-            S.sql("audit", "SELECT source, target, type, count(*) / 3600.0::DOUBLE AS frequency, list_sort(list(DISTINCT strftime(\"timestamp\", '%H'))) AS hours FROM inter GROUP BY 1, 2, 3", INFRA, COVERAGE), arr=("hours",), rnd={"frequency": 6})
+    cat.add("c11_interaction_patterns", lambda sp, sf: C.interaction_patterns(all_interactions(sp, sf)),
+            S.sql("audit", "SELECT source, target, type, count(*) / 3600.0::DOUBLE AS frequency, list_sort(list(DISTINCT strftime(\"timestamp\", '%H'))) AS hours FROM (SELECT 'database' AS source, target_component AS target, event_type AS type, \"timestamp\" FROM infra) GROUP BY 1, 2, 3", INFRA), arr=("hours",), rnd={"frequency": 6})
     cat.add("c12_system_health", lambda sp, sf: C.system_health(health(sp, sf), infra(sp, sf)),
             S.sql("audit", 'SELECT monitor_ratio, detector_ratio, overall_status, (SELECT max("timestamp") FROM infra) AS last_event_time FROM h2', INFRA, THREATS, HEALTH, COVERAGE, blind),
             ts=("last_event_time",), rnd={"monitor_ratio": 6, "detector_ratio": 6})
@@ -345,8 +349,8 @@ def _integrity(cat: Catalog) -> None:
     cat.add("i03_checksum_changes", sums, f"WITH {chg} SELECT path, expected, actual, change FROM chg")
     cat.add("i04_violations", lambda sp, sf: I.violations(sums(sp, sf)).select("path", "change", "violation_type", "severity"),
             f"""WITH {chg} SELECT path, change, CASE doc_id % 4 WHEN 0 THEN 'config_' WHEN 1 THEN 'audit_log_' ELSE 'file_' END || change AS violation_type, CASE WHEN doc_id % 4 < 2 THEN 'HIGH' ELSE 'MEDIUM' END AS severity FROM chg WHERE change <> 'new'""")
-    cat.add("i04_violation_counts", lambda sp, sf: I.violation_counts(threats(sp, sf).where("severity = 'high'"), t("2024-01-20")),
-            S.sql("audit", """SELECT count(*) AS total_violations, count_if("timestamp" > TIMESTAMP '2024-01-19 00:00:00')::BIGINT AS recent_violations FROM thr WHERE severity = 'high'""", THREATS))
+    cat.add("i04_violation_counts", lambda sp, sf: I.violation_counts(threats(sp, sf), t("2024-01-20")),
+            S.sql("audit", """SELECT count(*) AS total_violations, count_if("timestamp" > TIMESTAMP '2024-01-19 00:00:00')::BIGINT AS recent_violations FROM thr""", THREATS))
 
     def backups(sp, sf):
         return X.read_table(sp, sf, "orders").select(F.col("o_orderkey").alias("backup_id"), F.expr("timestamp_micros(1700000000000000 + o_orderkey * 60000000)").alias("timestamp"))
