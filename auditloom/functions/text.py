@@ -124,11 +124,12 @@ def entropy(q: Column) -> Column:
 
 
 def _entropy_of(s: Column) -> Column:
-    n = F.length(s).cast("double")
-    chars = F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))
-    return F.when(n > 0, F.aggregate(
-        chars, F.lit(0.0),
-        lambda acc, c: acc - _plogp((n - F.length(F.replace(s, c, F.lit("")))) / n))).otherwise(0.0)
+    # Text, length and the share of each character are bound, so that a character costs one replacement; an empty piece
+    # of the split has no share.
+    bound = F.array(F.struct(s.alias("s"), F.length(s).cast("double").alias("n"), F.array_distinct(F.split(s, "")).alias("chars")))
+    shares = F.transform(bound, lambda b: F.transform(b["chars"], lambda c: (b["n"] - F.length(F.replace(b["s"], c, F.lit("")))) / b["n"]))
+    return F.when(F.length(s) > 0, F.aggregate(
+        F.flatten(shares), F.lit(0.0), lambda acc, p: F.when(p > 0, acc - _plogp(p)).otherwise(acc))).otherwise(0.0)
 
 
 def _plogp(p: Column) -> Column:

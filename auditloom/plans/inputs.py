@@ -16,6 +16,7 @@ from auditloom.schema import AUDIT_SCHEMA
 from auditloom.session import checkpoint_dir
 
 CFG = X.FIXTURE_CONFIG
+_detected: dict[tuple[str, str], D.Detection] = {}
 _written: dict[tuple[str, str], D.Detection] = {}
 _models: dict[tuple[str, str], object] = {}
 
@@ -35,27 +36,38 @@ def detection(spark: SparkSession, sf_dir: str) -> D.Detection:
 
 
 def model(spark: SparkSession, sf_dir: str):
-    """The learnt score's model, trained once per session by a detection run of its own; None while too few rows are clean.
+    """The learnt score's model, trained once per session; None while too few rows are clean.
 
-    Training is a job beside detection, which scores with the model that is there.
+    Training is a job of its own on the clean rows of the written detection result; detection scores with the model that is there.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        clean = detection(spark, sf_dir).clean.select(*AUDIT_SCHEMA.names)
+        clean = detected(spark, sf_dir).clean.select(*AUDIT_SCHEMA.names)
         _models[key] = M.train(M.training_buffer(enrich(clean)))
     return _models[key]
 
 
-def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
-    """The detection result, learnt score included, as a written table, so read-outs do not detect again.
+def detected(spark: SparkSession, sf_dir: str) -> D.Detection:
+    """The detection result without the learnt score, written once per session into the shared checkpoint folder.
 
-    It is written once per session into the shared checkpoint folder, by day; the rows that no rule caught are scored from there.
+    Tasks write the rows they have: no reader of it prunes days, so nothing is shuffled or sorted for them.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _written:
+    if key not in _detected:
         path = f"{checkpoint_dir(spark)}/detected-{uuid.uuid4().hex}"
         logs = detection(spark, sf_dir).logs.withColumn("event_date", F.to_date("timestamp"))
-        logs.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(path)
-        found, scorer = D.Detection(spark.read.parquet(path), CFG), model(spark, sf_dir)
+        logs.write.parquet(path)
+        _detected[key] = D.Detection(spark.read.parquet(path), CFG)
+    return _detected[key]
+
+
+def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
+    """The written detection result, learnt score included, so read-outs do not detect again.
+
+    The log is detected once for both training and reading; the rows that no rule caught are scored from the written table.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _written:
+        found, scorer = detected(spark, sf_dir), model(spark, sf_dir)
         _written[key] = found if scorer is None else M.with_scores(found, model=scorer)
     return _written[key]
