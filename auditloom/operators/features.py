@@ -140,16 +140,18 @@ def rolling_5m(df: DataFrame) -> DataFrame:
         "_len", "_len2")
 
 
-def z_scores(df: DataFrame, metrics=("execution_time_ms", "rows_returned", "data_retrieval_speed")) -> DataFrame:
+def z_scores(df: DataFrame, metrics=("execution_time_ms", "rows_returned", "data_retrieval_speed"),
+             of: DataFrame | None = None) -> DataFrame:
     """Distance from the user's own mean in population standard deviations.
 
-    The statistics are a partial aggregate, written and measured: the log is not shuffled for them as
-    long as they are small, and beyond that a hot user is split by the adaptive skew join.
+    ``of`` are the same rows before columns were added to them: the statistics then come from a scan of the metrics alone.
+    They are a partial aggregate, written and measured: the log is not shuffled for them as long as they are small, and
+    beyond that a hot user is split by the adaptive skew join.
     """
     aggs = [F.count(F.lit(1)).alias("_n")]
     for m in metrics:
         aggs += [F.avg(m).alias(f"_m_{m}"), F.stddev_pop(m).alias(f"_s_{m}")]
-    out = df.join(measured(df.groupBy("user").agg(*aggs)), "user", "left")
+    out = df.join(measured((df if of is None else of).groupBy("user").agg(*aggs)), "user", "left")
     for m in metrics:
         s = F.col(f"_s_{m}")
         out = out.withColumn(f"{m}_zscore", F.when((F.col("_n") < 3) | (s == 0) | s.isNull(), F.lit(0.0)).otherwise(
@@ -159,7 +161,8 @@ def z_scores(df: DataFrame, metrics=("execution_time_ms", "rows_returned", "data
 
 def enrich(df: DataFrame) -> DataFrame:
     """The wide enriched log."""
-    return z_scores(rolling_5m(static_features(df)))
+    rows = static_features(df)
+    return z_scores(rolling_5m(rows), of=rows)
 
 
 def gaps(df: DataFrame, keys, slot_us: int = HOUR_US) -> DataFrame:

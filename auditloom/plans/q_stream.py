@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditloom import fixtures as X
+from auditloom.functions.cut import written
 from auditloom.functions.ordinals import coded as coded_by
 from auditloom.monitor import library as L
 from auditloom.monitor import patterns as P
@@ -223,12 +225,26 @@ def enriched(sp, sf):
 _models: dict[tuple[str, str], str] = {}
 
 
+_features: dict[tuple[str, str], DataFrame] = {}
+
+
+def features(sp, sf):
+    """The features of every row, written once per session: training and every score read them."""
+    key = (sp.sparkContext.applicationId, sf)
+    if key not in _features:
+        rows = FE.enrich(audit(sp, sf))
+        num, cats = M.feature_columns(rows)
+        kept = {"event_id", "timestamp", *num, *cats}
+        _features[key] = written(rows.select(*[c for c in rows.columns if c in kept]))
+    return _features[key]
+
+
 def trained(sp, sf):
     """The model of the newest rows, trained once per session and read from its stored form."""
     key = (sp.sparkContext.applicationId, sf)
     if key not in _models:
         path = fresh(sp, "models")
-        rows = FE.enrich(audit(sp, sf))
+        rows = features(sp, sf)
         model = M.train(M.training_buffer(rows))
         num, cats = M.feature_columns(rows)
         _models[key] = f"{path}|{M.save_model(model, sp, path, [*num, *cats], '20240130')}"
@@ -255,7 +271,7 @@ def _ml(cat: Catalog) -> None:
     cat.add("m05_pseudo_labels", lambda sp, sf: M.reconstruction_labels(audit(sp, sf), NUMERIC).groupBy("label").agg(F.count(F.lit(1)).alias("n")),
             S.sql("audit", """SELECT label, count(*) AS n FROM (SELECT CASE WHEN r <= (SELECT count(*) - 1 - floor(0.961 * (count(*) - 1)) FROM s WHERE p >= 5) AND p >= 5 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label FROM (
              SELECT *, row_number() OVER (PARTITION BY p >= 5 ORDER BY event_id) AS r FROM s)) GROUP BY 1""", 's AS (SELECT event_id, row_number() OVER (PARTITION BY "user" ORDER BY "timestamp", event_id) AS p FROM audit)'))
-    cat.add("m06_supervised_score", lambda sp, sf: M.score(trained(sp, sf), FE.enrich(audit(sp, sf))).select("event_id", F.col("ml_anomaly_score").between(0, 1).alias("scored")),
+    cat.add("m06_supervised_score", lambda sp, sf: M.score(trained(sp, sf), features(sp, sf)).select("event_id", F.col("ml_anomaly_score").between(0, 1).alias("scored")),
             S.sql("audit", "SELECT event_id, true AS scored FROM audit"))
 
     def learnt_hits(sp, sf):
@@ -275,7 +291,7 @@ def _ml(cat: Catalog) -> None:
 
     def saved(sp, sf):
         """Rows whose score differs between the model in memory and the one read back."""
-        rows, path = FE.enrich(audit(sp, sf)), fresh(sp, "models")
+        rows, path = features(sp, sf), fresh(sp, "models")
         model = trained(sp, sf)
         num, cats = M.feature_columns(rows)
         again = M.load_model(path, M.save_model(model, sp, path, [*num, *cats], "20240130"))

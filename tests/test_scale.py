@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import text
+from auditloom.operators import features as FE
 from auditloom.operators import ml as M
 from auditloom.plans import inputs as I
+from auditloom.plans.registry import catalog
 
 START = dt.datetime(2024, 1, 1)
 
@@ -55,3 +57,25 @@ def test_entropy_replaces_each_character_once(spark, capsys):
     for r in out.collect():
         shares = [r.q.count(c) / len(r.q) for c in dict.fromkeys(r.q or "")]
         assert r.e == pytest.approx(-sum(p * math.log2(p) for p in shares), abs=1e-12)
+
+
+def test_statistics_of_users_need_no_rolling_frame(spark, tables, monkeypatch, capsys):
+    plans, measured = [], FE.measured
+    monkeypatch.setattr(FE, "measured", lambda df: plans.append(explained(df, capsys)) or measured(df))
+    rows = FE.enrich(I.audit(spark, tables))
+    assert len(plans) == 1 and "Window" not in plans[0] and "regexp" not in plans[0]
+    again = FE.z_scores(FE.rolling_5m(FE.static_features(I.audit(spark, tables))))
+    z = ["execution_time_ms_zscore", "rows_returned_zscore", "data_retrieval_speed_zscore"]
+    got, want = ({r.event_id: [r[c] for c in z] for r in d.select("event_id", *z).collect()} for d in (rows, again))
+    assert len(got) == 200 and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_features_are_made_once_for_training_and_scores(spark, tables, monkeypatch):
+    made, enrich = [], FE.enrich
+    monkeypatch.setattr(FE, "enrich", lambda df: made.append(1) or enrich(df))
+    monkeypatch.setattr(M, "train", lambda rows: rows.count())
+    monkeypatch.setattr(M, "save_model", lambda model, *a: str(model))
+    monkeypatch.setattr(M, "load_model", lambda path, version: version)
+    monkeypatch.setattr(M, "score", lambda model, rows: rows.withColumn("ml_anomaly_score", F.lit(0.5)))
+    out = catalog().items["m08_saved_model"].run(spark, tables)
+    assert out.first().asDict() == {"n": 200, "different": 0} and len(made) == 1
