@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from typing import Any
@@ -14,6 +15,8 @@ from auditloom.functions.cut import written_sized
 
 #: Bytes of Parquet up to which a side is broadcast.
 BROADCAST_BYTES = 16 << 20
+#: Rows of a narrow table that one task turns into statements.
+TASK_ROWS = 250_000
 
 
 def measured(small: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -33,10 +36,11 @@ def together(spark: SparkSession, *calls: Callable[[], Any]) -> list:
         return [f.result() for f in [pool.submit(inheritable_thread_target(spark)(c)) for c in calls]]
 
 
-def spread(df: DataFrame, least: int | None = None) -> DataFrame:
-    """Rows over all cores when the scan gives fewer partitions, as for one small file.
+def spread(df: DataFrame, least: int | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Rows over all cores, and at most about ``task_rows`` in one part, when the scan gives fewer parts.
 
-    With as many file splits as cores, the rule on a cluster, nothing is added to the plan.
+    File splits are cut by compressed bytes: narrow rows that become statements may be millions to a split. Rows are counted
+    from the files' footers. With enough splits nothing is added to the plan.
     """
-    cores = least or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = max(least or df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / task_rows))
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import text
+from auditloom.functions.joins import spread
 from auditloom.operators import features as FE
 from auditloom.operators import ml as M
 from auditloom.plans import inputs as I
@@ -79,3 +80,11 @@ def test_features_are_made_once_for_training_and_scores(spark, tables, monkeypat
     monkeypatch.setattr(M, "score", lambda model, rows: rows.withColumn("ml_anomaly_score", F.lit(0.5)))
     out = catalog().items["m08_saved_model"].run(spark, tables)
     assert out.first().asDict() == {"n": 200, "different": 0} and len(made) == 1
+
+
+def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
+    spark.range(1000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spread(spark.read.parquet(f"{tmp_path}/t"), least=2, task_rows=100)
+    assert df.rdd.getNumPartitions() == 10
+    sizes = df.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 150
