@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditloom.config import RuleConfig
-from auditloom.functions import text
+from auditloom.functions import batched, text
 from auditloom.functions.joins import measured
 from auditloom.functions.once import keep_where
 from auditloom.functions.segmented import HOUR_US, lag_rows, micros, time_slot
@@ -121,7 +121,8 @@ RULE_BY_KEY = {r.key: r for r in RULES}
 
 def with_entropy(df: DataFrame) -> DataFrame:
     """``query_entropy`` as sent by the publisher, computed where it is missing."""
-    return df.withColumn("query_entropy", F.coalesce("query_entropy", text.entropy(F.col("query"))))
+    given = F.col("query_entropy")
+    return df.withColumn("query_entropy", F.coalesce(given, batched.entropy(F.when(given.isNull(), F.col("query")))))
 
 
 def with_row_rules(df: DataFrame, cfg: RuleConfig) -> DataFrame:
@@ -171,32 +172,42 @@ def impossible_travel(df: DataFrame, geo_ranges: DataFrame, cfg: RuleConfig, slo
             .where(F.col("speed_kmh") > cfg.impossible_travel_speed_kmh))
 
 
-def _inside_shift() -> Column:
-    """Time of day within a ticket; a ticket that ends before it starts runs past midnight."""
+def _shifts(overtime: DataFrame, with_ip: bool) -> DataFrame:
+    """Tickets with their times as microseconds of the day, read once per ticket and not once per pair of row and ticket."""
     def us(c: str) -> Column:
         parts = F.split(F.col(c), ":")
         return (parts[0].cast("long") * 3600 + parts[1].cast("long") * 60
                 + F.coalesce(F.get(parts, 2).cast("long"), F.lit(0))) * 1_000_000
-    start, end, t = us("o.start"), us("o.end"), time_of_day_us("d.timestamp")
+    ip = [F.trim(F.coalesce(F.col("ip"), F.lit(""))).alias("ip")] if with_ip else []
+    return overtime.select("user", "date", us("start").alias("start"), us("end").alias("end"), *ip).distinct()
+
+
+def _inside_shift() -> Column:
+    """Time of day within a ticket; a ticket that ends before it starts runs past midnight."""
+    start, end, t = F.col("o.start"), F.col("o.end"), F.col("d._clock")
     return F.when(start <= end, t.between(start, end)).otherwise((t >= start) | (t <= end))
 
 
 def _ticket_match(check_ip: bool) -> Column:
     # Equality on user and day keeps this a hash join however long the calendar grows.
-    cond = ((F.col("d.user") == F.col("o.user")) & (F.to_date("d.timestamp") == F.col("o.date"))
+    cond = ((F.col("d.user") == F.col("o.user")) & (F.col("d._day") == F.col("o.date"))
             & F.coalesce(_inside_shift(), F.lit(False)))
     if check_ip:
-        ip = F.trim(F.coalesce(F.col("o.ip"), F.lit("")))
-        cond = cond & ((ip == "") | (ip == F.col("d.client_ip")))
+        cond = cond & ((F.col("o.ip") == "") | (F.col("o.ip") == F.col("d.client_ip")))
     return cond
 
 
+def _by_ticket(df: DataFrame, overtime: DataFrame, check_ip: bool, how: str) -> DataFrame:
+    rows = df.withColumns({"_day": F.to_date("timestamp"), "_clock": time_of_day_us()})
+    return rows.alias("d").join(_shifts(overtime, check_ip).alias("o"), _ticket_match(check_ip), how).drop("_day", "_clock")
+
+
 def without_ticket(df: DataFrame, overtime: DataFrame, check_ip: bool) -> DataFrame:
-    return df.alias("d").join(overtime.alias("o"), _ticket_match(check_ip), "left_anti")
+    return _by_ticket(df, overtime, check_ip, "left_anti")
 
 
 def with_ticket(df: DataFrame, overtime: DataFrame, check_ip: bool) -> DataFrame:
-    return df.alias("d").join(overtime.alias("o"), _ticket_match(check_ip), "left_semi")
+    return _by_ticket(df, overtime, check_ip, "left_semi")
 
 
 def service_wrong_ip(cfg: RuleConfig) -> Column:

@@ -6,10 +6,11 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.functions import text
+from auditloom.functions import batched, text
 from auditloom.functions.joins import spread
 from auditloom.operators import features as FE
 from auditloom.operators import ml as M
+from auditloom.operators import rules as R
 from auditloom.plans import inputs as I
 from auditloom.plans.registry import catalog
 
@@ -88,3 +89,29 @@ def test_spread_bounds_the_rows_of_a_task(spark, tmp_path):
     assert df.rdd.getNumPartitions() == 10
     sizes = df.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) <= 150
+
+
+def test_entropy_of_batches_is_that_of_single_texts(spark, capsys):
+    texts = ["", None, "aab", "é€𝄞é", "x'; DROP", "a" * 5000, *[chr(97 + i % 26) * (i % 7) + str(i) for i in range(3000)], "é" + "ab" * 600_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, q string").coalesce(1)
+    got = df.select("i", text.entropy(F.col("q")).alias("a"), batched.entropy(F.col("q")).alias("b")).collect()
+    assert len(got) == len(texts) and all(r.b == pytest.approx(r.a, abs=1e-9) for r in got)
+    given = spark.createDataFrame([(1.5, "aab"), (None, "ab")], "query_entropy double, query string")
+    assert sorted(r.query_entropy for r in R.with_entropy(given).collect()) == [1.0, 1.5]
+    assert "ArrowEvalPython" in explained(R.with_entropy(given), capsys)
+
+
+def test_ticket_times_are_read_once_per_ticket(spark, capsys):
+    """Clock texts are split below the join, so pairs of rows and tickets only compare numbers."""
+    at = lambda h, m=0: dt.datetime(2024, 1, 3, h, m)
+    rows = spark.createDataFrame([(i, "u", ip, t) for i, (ip, t) in enumerate([("a", at(23)), ("b", at(23)), ("a", at(0, 10)), ("a", at(1)), ("a", at(2)), ("a", None)])],
+                                 "event_id long, user string, client_ip string, timestamp timestamp")
+    day = dt.date(2024, 1, 3)
+    tickets = spark.createDataFrame([("u", day, "22:00:00", "00:30", " a "), ("u", day, "01:00", "01:30:00", None), ("u", day, "01:00", "01:30:00", None),
+                                     ("u", day, None, None, ""), (None, day, "00:00", "23:59", "")], "user string, date date, start string, end string, ip string")
+    got = R.with_ticket(rows, tickets, True)
+    assert sorted(r.event_id for r in got.collect()) == [0, 2, 3] and got.columns == rows.columns
+    assert sorted(r.event_id for r in R.without_ticket(rows, tickets, True).collect()) == [1, 4, 5]
+    assert sorted(r.event_id for r in R.with_ticket(rows, tickets.drop("ip"), False).collect()) == [0, 1, 2, 3]
+    joins = [line for line in explained(got, capsys).splitlines() if "Join" in line]
+    assert joins and not any("split(" in line for line in joins)
