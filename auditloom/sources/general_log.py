@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditloom.functions.cut import written
 from auditloom.functions.segmented import last_known
 from auditloom.functions.text import strip
 
@@ -63,7 +64,9 @@ def parse_general_log(lines: DataFrame, filter_user: str | None = None) -> DataF
     command a continuation line belongs to, which session a statement runs in) work per block and
     carry one row per block, so a large file is parsed in parallel.
     """
-    c = classify_lines(lines)
+    # Lines are classified once, although the two steps read them four times.
+    more = F.when(F.col("kind").isNull() & (F.col("line") != ""), F.col("value"))
+    c = written(classify_lines(lines).withColumn("more", more).drop("line", "value"))
     if filter_user:
         c = c.where((F.col("kind").isNull()) | (F.col("kind") != "connect") | (F.col("c_user") != filter_user))
     at = F.struct("block", "pos")
@@ -71,7 +74,7 @@ def parse_general_log(lines: DataFrame, filter_user: str | None = None) -> DataF
 
     # Continuation lines go to the latest command of the file, if that is a statement.
     # Only their text travels with them; command lines are reduced to their place here.
-    slim = c.select("file", "block", "pos", "kind", F.when(F.col("kind").isNull() & (F.col("line") != ""), F.col("value")).alias("more"))
+    slim = c.select("file", "block", "pos", "kind", "more")
     shape = last_known(slim, ["file"], order, {"owner": F.when(F.col("kind").isNotNull(), F.struct(F.col("kind").alias("k"), at.alias("at")))},
                        F.col("block"))
     # A statement is one value in the end, so its lines may meet in one list.
