@@ -170,35 +170,47 @@ class Vocabulary:
         return [b"".join(map(piece, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace") for ids in rows]
 
 
-def _mapped(df: DataFrame, source: str, target: T.StructField, step) -> DataFrame:
-    """``df`` with one more column, computed from ``source`` in bounded pieces; a column of that name is replaced."""
-    if target.name in df.columns:
-        df = df.drop(target.name)
-    kind = pa.large_string() if isinstance(target.dataType, T.StringType) else pa.large_binary()
+def _mapped(df: DataFrame, source: str, targets: list[T.StructField], step, dropped: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with more columns, which ``step`` computes from ``source`` in bounded pieces; columns of these names are replaced,
+    and those ``dropped`` go no further."""
+    df = df.drop(*[t.name for t in targets if t.name in df.columns])
+    kinds = [pa.large_string() if isinstance(t.dataType, T.StringType) else pa.large_binary() for t in targets]
+    kept, names = [f for f in df.schema.fields if f.name not in dropped], [t.name for t in targets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, source, SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(step(b.column(source)), kind)], [*b.schema.names, target.name])
+            made = [pa.array(x, k) for x, k in zip(step(b.column(source)), kinds)]
+            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *made], [*(f.name for f in kept), *names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, target]))
+    return df.mapInArrow(run, T.StructType([*kept, *targets]))
 
 
 def encode(docs: DataFrame, vocabulary_path: str, column: str = "text", ids: str = "token_ids") -> DataFrame:
     """``docs`` with the token ids of a text column, packed as little-endian unsigned 32-bit integers."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_file(vocabulary_path))
-    return _mapped(docs, column, T.StructField(ids, T.BinaryType()), lambda c: shared.value.encode(texts(c)))
+    return _mapped(docs, column, [T.StructField(ids, T.BinaryType())], lambda c: [shared.value.encode(texts(c))])
 
 
 def decode(docs: DataFrame, vocabulary_path: str, ids: str = "token_ids", column: str = "decoded") -> DataFrame:
     """``docs`` with the text of packed token ids; bytes that are no UTF-8 become the replacement character."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_file(vocabulary_path))
-    return _mapped(docs, ids, T.StructField(column, T.StringType()),
-                   lambda c: shared.value.decode([x or b"" for x in c.to_pylist()]))
+    return _mapped(docs, ids, [T.StructField(column, T.StringType())],
+                   lambda c: [shared.value.decode([x or b"" for x in c.to_pylist()])])
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids and the digests of the packed ids and of the decoded text."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary_path).drop("text"), vocabulary_path)
+    """doc_id, n_tokens, token_ids and the digests of the packed ids and of the decoded text.
+
+    One worker encodes a piece and decodes its ids: two steps in a row would keep two workers with a vocabulary each for a task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.from_file(vocabulary_path))
+
+    def step(c: pa.Array) -> list[list]:
+        ids = shared.value.encode(texts(c))
+        return [ids, shared.value.decode(ids)]
+
+    fields = [T.StructField("token_ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
+    both = _mapped(docs.select("doc_id", "text"), "text", fields, step, dropped=("text",))
     return both.select("doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("token_ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), "token_ids")

@@ -35,7 +35,10 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in pieces of about ``most`` text bytes, at least one row each."""
+    """The same rows in pieces of about ``most`` text bytes, at least one row each.
+
+    After every batch its reader's unused memory goes back to the system, as workers are kept for later stages.
+    """
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         part = np.cumsum(size) // most
@@ -44,6 +47,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             if end > start:
                 yield batch.slice(start, end - start)
             start = end
+        del batch
+        give_back()
 
 
 def texts(column: pa.Array) -> list[str]:

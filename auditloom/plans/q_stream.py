@@ -45,6 +45,7 @@ def feed(sp, df, ts: str, name: str, start, cuts=None):
     every round resumes from its checkpoint.
     """
     path, us = fresh(sp, name), F.unix_micros(ts)
+    df = written(df)  # the borders and every range read it
     edges = [None, *(cuts_of(df, ts) if cuts is None else cuts), None]
     for lo, hi in zip(edges, edges[1:]):
         inside = F.lit(True) if hi is None else F.coalesce(us < hi, F.lit(lo is None))
@@ -132,7 +133,7 @@ def _streams(cat: Catalog) -> None:
         return sp.read.parquet(out)
     def stored_once(sp, sf):
         """A feed that delivers a third of its statements again, each round into the store; what it holds at the end."""
-        store, stamped = StatementStore(fresh(sp, "statements")), ingested(sp, sf).select("event_id", "event_ts", "fingerprint")
+        store, stamped = StatementStore(fresh(sp, "statements")), written(ingested(sp, sf).select("event_id", "event_ts", "fingerprint"))
         drain(sp, stamped.unionByName(stamped.where("event_id % 3 = 0")), "event_ts", lambda batch, _: store.insert(batch), "insert")
         drain(sp, stamped.where("event_id % 2 = 0").withColumn("event_id", -F.col("event_id")), "event_ts", lambda batch, _: store.insert(batch), "again")
         return store.rows(sp).select("event_id", "fingerprint")

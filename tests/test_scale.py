@@ -1,18 +1,24 @@
 """Work that is done once however many readers it has, and in tasks of bounded size."""
 
 import datetime as dt
+import hashlib
+import json
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from auditloom.functions import batched, text
 from auditloom.functions.joins import spread
+from auditloom.llm import bpe
 from auditloom.operators import features as FE
 from auditloom.operators import ml as M
 from auditloom.operators import rules as R
 from auditloom.plans import inputs as I
+from auditloom.plans import q_stream
 from auditloom.plans.registry import catalog
+from auditloom.sources import general_log as GL
 
 START = dt.datetime(2024, 1, 1)
 
@@ -115,3 +121,38 @@ def test_ticket_times_are_read_once_per_ticket(spark, capsys):
     assert sorted(r.event_id for r in R.with_ticket(rows, tickets.drop("ip"), False).collect()) == [0, 1, 2, 3]
     joins = [line for line in explained(got, capsys).splitlines() if "Join" in line]
     assert joins and not any("split(" in line for line in joins)
+
+
+def test_log_lines_are_classified_once(spark, capsys):
+    t = "2024-01-01T00:00:0{}.000000Z 7 "
+    values = [t.format(0) + "Connect u@h on d using TCP", t.format(1) + "Query SELECT 1", "  more ", "", t.format(2) + "Query USE x", t.format(3) + "Quit"]
+    lines = spark.createDataFrame([("f", 0, i, v) for i, v in enumerate(values)], "file string, block long, pos long, value string")
+    out = GL.parse_general_log(lines)
+    assert "Connect" not in explained(out, capsys)
+    assert [(r.query, r.database, r.user) for r in out.orderBy("pos").collect()] == [("SELECT 1\n  more", "d", "u"), ("USE x", "x", "u")]
+
+
+def test_a_feed_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        made.add(1)
+        return x
+    df = spark.range(10).select(counted("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 60).alias("ts"))
+    read = []
+    q_stream.feed(spark, df, "ts", "once", lambda stream: read.append(stream) or SimpleNamespace(awaitTermination=lambda: None))
+    assert made.value == 10 and len(read) == q_stream.FEEDS
+
+
+def test_tokens_are_made_and_read_back_by_one_worker(spark, tmp_path, capsys):
+    letters = bpe.byte_letters()
+    vocab = {c: i for i, c in enumerate(letters)} | {"ab": 256}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab, "merges": ["a b"]}, "added_tokens": [{"content": "<s>", "id": 257}]}))
+    df = spark.createDataFrame([(1, "abba <s>é", 5), (2, None, 6), (3, "", 7)], "doc_id long, text string, extra long")
+    out = bpe.round_trip(df, str(path))
+    assert explained(out, capsys).count("MapInArrow") == 1
+    two = bpe.decode(bpe.encode(df, str(path)), str(path))
+    want = {r.doc_id: (bytes(r.token_ids), hashlib.sha256(r.decoded.encode()).hexdigest()) for r in two.collect()}
+    assert {r.doc_id: (bytes(r.token_ids), r.decoded_sha256) for r in out.collect()} == want and two.columns == [*df.columns, "token_ids", "decoded"]
