@@ -90,7 +90,9 @@ def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
 
 
 def _row_keys(slim: DataFrame, cfg: RuleConfig, overtime: DataFrame | None, jumps: DataFrame | None) -> DataFrame | None:
-    """Rows that r03, r04 and r07 need to know of: event_id with flags t (jump), s and n (excused by a ticket)."""
+    """Rows that r03, r04 and r07 need to know of, flags t (jump), s and n (excused by a ticket): per block of 64 ids, one bit
+    for each id. A log with running numbers has few blocks, so the side stays small enough for a broadcast however many rows it
+    marks; ids far apart have a block each."""
     slim = slim.select("event_id", "user", "client_ip", "timestamp")
     found = []
     if overtime is not None:
@@ -105,18 +107,29 @@ def _row_keys(slim: DataFrame, cfg: RuleConfig, overtime: DataFrame | None, jump
     ids = found[0]
     for f in found[1:]:
         ids = ids.unionByName(f)
-    return measured(ids.groupBy("event_id").agg(*[F.max(F.col("_k") == k).alias(f"_{k}") for k in "nst"]))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _place())
+    # A flag that no id of the block has stays null.
+    return measured(ids.groupBy(_block().alias("_block")).agg(*[F.bit_or(F.when(F.col("_k") == k, bit)).alias(f"_{k}") for k in "nst"]))
+
+
+def _block() -> Column:
+    return F.shiftright(F.col("event_id").cast("long"), 6)
+
+
+def _place() -> Column:
+    """Place of an id in its block, 0 to 63."""
+    return F.col("event_id").cast("long").bitwiseAND(F.lit(63).cast("long")).cast("int")
 
 
 def _mark_rows(out: DataFrame, cfg: RuleConfig, rare: DataFrame | None) -> DataFrame:
-    """r03, r04 and r07 with one join on the row key."""
+    """r03, r04 and r07 with one join on the block of the row key."""
     excused_night = excused_hour = travel = F.lit(False)
     if rare is not None:
-        out = out.join(rare, "event_id", "left")
-        excused_night, excused_hour, travel = (F.coalesce(f"_{k}", F.lit(False)) for k in "nst")
+        out = out.withColumn("_block", _block()).join(rare, "_block", "left")
+        excused_night, excused_hour, travel = (F.coalesce(F.getbit(f"_{k}", _place()) == 1, F.lit(False)) for k in "nst")
     return out.withColumns({
         "r03": travel, "r07": R.is_night(cfg) & ~excused_night,
-        "r04": R.service_wrong_ip(cfg) | (R.service_wrong_hour(cfg) & ~excused_hour)}).drop("_n", "_s", "_t")
+        "r04": R.service_wrong_ip(cfg) | (R.service_wrong_hour(cfg) & ~excused_hour)}).drop("_block", "_n", "_s", "_t")
 
 
 def group_flag(group: str) -> Column:
