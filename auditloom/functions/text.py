@@ -154,6 +154,11 @@ def touched_tables(q: Column) -> Column:
     return F.array_distinct(F.transform(hits, lambda t: F.lower(F.regexp_replace(t, "[`'\"]", ""))))
 
 
+def touches_table(q: Column) -> Column:
+    """True if ``touched_tables`` has any; the names are not made."""
+    return q.rlike(ANY_TABLE_PATTERN)
+
+
 def database_from_sql(q: Column) -> Column:
     """First schema name found, trying the patterns in order; null if none matches."""
     found = F.lit(None).cast("string")

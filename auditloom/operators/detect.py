@@ -54,7 +54,7 @@ def _reads() -> Column:
 
 
 def reads_tables() -> Column:
-    return _reads() & F.coalesce(F.size(text.touched_tables(F.col("query"))) > 0, F.lit(False))
+    return _reads() & F.coalesce(text.touches_table(F.col("query")), F.lit(False))
 
 
 def flag_all(df: DataFrame, cfg: RuleConfig, overtime: DataFrame | None = None,
