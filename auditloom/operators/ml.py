@@ -133,18 +133,21 @@ def flag_scores(scored: DataFrame, cfg: ModelConfig = ModelConfig()) -> DataFram
     return scored.withColumn("is_ml", F.col("ml_anomaly_score") >= limit)
 
 
-def with_scores(found: D.Detection, cfg: ModelConfig = ModelConfig(), model: PipelineModel | None = None) -> D.Detection:
-    """A detection result with the learnt score of the rows that no rule caught.
+def with_scores(found: D.Detection, cfg: ModelConfig = ModelConfig(), model: PipelineModel | None = None,
+                clean: DataFrame | None = None) -> D.Detection:
+    """A detection result with the learnt score of the rows that no rule caught; ``clean`` are these rows if they are written already.
 
     Without a stored model, one is trained on the newest of these rows; while there are too few, nothing is added. Only these
     rows are written and scored; all others are passed on as they are.
     """
-    clean = written(found.clean)
+    clean = written(found.clean) if clean is None else clean
     rows = enrich(clean.select(*AUDIT_SCHEMA.names))
     model = model or train(training_buffer(rows, cfg), cfg)
     if model is None:
         return found
-    scored = written(flag_scores(score(model, rows).select("event_id", "ml_anomaly_score"), cfg))
+    # The quantile goes over the scores several times; features and scores are made once.
+    scores = written(score(model, rows).select("event_id", "ml_anomaly_score"))
+    scored = written(flag_scores(scores, cfg))
     done = D.finalize(D.apply_ml(clean.drop("ml_anomaly_score", f"hit_{R.ML}"), scored), found.cfg)
     return D.Detection(found.logs.where(D.caught_by_rule()).unionByName(done), found.cfg)
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom import fixtures as X
+from auditloom.functions.cut import written
 from auditloom.operators import detect as D
 from auditloom.operators import ml as M
 from auditloom.operators import rules as R
@@ -19,6 +20,7 @@ CFG = X.FIXTURE_CONFIG
 _detected: dict[tuple[str, str], D.Detection] = {}
 _written: dict[tuple[str, str], D.Detection] = {}
 _models: dict[tuple[str, str], object] = {}
+_clean: dict[tuple[str, str], DataFrame] = {}
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def model(spark: SparkSession, sf_dir: str):
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _models:
-        clean = detected(spark, sf_dir).clean.select(*AUDIT_SCHEMA.names)
+        clean = clean_rows(spark, sf_dir).select(*AUDIT_SCHEMA.names)
         _models[key] = M.train(M.training_buffer(enrich(clean)))
     return _models[key]
 
@@ -61,6 +63,14 @@ def detected(spark: SparkSession, sf_dir: str) -> D.Detection:
     return _detected[key]
 
 
+def clean_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that no rule caught, read from the whole log and written once per session for training and scores."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _clean:
+        _clean[key] = written(detected(spark, sf_dir).clean)
+    return _clean[key]
+
+
 def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
     """The written detection result, learnt score included, so read-outs do not detect again.
 
@@ -69,5 +79,5 @@ def stored(spark: SparkSession, sf_dir: str) -> D.Detection:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _written:
         found, scorer = detected(spark, sf_dir), model(spark, sf_dir)
-        _written[key] = found if scorer is None else M.with_scores(found, model=scorer)
+        _written[key] = found if scorer is None else M.with_scores(found, model=scorer, clean=clean_rows(spark, sf_dir))
     return _written[key]

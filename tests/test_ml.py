@@ -8,6 +8,7 @@ from auditloom.config import RuleConfig
 from auditloom.operators import detect as D
 from auditloom.operators import ml as M
 from auditloom.operators import rules as R
+from auditloom.plans import inputs
 from auditloom.schema import conform
 
 CFG = M.ModelConfig(trees=10)
@@ -44,3 +45,24 @@ def test_too_few_rows(spark):
     _, df = rows(spark, 20)
     plain = D.detect(conform(df), RuleConfig())
     assert M.with_scores(plain, CFG) is plain
+
+
+def test_clean_rows_are_read_once_and_features_made_once(spark, monkeypatch):
+    """Training and scoring share the written clean rows, and the quantile goes over written scores."""
+    _, df = rows(spark)
+    plain = D.detect(conform(df), RuleConfig())
+    reads, plans = [], []
+
+    class Counted(D.Detection):
+        @property
+        def clean(self):
+            reads.append(1)
+            return super().clean
+    monkeypatch.setattr(inputs, "detected", lambda *a: Counted(plain.logs, plain.cfg))
+    monkeypatch.setattr(M, "training_buffer", lambda clean, f=M.training_buffer: f(clean, CFG))
+    monkeypatch.setattr(M, "train", lambda buffer, f=M.train: f(buffer, CFG))
+    monkeypatch.setattr(M, "flag_scores", lambda scored, cfg, f=M.flag_scores: plans.append(scored._jdf.queryExecution().optimizedPlan().toString()) or f(scored, cfg))
+    logs = inputs.stored(spark, "clean-once").logs
+    assert logs.count() == 400 and logs.where("ml_anomaly_score is not null").count() == plain.clean.count()
+    assert len(reads) == 1
+    assert len(plans) == 1 and "Window" not in plans[0] and "UDF" not in plans[0]
